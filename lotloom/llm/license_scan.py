@@ -127,8 +127,11 @@ class Scanner:
         self.sizes = [len(s) for s in sequences]
         self.n_base = len(base)
         self.automaton = Automaton([[self.number[w] for w in s] for s in sequences])
-        #: by state: base phrases that are an end of its substrings
+        #: by state: base phrases that its longest substring ends with, those of shorter ends included
         self.phrases = [[k for k, end in ends if k < self.n_base and end == self.sizes[k]] for ends in self.automaton.ends]
+        for state in sorted(range(1, len(self.phrases)), key=self.automaton.longest.__getitem__):
+            above = self.phrases[self.automaton.link[state]]
+            self.phrases[state] = sorted({*self.phrases[state], *above})
 
     def runs(self, tokens: list[int], first: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, int]]]:
         """Of one run of template words: base phrases (number, start), and long stretches (start, length, state)."""
