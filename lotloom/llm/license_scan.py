@@ -128,7 +128,7 @@ class Scanner:
         self.n_base = len(base)
         self.automaton = Automaton([[self.number[w] for w in s] for s in sequences])
         #: by state: base phrases that its longest substring ends with, those of shorter ends included
-        self.phrases = [[k for k, end in ends if k < self.n_base and end == self.sizes[k]] for ends in self.automaton.ends]
+        self.phrases = [[k for k, end in ends if k < self.n_base and end == self.sizes[k] <= longest] for ends, longest in zip(self.automaton.ends, self.automaton.longest, strict=True)]
         for state in sorted(range(1, len(self.phrases)), key=self.automaton.longest.__getitem__):
             above = self.phrases[self.automaton.link[state]]
             self.phrases[state] = sorted({*self.phrases[state], *above})
