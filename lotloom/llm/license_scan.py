@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import vectext
+from . import scratch, vectext
 
 # The base phrases and their labels.
 BASE = {
@@ -185,6 +185,7 @@ def license_scan(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[s
     Null and empty texts have no words and score 0. Null or repeated ids stay as they are, each
     row with a result of its own. Other columns are not read. Nothing is shuffled.
     """
+    scratch.small_batches(docs.sparkSession)
     known = (tuple(base.items()), tuple(templates.items()))
 
     def scanned(batches):

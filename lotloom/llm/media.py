@@ -214,6 +214,7 @@ def text_features(docs: DataFrame) -> DataFrame:
     The media column is written once to the shared folder and everything returned comes from the
     bytes read there. A picture is read, decoded and digested within one task, so no samples leave it.
     """
+    scratch.small_batches(docs.sparkSession)
     stored = scratch.table(text_media(docs), "media")
 
     def made(batches):

@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .binary_output import op7_token_files
 from .license_scan import op2_license_scan
 from .media import op10_media
+from .packing import op9_packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
+    "op7_token_files": op7_token_files,
+    "op9_packing": op9_packing,
     "op10_media": op10_media,
 }
 
