@@ -10,8 +10,10 @@ from .binary_output import op7_token_files
 from .license_scan import op2_license_scan
 from .media import op10_media
 from .packing import op9_packing
+from .toxicity import op1_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
     "op7_token_files": op7_token_files,
     "op9_packing": op9_packing,

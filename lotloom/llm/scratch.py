@@ -9,8 +9,11 @@ of the task's output count, so a lost executor or a second attempt leaves nothin
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -42,8 +45,31 @@ def table(df: DataFrame, name: str, order: list[str] | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package even where it is on the driver's path only."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(context.applicationId)
+    package = Path(__file__).resolve().parents[1]
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent).as_posix())
+    uri = f"{shared_folder(spark).rstrip('/')}/lotloom-{uuid.uuid4().hex}.zip"
+    fs, path = filesystem(uri)
+    fs.create_dir(path.rpartition("/")[0], recursive=True)
+    with fs.open_output_stream(path) as out:
+        out.write(made.getvalue())
+    context.addPyFile(uri)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Whole texts go to Python this many at a time, unless the session asks for fewer."""
+    """Make ready for Python tasks: whole texts go to them this many at a time, unless the session asks for fewer."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))
