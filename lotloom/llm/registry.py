@@ -11,13 +11,18 @@ from .license_scan import op2_license_scan
 from .media import op10_media
 from .packing import op9_packing
 from .toxicity import op1_toxicity
+from .warc import ORACLE_SQL as WARC_SQL
+from .warc import op4_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
+    "op4_warc": op4_warc,
     "op7_token_files": op7_token_files,
     "op9_packing": op9_packing,
     "op10_media": op10_media,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_warc": WARC_SQL,
+}
