@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .binary_output import op7_token_files
+from .embedding_dedup import op3_embedding_dedup
 from .license_scan import op2_license_scan
 from .media import op10_media
 from .packing import op9_packing
@@ -17,6 +18,7 @@ from .warc import op4_warc
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_license_scan": op2_license_scan,
+    "op3_embedding_dedup": op3_embedding_dedup,
     "op4_warc": op4_warc,
     "op7_token_files": op7_token_files,
     "op9_packing": op9_packing,
