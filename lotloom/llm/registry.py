@@ -10,6 +10,7 @@ from .binary_output import op7_token_files
 from .embedding_dedup import op3_embedding_dedup
 from .license_scan import op2_license_scan
 from .media import op10_media
+from .minhash_dedup import op8_minhash_dedup
 from .packing import op9_packing
 from .toxicity import op1_toxicity
 from .warc import ORACLE_SQL as WARC_SQL
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_warc": op4_warc,
     "op7_token_files": op7_token_files,
+    "op8_minhash_dedup": op8_minhash_dedup,
     "op9_packing": op9_packing,
     "op10_media": op10_media,
 }
