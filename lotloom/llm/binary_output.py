@@ -16,7 +16,7 @@ from . import repair, scratch, tokens
 VOCABULARY = "word_bpe_49k.json"
 END = 1
 #: Ids that a shard holds before it is closed at the end of a document.
-SHARD_IDS = 3_000_000
+SHARD_IDS = 1_500_000
 
 MANIFEST = "part long, number long, file string, n_docs long, n_tokens long, n_bytes long"
 
@@ -108,7 +108,7 @@ def token_files(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     Empty tables give no rows. A null doc_id is kept as -1, which real ids don't use.
     """
     spark = docs.sparkSession
-    scratch.small_batches(spark)
+    scratch.small_batches(spark, 4000)
     folder = scratch.new_folder(spark, "shards")
     manifest = with_starts(scratch.table(write_shards(docs, folder, path, end), "manifest"))
     shards = max(1, manifest.count())

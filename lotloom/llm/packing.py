@@ -127,7 +127,7 @@ def packed(docs: DataFrame, path: str, end: int = END, longest: int = LENGTH, wi
     each row packed for itself. Other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    scratch.small_batches(spark)
+    scratch.small_batches(spark, 4000)
     cut = scratch.table(pieces(docs, path, end, longest, with_ids), "pieces")
     by_part = cut.groupBy("part", "length").agg(F.count("*").alias("pieces"))
     histogram = {r.length: r.pieces for r in by_part.groupBy("length").agg(F.sum("pieces").alias("pieces")).collect()}

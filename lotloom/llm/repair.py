@@ -11,6 +11,8 @@ import struct
 
 import numpy as np
 
+from . import vectext
+
 MAGIC = b"LLRP0001"
 #: A pair is replaced while it occurs so often in a shard.
 FREQUENT = 24
@@ -24,24 +26,41 @@ def _counted(pairs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ordered[at], np.diff(np.concatenate([at, [len(ordered)]]))
 
 
+#: log2 of the tables that pairs are first counted in, where several may share a place.
+TABLES = (18, 21)
+
+
+def _frequent(pairs: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places that may hold one, pairs, counts) of pairs about as frequent as the most frequent.
+
+    A table by hash gives each pair at least its count; only pairs that look frequent there are
+    sorted and counted. Without a pair so frequent the result is empty.
+    """
+    for bits, share in (*((b, SHARE) for b in TABLES), (TABLES[-1], 0.0)):
+        with np.errstate(over="ignore"):
+            place = (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
+        rough = np.bincount(place, minlength=1 << bits)
+        least = max(frequent, share * rough.max())
+        at = np.flatnonzero(rough[place] >= least)
+        if not len(at):
+            break
+        values, counts = _counted(pairs[at])
+        if counts.max() >= least:
+            return at, values[counts >= least], counts[counts >= least]
+    return pairs[:0], pairs[:0], pairs[:0]
+
+
 def compressed(ids: np.ndarray, symbols: int, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(left, right, sequence): rule k stands for symbol ``symbols`` + k and has two symbols below it."""
     sequence = ids.astype(np.int64)
     left, right, made = [], [], 0
     while len(sequence) > 1:
         pairs = sequence[:-1] * (symbols + made) + sequence[1:]
-        values, counts = _counted(pairs)
-        often = counts >= max(frequent, SHARE * counts.max())
-        if counts.max() < frequent:
+        at, values, counts = _frequent(pairs, frequent)
+        if not len(values):
             break
-        values, counts = values[often], counts[often]
         rank_of = np.empty(len(values), np.int64)
         rank_of[np.argsort(-counts, kind="stable")] = np.arange(len(values))
-        # a small table by hash rules out most places; those left are looked up
-        slots = 1 << max(12, int(len(values)).bit_length() + 3)
-        seen = np.zeros(slots, bool)
-        seen[values % slots] = True
-        at = np.flatnonzero(seen[pairs % slots])
         found = np.minimum(np.searchsorted(values, pairs[at]), len(values) - 1)
         good = values[found] == pairs[at]
         at, rank = at[good], rank_of[found[good]]
@@ -104,8 +123,10 @@ class Shard:
 
         self.docs, self.bounds = part("<i8", docs), part("<u8", docs + 1).astype(np.int64)
         self.left, self.right, self.lengths, self.sequence = part("<u4", rules), part("<u4", rules), part("<u4", rules), part("<u4", symbols_left)
-        size = np.where(self.sequence < self.symbols, 1, self.lengths[np.maximum(self.sequence.astype(np.int64) - self.symbols, 0)] if rules else 1)
-        self.ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])
+        # what each nonterminal stands for, one after the other; a plain symbol stands for itself
+        self.table = self._expanded(np.arange(self.symbols, self.symbols + rules, dtype=np.uint32))
+        self.begins = np.cumsum(self.lengths, dtype=np.int64) - self.lengths
+        self.ends = np.concatenate([[0], np.cumsum(self._sizes(self.sequence))])
 
     def _expanded(self, sequence: np.ndarray) -> np.ndarray:
         """Nonterminals are replaced by their two symbols until none is left."""
@@ -121,6 +142,12 @@ class Shard:
             out[begin[big] + 1] = self.right[rule[big]]
             sequence = out
 
+    def _sizes(self, sequence: np.ndarray) -> np.ndarray:
+        out = np.ones(len(sequence), np.int64)
+        big = sequence >= self.symbols
+        out[big] = self.lengths[sequence[big].astype(np.int64) - self.symbols]
+        return out
+
     def ids(self, begin: int = 0, end: int | None = None) -> np.ndarray:
         """The ids from ``begin`` to ``end``; only the symbols that cover them are expanded."""
         end = int(self.ends[-1]) if end is None else end
@@ -128,5 +155,8 @@ class Shard:
             return np.zeros(0, "<u4")
         first = int(np.searchsorted(self.ends, begin, "right")) - 1
         last = int(np.searchsorted(self.ends, end, "left"))
-        out = self._expanded(self.sequence[first:last])
+        some = self.sequence[first:last]
+        sizes, big = self._sizes(some), some >= self.symbols
+        out = np.repeat(some, sizes)
+        out[np.repeat(big, sizes)] = vectext.gather(self.table, self.begins[some[big].astype(np.int64) - self.symbols], sizes[big])
         return out[begin - self.ends[first] : end - self.ends[first]].astype("<u4")

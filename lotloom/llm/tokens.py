@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from . import vectext
 
 #: Distinct pieces a worker remembers, across the batches and tasks it runs.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 
 
 def vocabulary(name: str) -> str:
@@ -29,6 +29,12 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+# Marks that both vocabularies cut off from the letters before them (the apostrophe is none), and
+# words of letters that every version of Unicode has.
+MARKS = ".,!;:?%#$&*|\"()/-"
+LETTERS = "^[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0239]+$"
+
+
 class Encoder:
     """Encodes arrays of texts; ``drops_blanks`` tells that white space gives no ids at all."""
 
@@ -37,37 +43,54 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.drops_blanks = not self.library.encode(" \n\t ", add_special_tokens=False).ids
+        self.drops_blanks = not self._alone(" \n\t ")
+        self.lowers = self._alone("ABC\u00c9") == self._alone("abc\u00e9")
         self.size = self.library.get_vocab_size()
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        #: bytes of text that each id stands for; both vocabularies spell a byte as one character
+        self.bytes_of = np.zeros(self.size, np.int64)
+        for token, k in self.library.get_vocab().items():
+            self.bytes_of[k] = len(token.removesuffix("</w>"))
+
+    def _alone(self, text: str) -> list[int]:
+        return self.library.encode(text, add_special_tokens=False).ids
 
     def _fresh(self, pieces: list[str]) -> list[bytes]:
         """Ids of pieces not met before, many to a call of the library where that gives the same ids.
 
-        A piece that has no white space but a blank at its front can stand behind any other such
-        piece: the cut is at its blank. The library tells where in the call each id comes from.
+        A piece without white space, but for a blank at its front where blanks count, can stand
+        behind any other such piece: the cut is at its blank. Which ids are whose follows from
+        the bytes they stand for; a call in which those do not fit the pieces is done one by one.
         """
         out: dict[str, bytes] = {}
-        joined = [p for p in pieces if len(p.split()) == 1 and (p[:1] != " " if self.drops_blanks else p[:1] == " ") and not p[-1:].isspace() and not p[1:2].isspace()]
         blank = " " if self.drops_blanks else ""
+        if self.drops_blanks:
+            joined = [p for p in pieces if p.isalnum() or len(p.split()) == 1 and p == p.strip()]
+        else:
+            joined = [p for p in pieces if p[:1] == " " and (p[1:].isalnum() or len(p.split()) == 1 and p[1:] == p.strip())]
         calls = [joined[at : at + 200] for at in range(0, len(joined), 200)]
         for some, made in zip(calls, self.library.encode_batch([blank.join(c) for c in calls], add_special_tokens=False), strict=True):
-            begins = np.cumsum([len(p) + len(blank) for p in some])
             ids = np.array(made.ids, "<u4")
-            of = np.searchsorted(begins, np.array([a for a, _ in made.offsets], np.int64), "right")
-            cut = np.searchsorted(of, np.arange(len(some) + 1))
-            out.update((p, ids[a:b].tobytes()) for p, a, b in zip(some, cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+            ends = np.cumsum([len(p.encode()) for p in (blank.join(some).lower().split(" ") if self.lowers and self.drops_blanks else some)])
+            reached = np.cumsum(self.bytes_of[ids])
+            cut = np.searchsorted(reached, ends)
+            if len(ids) and reached[-1] == ends[-1] and (reached[cut] == ends).all():
+                data, at = ids.tobytes(), 0
+                for p, end in zip(some, ((cut + 1) * 4).tolist(), strict=True):
+                    out[p] = data[at:end]
+                    at = end
         alone = [p for p in pieces if p not in out]
         for piece, made in zip(alone, self.library.encode_batch(alone, add_special_tokens=False), strict=True):
             out[piece] = np.array(made.ids, "<u4").tobytes()
         return [out[p] for p in pieces]
 
     def _looked_up(self, pieces: list[str]) -> list[bytes]:
-        unknown = [p for p in pieces if p not in self.known]
-        if len(self.known) + len(unknown) > REMEMBERED:
-            self.known = {p: self.known[p] for p in pieces if p in self.known}
-        self.known.update(zip(unknown, self._fresh(unknown), strict=True))
-        return [self.known[p] for p in pieces]
+        known = self.known
+        unknown = list(dict.fromkeys(p for p in pieces if p not in known))
+        if len(known) + len(unknown) > REMEMBERED:
+            known = self.known = {"": b""} | {p: known[p] for p in pieces if p in known}
+        known.update(zip(unknown, self._fresh(unknown), strict=True))
+        return [known[p] for p in pieces]
 
     def encoded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other as uint32, number of ids of each text)."""
@@ -80,32 +103,46 @@ class Encoder:
             whole = pc.match_substring_regex(texts, r"[\s\x0b\x1c-\x1f\x85\p{Z}] (?:[\s\x0b\x1c-\x1f\x85\p{Z}]|$)|\s\z").to_numpy(zero_copy_only=False)
             split = pc.split_pattern(pc.if_else(pa.array(whole), "", texts), " ")
         lengths = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-        flat = split.flatten()
-        coded = flat.dictionary_encode()
-        codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        names = coded.dictionary.to_pylist()
-        if self.drops_blanks:
-            pieces = names
-        else:  # every piece but a text's first has a blank before it
-            first = np.concatenate([[0], np.cumsum(lengths)[:-1]]).astype(np.int64) if count else np.zeros(0, np.int64)
+        coded = split.flatten().dictionary_encode()
+        codes, names = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+        # a piece is a word and the marks behind it, or one thing as it stands
+        word = pc.utf8_rtrim(names, characters=MARKS)
+        plain = pc.match_substring_regex(word, LETTERS)
+        word = pc.if_else(plain, pc.utf8_lower(word) if self.lowers else word, names)
+        marked = np.flatnonzero((pc.binary_length(names).to_numpy(zero_copy_only=False) > pc.binary_length(word).to_numpy(zero_copy_only=False)) & plain.to_numpy(zero_copy_only=False))
+        words = word.dictionary_encode()
+        begin = "" if self.drops_blanks else " "  # every piece but a text's first has a blank before it
+        pieces = [begin + w for w in words.dictionary.to_pylist()]
+        front = words.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        back = np.full(len(names), len(pieces), np.int64)
+        pieces.append("")
+        tails: dict[str, int] = {}
+        for k, name in zip(marked.tolist(), names.take(pa.array(marked)).to_pylist(), strict=True):
+            back[k] = tails.setdefault(name[len(name.rstrip(MARKS)) :], len(pieces) + len(tails))
+        pieces += tails
+        if not self.drops_blanks:
+            first = (np.cumsum(lengths) - lengths).astype(np.int64)
             heads, place = np.unique(codes[first], return_inverse=True)
-            codes[first] = len(names) + place
-            pieces = [" " + n for n in names] + [names[k] for k in heads.tolist()]
-            used = np.zeros(len(pieces), bool)
-            used[codes] = True
-            pieces = [p if u else "" for p, u in zip(pieces, used.tolist(), strict=True)]
-        known = self._looked_up(list(dict.fromkeys(pieces)))
-        by_piece = dict(zip(dict.fromkeys(pieces), known, strict=True))
-        parts = [by_piece[p] for p in pieces]
+            codes[first] = len(front) + place
+            front = np.concatenate([front, len(pieces) + np.arange(len(heads))])
+            back = np.concatenate([back, np.full(len(heads), len(words.dictionary), np.int64)])
+            pieces += names.take(pa.array(heads)).to_pylist()
+        used = np.zeros(len(pieces), bool)
+        used[front[codes]] = True
+        used[back[codes]] = True
+        parts = self._looked_up([p if u else "" for p, u in zip(pieces, used.tolist(), strict=True)])
         if whole.any():
-            for row in np.flatnonzero(whole).tolist():  # replaces the one empty piece that stands there
-                codes[first[row]] = len(parts)
-                parts.append(np.array(self.library.encode(texts[row].as_py(), add_special_tokens=False).ids, "<u4").tobytes())
+            rows = np.flatnonzero(whole)  # each of these has the one empty piece so far
+            codes[first[rows]] = len(front) + np.arange(len(rows))
+            front = np.concatenate([front, len(parts) + np.arange(len(rows))])
+            back = np.concatenate([back, np.full(len(rows), len(words.dictionary), np.int64)])
+            parts += [np.array(self._alone(texts[row].as_py()), "<u4").tobytes() for row in rows.tolist()]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        table = np.frombuffer(b"".join(parts), "<u4")
         begins = np.cumsum(sizes) - sizes
-        ids = vectext.gather(table, begins[codes], sizes[codes])
-        ends = np.concatenate([[0], np.cumsum(sizes[codes])])
+        both = np.empty(2 * len(codes), np.int64)
+        both[0::2], both[1::2] = front[codes], back[codes]
+        ids = vectext.gather(np.frombuffer(b"".join(parts), "<u4"), begins[both], sizes[both])
+        ends = np.concatenate([[0], np.cumsum(sizes[front[codes]] + sizes[back[codes]])])
         bounds = np.concatenate([[0], np.cumsum(lengths)])
         return ids, ends[bounds[1:]] - ends[bounds[:-1]]
 
