@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .binary_output import op7_token_files
 from .embedding_dedup import op3_embedding_dedup
 from .license_scan import op2_license_scan
+from .line_dedup import ORACLE_SQL as LINE_DEDUP_SQL
+from .line_dedup import op5_line_dedup
 from .media import op10_media
 from .minhash_dedup import op8_minhash_dedup
 from .packing import op9_packing
@@ -21,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_warc": op4_warc,
+    "op5_line_dedup": op5_line_dedup,
     "op7_token_files": op7_token_files,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_packing": op9_packing,
@@ -29,4 +32,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": WARC_SQL,
+    "op5_line_dedup": LINE_DEDUP_SQL,
 }
