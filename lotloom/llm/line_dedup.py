@@ -119,14 +119,14 @@ def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = r"""
 with line as (
-  select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as at from documents
+  select doc_id, text, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as pos from documents
 ), filled as (
-  select doc_id, line, at, len(regexp_extract_all(line, '\S+')) as n, row_number() over (partition by doc_id order by at) as place
+  select doc_id, line, pos, len(regexp_extract_all(line, '\S+')) as n, row_number() over (partition by doc_id order by pos) as place
   from line where regexp_matches(line, '\S')
 ), summed as (
   select *, sum(n) over (partition by doc_id order by place) as upto from filled
 ), bounds as (
-  select a.doc_id, a.place as begin, min(b.place) as stop
+  select a.doc_id, a.place as lo, min(b.place) as hi
   from summed a join summed b on a.doc_id = b.doc_id and b.place >= a.place and b.place < a.place + 50 and b.upto - a.upto + a.n >= 50
   group by all
   union
@@ -136,18 +136,18 @@ with line as (
 ), whole as (
   select doc_id, list(line order by place) as lines from filled group by doc_id
 ), run as (
-  select doc_id, begin, stop, lines[begin:stop] as content from bounds join whole using (doc_id)
+  select doc_id, lo, hi, lines[lo:hi] as content from bounds join whole using (doc_id)
 ), ranked as (
-  select doc_id, begin, stop, row_number() over (partition by content order by doc_id, begin) as copy from run
+  select doc_id, lo, hi, row_number() over (partition by content order by doc_id, lo) as copy from run
 ), dead as (
-  select distinct doc_id, unnest(range(begin, stop + 1)) as place from ranked where copy > 1
+  select distinct doc_id, unnest(range(lo, hi + 1)) as place from ranked where copy > 1
 ), fate as (
-  select l.doc_id, l.at, l.line, f.place,
-         last_value(f.place ignore nulls) over (partition by l.doc_id order by l.at) as above
-  from line l left join filled f on l.doc_id = f.doc_id and l.at = f.at
+  select l.doc_id, l.pos, l.line, f.place,
+         last_value(f.place ignore nulls) over (partition by l.doc_id order by l.pos) as above
+  from line l left join filled f on l.doc_id = f.doc_id and l.pos = f.pos
 ), made as (
-  select x.doc_id, count(place) as n_lines, count(case when d.place is not null then x.place end) as n_deleted,
-         coalesce(string_agg(case when d.place is null then x.line end, chr(10) order by x.at), '') as text
+  select x.doc_id, count(x.place) as n_lines, count(case when d.place is not null then x.place end) as n_deleted,
+         coalesce(string_agg(case when d.place is null then x.line end, chr(10) order by x.pos), '') as text
   from fate x left join dead d on x.doc_id = d.doc_id and x.above = d.place group by x.doc_id
 )
 select d.doc_id, coalesce(n_lines, 0) as n_lines, coalesce(n_deleted, 0) as n_deleted,

@@ -13,6 +13,7 @@ from .line_dedup import ORACLE_SQL as LINE_DEDUP_SQL
 from .line_dedup import op5_line_dedup
 from .media import op10_media
 from .minhash_dedup import op8_minhash_dedup
+from .mixing import op6_mixing
 from .packing import op9_packing
 from .toxicity import op1_toxicity
 from .warc import ORACLE_SQL as WARC_SQL
@@ -24,6 +25,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_embedding_dedup": op3_embedding_dedup,
     "op4_warc": op4_warc,
     "op5_line_dedup": op5_line_dedup,
+    "op6_mixing": op6_mixing,
     "op7_token_files": op7_token_files,
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_packing": op9_packing,

@@ -9,6 +9,7 @@ of the task's output count, so a lost executor or a second attempt leaves nothin
 from __future__ import annotations
 
 import atexit
+import contextlib
 import io
 import tempfile
 import uuid
@@ -18,6 +19,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 _KEPT: list[tuple[SparkSession, str]] = []
+_OF_STAGE: list[tuple[SparkSession, str]] = []
+_now = _KEPT
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,9 +34,9 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A folder of its own for one use, removed by ``release``."""
+    """A folder of its own for one use, removed when the process ends or the next stage begins."""
     path = f"{shared_folder(spark).rstrip('/')}/lotloom/{name}-{uuid.uuid4().hex}"
-    _KEPT.append((spark, path))
+    _now.append((spark, path))
     return path
 
 
@@ -75,25 +78,36 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def mark() -> int:
-    """Position for ``release``: what is kept now."""
-    return len(_KEPT)
-
-
-def release(since: int = 0, until: int | None = None) -> None:
-    """Delete what was kept between two marks. Call it when no result that reads it is open."""
-    for spark, path in _KEPT[since:until]:
+def _deleted(kept: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in kept:
         jvm = spark.sparkContext._jvm
         if jvm is not None:
             where = jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    del _KEPT[since:until]
+    kept.clear()
+
+
+@contextlib.contextmanager
+def stage():
+    """While a stage of the pipeline plans its work: what the stages before kept goes first.
+
+    A stage reads its predecessor's output, which is written by then, so nothing needs their
+    scratch tables any more; its own stay until the next stage begins.
+    """
+    global _now
+    _deleted(_OF_STAGE)
+    _now = _OF_STAGE
+    try:
+        yield
+    finally:
+        _now = _KEPT
 
 
 @atexit.register
 def _at_exit() -> None:
     try:
-        release()
+        _deleted(_OF_STAGE)
+        _deleted(_KEPT)
     except Exception:  # noqa: BLE001  the session may be gone
         pass
 
