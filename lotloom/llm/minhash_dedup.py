@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import scratch, vectext
@@ -157,6 +157,24 @@ def verified(pairs: DataFrame, lists: DataFrame, alike: float) -> DataFrame:
     return both.where(close).where(common >= alike * (F.col("n_a") + F.col("n_b") - common) - 1e-9).select("a", "b")
 
 
+def sharing_rare(members: DataFrame, lists: DataFrame, alike: float) -> DataFrame:
+    """Pairs (a, b) of ``members`` (rep, outside, of) in different components that can be ``alike``.
+
+    Two sets with that similarity share one of the rarest (1 - alike) of either's elements, in any
+    order that is the same for all; here the rarest among the members come first. One of a pair is
+    outside the largest component of its bucket.
+    """
+    held = members.join(lists.select(F.col("doc_id").alias("rep"), F.size("list").alias("n"), F.explode("list").alias("g")), "rep")
+    often = held.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
+    ranked = held.join(often, "g", "left").withColumn("c", F.coalesce("c", F.lit(1)))
+    place = F.row_number().over(Window.partitionBy("rep").orderBy("c", "g"))
+    rare = scratch.table(ranked.withColumn("place", place).where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * alike - 1e-9) + 1) & (F.col("c") > 1)).select("rep", "outside", "of", "n", "g"), "rare-shingles")
+    a = rare.where("outside").select("g", F.col("rep").alias("x"), F.col("of").alias("of_x"), F.col("n").alias("n_x"))
+    b = rare.select("g", F.col("rep").alias("y"), F.col("of").alias("of_y"), F.col("n").alias("n_y"))
+    met = a.join(b, "g").where((F.col("of_x") != F.col("of_y")) & (F.least("n_x", "n_y") >= alike * F.greatest("n_x", "n_y") - 1e-9))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, alike: float = ALIKE, small: int = SMALL) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, rep_id, class_id, kept, tie (hash of the text).
 
@@ -166,9 +184,10 @@ def near_duplicates(docs: DataFrame, alike: float = ALIKE, small: int = SMALL) -
     nothing; rows without an id are kept and have no class. Other columns are not read.
 
     Of a bucket of at most ``small`` different texts all pairs are verified. In a larger one each
-    member is first verified against a few hubs of its bucket; then all pairs of members that are
-    not yet in one component are verified, so no link that joins two components is lost, and the
-    pairs inside a large group of near copies are never listed.
+    member is first verified against a few hubs of its bucket; then the pairs of members
+    that are not yet in one component and share a rare shingle, as any link must, are verified. So
+    no link that joins two components is lost, and the pairs inside a large group of near copies
+    are never listed.
     """
     spark = docs.sparkSession
     scratch.small_batches(spark)
@@ -195,10 +214,7 @@ def near_duplicates(docs: DataFrame, alike: float = ALIKE, small: int = SMALL) -
     split = parts.groupBy("band", "key").agg(F.count("*").alias("components"), F.max_by("of", "n").alias("largest")).where("components > 1")
     open_ = scratch.table(large.join(split, ["band", "key"]).select("band", "key", "rep", "of", (F.col("of") != F.col("largest")).alias("outside")), "open-buckets")
     if not open_.isEmpty():
-        # every pair across components has a member outside the largest component
-        outside = open_.where("outside").select("band", "key", F.col("rep").alias("a"), F.col("of").alias("of_a"))
-        across = outside.join(open_.select("band", "key", F.col("rep").alias("b"), F.col("of").alias("of_b")), ["band", "key"]).where("of_a <> of_b")
-        rest = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
+        rest = sharing_rare(open_.groupBy("rep").agg(F.max("outside").alias("outside"), F.min("of").alias("of")), lists, alike).join(tried, ["a", "b"], "left_anti")
         more = scratch.table(verified(rest, lists, alike), "links")
         links = links.unionByName(more)
         whole = scratch.table(components(links), "components")
