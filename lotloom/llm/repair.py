@@ -41,7 +41,7 @@ def _frequent(pairs: np.ndarray, frequent: int) -> tuple[np.ndarray, np.ndarray,
             place = (pairs.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).view(np.int64)
         rough = np.bincount(place, minlength=1 << bits)
         least = max(frequent, share * rough.max())
-        at = np.flatnonzero(rough[place] >= least)
+        at = np.flatnonzero((rough >= least)[place])
         if not len(at):
             break
         values, counts = _counted(pairs[at])
@@ -80,7 +80,6 @@ def compressed(ids: np.ndarray, symbols: int, frequent: int = FREQUENT) -> tuple
         chosen = values[by_rank[used]]
         left.append(chosen // (symbols + made))
         right.append(chosen % (symbols + made))
-        sequence = sequence.copy()
         sequence[at] = symbols + made + place
         gone = np.zeros(len(sequence), bool)
         gone[at + 1] = True

@@ -139,10 +139,14 @@ class Encoder:
             parts += [np.array(self._alone(texts[row].as_py()), "<u4").tobytes() for row in rows.tolist()]
         sizes = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         begins = np.cumsum(sizes) - sizes
-        both = np.empty(2 * len(codes), np.int64)
-        both[0::2], both[1::2] = front[codes], back[codes]
-        ids = vectext.gather(np.frombuffer(b"".join(parts), "<u4"), begins[both], sizes[both])
-        ends = np.concatenate([[0], np.cumsum(sizes[front[codes]] + sizes[back[codes]])])
+        # word and marks are put together once for each distinct piece, then pieces for each place
+        both = np.empty(2 * len(front), np.int64)
+        both[0::2], both[1::2] = front, back
+        table = vectext.gather(np.frombuffer(b"".join(parts), "<u4"), begins[both], sizes[both])
+        size = sizes[front] + sizes[back]
+        here = size[codes]
+        ids = vectext.gather(table, (np.cumsum(size) - size)[codes], here)
+        ends = np.concatenate([[0], np.cumsum(here)])
         bounds = np.concatenate([[0], np.cumsum(lengths)])
         return ids, ends[bounds[1:]] - ends[bounds[:-1]]
 
