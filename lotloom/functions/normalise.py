@@ -95,8 +95,7 @@ def parse_price(text: Column, hint: str | None = None) -> Column:
 
 def find_price(text: Column, hint: str | None = None) -> Column:
     """The last number of a line that a symbol or code marks as money."""
-    all_ = F.filter(F.flatten(F.array(*[F.array(F.element_at(F.regexp_extract_all(text, F.lit(MARKED), F.lit(0)), -1))])), lambda x: x.isNotNull())
-    last = F.get(all_, F.lit(0))
+    last = F.try_element_at(F.regexp_extract_all(text, F.lit(MARKED), F.lit(0)), F.lit(-1))
     return number(found(last, r"(\d+(?:[.,]\d+)*)"), hint)
 
 

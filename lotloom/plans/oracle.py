@@ -133,7 +133,7 @@ ORACLE_SQL = {
     "board_rank_new": _BOARDS + f"select buyer, part, state, matched_at from board order by matched_at desc nulls last, {_BEST} limit 300",
     "board_supplier_filter": _BOARDS + "select buyer, part, filled, suppliers from fill f where exists (select 1 from taken t where t.buyer = f.buyer and t.part = f.part and t.supplier = 7 and t.take > 0)",
     "board_facets": f"with {_LOTS} select distinct brand, category from lots",
-    "board_search_words": "select p_partkey, p_name, p_brand from part where strpos(lower(p_name || ' ' || p_brand || ' ' || p_size || 'gb'), 'st') > 0 and strpos(lower(p_name || ' ' || p_brand || ' ' || p_size || 'gb'), '1') > 0",
+    "board_search_words": "select p_partkey, p_name, p_brand from part where strpos(lower(p_name || ' ' || p_brand || ' ' || p_size || 'gb'), 'a') > 0 and strpos(lower(p_name || ' ' || p_brand || ' ' || p_size || 'gb'), '1') > 0",
     "offers_filtered_page": f"with {_LOTS} select supplier, part, quantity, price_cents from lots where grade = 'A' and quantity > 10 order by seen_at desc, supplier, part limit 500",
     "cheapest_lots": f"with {_LOTS}, p as (select *, row_number() over (partition by brand order by price_cents, supplier, part) as place from lots) select brand, place, supplier, part, price_cents from p where place <= 8",
     "sibling_network_inference": f"""with {_LOTS} select l.supplier, l.part, case when l.part % 7 = 0 then '5g' when exists (select 1 from lots x where x.supplier = l.supplier and x.brand = l.brand and x.part % 7 = 0) then '4g' end as network from lots l""",
@@ -187,4 +187,17 @@ ORACLE_SQL = {
     "norm_quantity": "select p_partkey, case when p_size > 0 then p_size end as quantity from part",
     "norm_ean": f"with {_COMPOSED} select p_partkey, ean from composed",
     "identity_key": f"with {_COMPOSED} select p_partkey, case when ean is not null then 'ean:' || ean || '|' else 'spec:' || lower(p_brand) || '|' || lower(p_name) || '|' end || p_size || '||||||' as identity_key from composed",
+    "extract_rows": f"""with {_COMPOSED} select p.p_brand as brand, p.p_name as description, c.ean, case when p.p_size > 0 then p.p_size end as quantity, c.c as price_cents, 'EUR' as currency, p.p_type as section
+      from part p join composed c using (p_partkey)""",
+    "completeness_decision": """with b as (select user_id, cast(ts as date) as d, count(*) as n, min(event_type) as t from events group by 1, 2),
+      w as (select *, cast(3 * (sum(n) over (partition by user_id) // count(*) over (partition by user_id)) as bigint) as typical from b)
+      select user_id, strftime(d, '%Y-%m-%d') as day, n, typical,
+             case when t = 'view' then false when t = 'click' and not (n <= 5 and n < 0.5 * typical) then true when n < 0.4 * typical then null
+                  when t = 'click' and n <= 5 and n < 0.5 * typical then null when t = 'click' then true when n <= 5 then null else true end as complete from w""",
+    "settle_decision": f"""with {_SNAP}, c as (select supplier, count(*) filter (where was and not here) as would_close, count(*) filter (where was) as live from side group by 1)
+      select *, case when would_close = 0 or would_close < 10 or would_close < 0.4 * live or supplier % 3 = 0 then 'replace' else 'add' end as decision from c""",
+    "import_verdict": f"""with {_SNAP}, c as (select supplier, count(*) as n, count(*) filter (where quantity > 48) as flagged, (select count(*) from old o where o.supplier = n.supplier) as before from new n group by 1)
+      select supplier, n, flagged, case when flagged >= 0.25 * n or n <= 0.5 * before then 'suspect' when n <= 0.8 * before or flagged > 0 then 'check' else 'healthy' end as verdict from c""",
+    "stream_ingest_dedup": "select distinct user_id, event_type from events",
+    "stream_board_equals_batch": _BOARDS + "select * from board",
 }

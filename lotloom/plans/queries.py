@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import decisions as d
 from ..functions import normalise as n
+from ..operators import extract as x
 from ..operators import matching as m
 from ..operators import reconcile as r
+from ..sources.grids import html_grids
 from ..sources.tables import cents, lots, requirements, snapshots, table
+from ..streaming import board
 
 #: Instant that ages are counted from.
 NOW = "2024-02-01 00:00:00"
@@ -70,7 +77,7 @@ def board_facets(spark, sf_dir):
     return lots(spark, sf_dir).select("brand", "category").distinct()
 
 
-def board_search_words(spark, sf_dir, words="st 1"):
+def board_search_words(spark, sf_dir, words="a 1"):
     part = table(spark, sf_dir, "part")
     hay = F.lower(F.concat_ws(" ", "p_name", "p_brand", F.concat(F.col("p_size").cast("string"), F.lit("gb"))))
     return part.where(F.forall(F.split(F.lit(words), " "), lambda w: F.contains(hay, w))).select("p_partkey", "p_name", "p_brand")
@@ -286,7 +293,63 @@ def classify_side(spark, sf_dir):
     return first.select("conv_id", "turn", got.alias("g")).select("conv_id", "turn", "g.side", "g.confidence", "g.needs_review")
 
 
+def _listed(spark, sf_dir):
+    """A price list in HTML for each brand: a heading for each type, then a line for each part."""
+    rows = _composed(spark, sf_dir).join(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_partkey")
+    money = F.format_string("€%d.%02d", (F.col("c") / 100).cast("bigint"), F.col("c") % 100)
+    rows = rows.join(table(spark, sf_dir, "part").select("p_partkey", cents(F.col("p_retailprice")).alias("c")), "p_partkey")
+    line = F.concat(F.lit("<tr><td>"), "p_name", F.lit("</td><td>"), F.coalesce("code", F.lit("")), F.lit("</td><td>"), "units", F.lit("</td><td>"), money, F.lit("</td></tr>"))
+    by_type = rows.groupBy("p_brand", "p_type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line")))), lambda x: x["line"]), "").alias("lines"))
+    by_type = by_type.withColumn("lines", F.concat(F.lit("<tr><td>"), "p_type", F.lit("</td><td></td></tr>"), "lines"))
+    head = "<table><tr><td>Dear buyer</td></tr><tr><td><table><tr><th>Artikelbezeichnung</th><th>EAN</th><th>Qty.</th><th>Preis</th></tr>"
+    return by_type.groupBy(F.col("p_brand").alias("key")).agg(F.concat(F.lit(head), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_type", "lines"))), lambda x: x["lines"]), ""), F.lit("<tr><td>TOTAL</td><td></td><td>1</td><td></td></tr></table></td></tr></table>")).alias("html"))
+
+
+def extract_rows(spark, sf_dir):
+    rows = x.extract_rows(html_grids(_listed(spark, sf_dir), "key", "html"))
+    return rows.select(F.col("key").alias("brand"), "description", "ean", "quantity", cents(F.col("price")).alias("price_cents"), "currency", "section")
+
+
+def completeness_decision(spark, sf_dir):
+    """Whether each sender's list of a day is whole, from its size beside the sender's usual list."""
+    e = table(spark, sf_dir, "events")
+    by = e.groupBy("user_id", F.to_date("ts").alias("d")).agg(F.count("*").alias("n"), F.min("event_type").alias("t"))
+    by = by.withColumn("typical", F.expr("cast(sum(n) over (partition by user_id) div count(*) over (partition by user_id) as bigint) * 3"))
+    got = d.completeness(F.col("n"), F.col("typical"), F.col("t") == "click", F.col("t") == "view", F.col("t") == "click")
+    return by.select("user_id", F.col("d").cast("string").alias("day"), "n", "typical", got.alias("complete"))
+
+
+def settle_decision(spark, sf_dir):
+    """What each supplier's list may do to the lots that it leaves out."""
+    acts = r.actions(*snapshots(spark, sf_dir)).groupBy("supplier").agg(F.count_if(F.col("kind").isin("close", "keep")).alias("would_close"), F.count_if(F.col("kind") != "insert").alias("live"))
+    answer = F.when(F.col("supplier") % 3 == 0, "complete").when(F.col("supplier") % 3 == 1, "addition")
+    return acts.select("supplier", "would_close", "live", d.settled(F.lit(True), F.col("would_close"), F.col("live"), answer).alias("decision"))
+
+
+def import_verdict(spark, sf_dir):
+    old, new = snapshots(spark, sf_dir)
+    before = old.groupBy("supplier").agg(F.count("*").alias("previous"))
+    now = new.groupBy("supplier").agg(F.count("*").alias("n"), F.count_if(F.col("quantity") > 48).alias("flagged"))
+    rows = now.join(before, "supplier", "left")
+    return rows.select("supplier", "n", "flagged", d.verdict(F.lit("applied"), F.col("n"), F.col("flagged"), F.col("previous"), F.lit(0)).alias("verdict"))
+
+
+def stream_ingest_dedup(spark, sf_dir):
+    """Events as a stream, each sender and type taken in once; the stream ends with what there is."""
+    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir() or 'file://' + tempfile.mkdtemp()}/ingest-{uuid.uuid4().hex}"
+    board.replay(board.events_stream(spark, sf_dir).select("user_id", "event_type"), ["user_id", "event_type"], f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.schema("user_id bigint, event_type string").parquet(f"{folder}/out")
+
+
+def stream_board_equals_batch(spark, sf_dir):
+    """A stored board without the lots of some parts, refreshed when these come: a full rebuild's rows."""
+    req, sup = _both(spark, sf_dir)
+    late = F.col("part") % 10 == 3
+    return board.refreshed(m.board(req, sup.where(~late)), req, sup, sup.where(late).select("part"))
+
+
 NAMES = [
+    extract_rows, completeness_decision, settle_decision, import_verdict, stream_ingest_dedup, stream_board_equals_batch,
     match_best_single, match_greedy_fill, match_sweep_supplier_cap, match_pair_combinations, match_triple_combinations, match_place_split,
     board_rows, board_tiles, board_rank_best, board_rank_new, board_supplier_filter, board_facets, board_search_words,
     offers_filtered_page, cheapest_lots, sibling_network_inference, alias_chain,
