@@ -200,4 +200,10 @@ ORACLE_SQL = {
       select supplier, n, flagged, case when flagged >= 0.25 * n or n <= 0.5 * before then 'suspect' when n <= 0.8 * before or flagged > 0 then 'check' else 'healthy' end as verdict from c""",
     "stream_ingest_dedup": "select distinct user_id, event_type from events",
     "stream_board_equals_batch": _BOARDS + "select * from board",
+    "match_near_miss": """with p as (select p_partkey as k, p_brand, p_type, p_size, split_part(p_name, ' ', 1) as colour from part)
+      select r.k as r, s.k as s, concat_ws(',', case when r.p_size is distinct from s.p_size then 'capacity' end, case when lower(r.colour) <> lower(s.colour) then 'colour' end) as differences
+      from p r join p s on r.p_brand = s.p_brand and r.p_type = s.p_type and r.k <> s.k where r.p_size is distinct from s.p_size or lower(r.colour) <> lower(s.colour)""",
+    "quoted_history": "select doc_id, md5(regexp_replace(coalesce(text, ''), '\\s+$', '')) as kept_md5 from documents",
+    "company_match": "select c_custkey as subject_id, s_suppkey as company_id from customer left join supplier on s_name = 'Supplier#' || lpad(cast(c_custkey % 150 as varchar), 9, '0')",
+    "source_gate": "select conv_id, turn, turn = 0 as keep from conversations",
 }

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -10,10 +9,14 @@ from pyspark.sql import functions as F
 
 from ..functions import decisions as d
 from ..functions import normalise as n
+from ..functions import wording as w
+from ..operators import attribution as at
 from ..operators import extract as x
 from ..operators import matching as m
+from ..operators import near
 from ..operators import reconcile as r
 from ..sources.grids import html_grids
+from ..sources.shared import shared_folder
 from ..sources.tables import cents, lots, requirements, snapshots, table
 from ..streaming import board
 
@@ -89,8 +92,8 @@ def offers_filtered_page(spark, sf_dir):
 
 
 def cheapest_lots(spark, sf_dir):
-    w = Window.partitionBy("brand").orderBy("price_cents", "supplier", "part")
-    return lots(spark, sf_dir).withColumn("place", F.row_number().over(w)).where("place <= 8").select("brand", "place", "supplier", "part", "price_cents")
+    by = Window.partitionBy("brand").orderBy("price_cents", "supplier", "part")
+    return lots(spark, sf_dir).withColumn("place", F.row_number().over(by)).where("place <= 8").select("brand", "place", "supplier", "part", "price_cents")
 
 
 def sibling_network_inference(spark, sf_dir):
@@ -336,7 +339,7 @@ def import_verdict(spark, sf_dir):
 
 def stream_ingest_dedup(spark, sf_dir):
     """Events as a stream, each sender and type taken in once; the stream ends with what there is."""
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or spark.sparkContext.getCheckpointDir() or 'file://' + tempfile.mkdtemp()}/ingest-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     board.replay(board.events_stream(spark, sf_dir).select("user_id", "event_type"), ["user_id", "event_type"], f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.schema("user_id bigint, event_type string").parquet(f"{folder}/out")
 
@@ -348,7 +351,39 @@ def stream_board_equals_batch(spark, sf_dir):
     return board.refreshed(m.board(req, sup.where(~late)), req, sup, sup.where(late).select("part"))
 
 
+def match_near_miss(spark, sf_dir):
+    """Parts offered for another of their brand and type, with what differs."""
+    part = table(spark, sf_dir, "part")
+    one = lambda c: part.select("p_brand", "p_type", F.col("p_partkey").alias(c), F.col("p_size").alias(f"{c}_capacity"), F.element_at(F.split("p_name", " "), 1).alias(f"{c}_colour"))
+    pairs = one("r").join(one("s"), ["p_brand", "p_type"]).where("r <> s").withColumn("relation", F.lit("same"))
+    return near.near_misses(pairs).select("r", "s", F.array_join(F.transform("differences", lambda d: d["name"]), ",").alias("differences"))
+
+
+def lots_dedupe_batches(spark, sf_dir):
+    order = Window.partitionBy("l_suppkey", "l_partkey").orderBy("l_orderkey", "l_linenumber", "l_shipdate", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    lines = table(spark, sf_dir, "lineitem").withColumn("position", F.row_number().over(order)).withColumn("price", F.expr("floor(l_extendedprice * 100 + 0.5) div cast(l_quantity as bigint)"))
+    return near.once(lines.select("l_suppkey", "l_partkey", "position", F.col("l_returnflag").alias("batch"), F.col("l_quantity").alias("quantity"), F.col("price").alias("price_cents")), ["l_suppkey", "l_partkey"])
+
+
+def quoted_history(spark, sf_dir):
+    body = F.concat(F.coalesce("text", F.lit("")), F.lit("\nOn Tue, A wrote:\n> see below\n"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(w.without_quoted_history(body)).alias("kept_md5"))
+
+
+def company_match(spark, sf_dir):
+    companies = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("company_id"), F.concat("s_name", F.lit(" Trading GmbH")).alias("name"))
+    subjects = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("subject_id"), F.concat(F.lit("supplier "), F.lpad((F.col("c_custkey") % 150).cast("string"), 9, "0"), F.lit(" SpA")).alias("name"))
+    return at.company_of(subjects, companies).select("subject_id", "company_id")
+
+
+def source_gate(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    subject = F.when(F.col("turn") == 0, "Price LIST").otherwise("hello")
+    return rows.select("conv_id", "turn", at.kept_by_gate(subject, F.col("text"), F.col("role") == "none").alias("keep"))
+
+
 NAMES = [
+    match_near_miss, lots_dedupe_batches, quoted_history, company_match, source_gate,
     extract_rows, completeness_decision, settle_decision, import_verdict, stream_ingest_dedup, stream_board_equals_batch,
     match_best_single, match_greedy_fill, match_sweep_supplier_cap, match_pair_combinations, match_triple_combinations, match_place_split,
     board_rows, board_tiles, board_rank_best, board_rank_new, board_supplier_filter, board_facets, board_search_words,
