@@ -1,7 +1,6 @@
 """Tables and files that an operator keeps for a while, in the folder all executors share.
 
-The folder is ``spark.checkpoint.dir``. Where the session sets none (tests, one machine), a
-temporary folder is made and set. Every table is written by Spark's own committer; files written
+The folder is ``spark.checkpoint.dir``. Every table is written by Spark's own committer; files written
 by Python tasks carry a name of their own per attempt, and only the names that reach the manifest
 of the task's output count, so a lost executor or a second attempt leaves nothing wrong behind.
 """
@@ -11,31 +10,22 @@ from __future__ import annotations
 import atexit
 import contextlib
 import io
-import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.shared import shared_folder
+
 _KEPT: list[tuple[SparkSession, str]] = []
 _OF_STAGE: list[tuple[SparkSession, str]] = []
 _now = _KEPT
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """URI of the folder that the driver and all executors see."""
-    there = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not there:
-        there = "file://" + tempfile.mkdtemp(prefix="lotloom-")
-        spark.sparkContext.setCheckpointDir(there)
-        there = spark.sparkContext.getCheckpointDir()
-    return there if "://" in there or there.startswith("file:/") else "file://" + there
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A folder of its own for one use, removed when the process ends or the next stage begins."""
-    path = f"{shared_folder(spark).rstrip('/')}/lotloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/lotloom/{name}-{uuid.uuid4().hex}"
     _now.append((spark, path))
     return path
 
@@ -62,11 +52,11 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(made, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent).as_posix())
-    uri = f"{shared_folder(spark).rstrip('/')}/lotloom-{uuid.uuid4().hex}.zip"
-    fs, path = filesystem(uri)
-    fs.create_dir(path.rpartition("/")[0], recursive=True)
-    with fs.open_output_stream(path) as out:
-        out.write(made.getvalue())
+    uri = f"{shared_folder(spark)}/lotloom-{uuid.uuid4().hex}.zip"
+    where = context._jvm.org.apache.hadoop.fs.Path(uri)
+    out = where.getFileSystem(context._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(made.getvalue()))
+    out.close()
     context.addPyFile(uri)
 
 
