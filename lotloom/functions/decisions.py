@@ -57,3 +57,22 @@ def settled(complete: Column, would_close: Column, live: Column, answer: Column)
 def decided_side(side: Column, confidence: Column, needs_review: Column, external: Column) -> Column:
     """The side of a message from the rules and an optional outside answer; null where they disagree."""
     return F.when((confidence >= 0.9) & ~needs_review, side).when(external.isNull(), side).when(side.isNull() | (side == external), external)
+
+
+def confidence(description: Column, known: Column, price: Column, ambiguous: Column, currency: Column, assumed: Column, quantity: Column, vague: Column, side: Column) -> Column:
+    """map of field to confidence, and ``overall``, the least of them.
+
+    known: the line has a brand or barcode; ambiguous: the price as written may be a thousandth;
+    assumed: the currency is the supplier's usual one; vague: the quantity as written is a bound.
+    """
+    words = F.size(F.filter(F.split(F.coalesce(description, F.lit("")), r"(?U)\W+"), lambda w: F.length(w) > 1))
+    named = F.trim(F.coalesce(description, F.lit(""))) != ""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    fields = {
+        "description": F.when(~named, 0.0).when(yes(known), 1.0).when(words >= 3, 0.7).otherwise(0.4),
+        "price": F.when(price.isNull(), F.when(side == "buy", 1.0).otherwise(0.5)).when(yes(ambiguous), 0.45).otherwise(1.0),
+        "currency": F.when(price.isNull(), F.lit(None).cast("double")).when(currency.isNull(), 0.3).when(yes(assumed), 0.75).otherwise(1.0),
+        "quantity": F.when(quantity.isNull(), 0.85).when(yes(vague), 0.6).otherwise(1.0),
+    }
+    least = F.least(*fields.values())
+    return F.map_filter(F.create_map(*[x for k, v in [*fields.items(), ("overall", least)] for x in (F.lit(k), v)]), lambda _, v: v.isNotNull())

@@ -95,3 +95,29 @@ def without_quoted_history(body: Column) -> Column:
     kept, dropped = F.substring(body, F.lit(1), cut - 1), F.substring(body, cut, F.length(body))
     whole = cut.isNull() | dropped.rlike(FORWARD) | (price_lines(dropped) > price_lines(kept))
     return F.when(whole, body).otherwise(F.regexp_replace(kept, r"\s+$", ""))
+
+
+# Fixed patterns, in order: what names a brand.
+BRANDS = [
+    (r"\b(?:iphone|ipad|airpods?|airtag|macbook|imac|apple\s*watch|magsafe|apple)\b", "Apple"),
+    (r"(?<!galaxy )(?<!huawei )(?<!honor )\bwatch\s*(?:ultra|series|se)\b", "Apple"),
+    (r"\b(?:beats|powerbeats|solo\s*buds|studio\s*buds)\b", "Apple"),
+    (r"\b(?:sandisk|cruzer|extreme\s*pro)\b|\bultra\b[^\n]{0,28}\bflash\s*drive\b|\b(?:ultra|extreme)\s*(?:flair|fit|dual|shift|luxe|go)\b", "SanDisk"),
+    (r"\bSM[\s-]?[A-Z]\d{3}", "Samsung"), (r"\b(?:samsung|galaxy)\b", "Samsung"), (r"\b(?:google\s*pixel|pixel|google)\b", "Google"),
+    (r"\b(?:xiaomi|redmi|poco|mi\s*band)\b", "Xiaomi"), (r"(?:\bmotorola\b|\bmot\.|\bmoto\s*[ge]\b|\bmoto\b|\brazr\b)", "Motorola"), (r"\bninja\b", "Ninja"),
+    (r"\b(?:nothing\s*(?:phone|watch|ear)|nothing)\b", "Nothing"), (r"\b(?:dyson|airwrap|supersonic)\b", "Dyson"), (r"\bgopro\b", "GoPro"), (r"\b(?:dji|osmo|mavic|ronin)\b", "DJI"),
+    (r"\bmarshall\b", "Marshall"), (r"\b(?:amazon|echo\s*(?:dot|spot|show)|fire\s*(?:hd|tv)|kindle|alexa)\b", "Amazon"), (r"\bdreame\b", "Dreame"), (r"\bcat\s*s\d{2}\b", "CAT"),
+    (r"\b(?:bosch|philips|braun)\b", "Other"), (r"\b(?:oneplus|one\s*plus)\b", "OnePlus"), (r"\b(?:playstation|ps5|ps4|sony|bravia|xperia)\b|\b(?:WH|WF)-[A-Z0-9]{4,}|\bXQ-[A-Z]{2}\d{2}", "Sony"),
+    (r"\b(?:nintendo|switch\s*2|switch)\b", "Nintendo"), (r"\bhonor\b", "Honor"), (r"\bhuawei\b", "Huawei"), (r"\boppo\b", "Oppo"), (r"\bvivo\b", "Vivo"), (r"\brealme\b", "Realme"),
+    (r"\bnokia\b", "Nokia"), (r"\b(?:microsoft|xbox|surface)\b", "Microsoft"), (r"\b(?:lenovo|thinkpad)\b", "Lenovo"), (r"\basus\b", "Asus"), (r"\bacer\b", "Acer"),
+    (r"\b(?:hewlett|hp)\b", "HP"), (r"\bdell\b", "Dell"), (r"\btcl\b", "TCL"), (r"\blg\b", "LG"), (r"\bjbl\b", "JBL"), (r"\banker\b", "Anker"), (r"\bbelkin\b", "Belkin"),
+    (r"\b4smarts\b", "4smarts"), (r"\bamazfit\b", "Amazfit"), (r"\bgarmin\b", "Garmin"),
+]
+SAMSUNG_CODE = r"\b[ASFGZN]\d{3}[A-Z]?\b"
+SAMSUNG_CONTEXT = r"(?i)\b(?:5g|lte|ds|duos|ent\.?\s*ed\.?)\b|\b\d{1,2}\s*\+\s*\d{2,4}\b"
+
+
+def brand(text: Column) -> Column:
+    """The first brand of the list that the text names; else Samsung by a part code in its usual company."""
+    named = [F.when(text.rlike(f"(?i){pattern}"), F.lit(name)) for pattern, name in BRANDS]
+    return F.coalesce(*named, F.when(text.rlike(SAMSUNG_CODE) & text.rlike(SAMSUNG_CONTEXT), F.lit("Samsung")))

@@ -112,3 +112,25 @@ def same_day(rows: DataFrame, key: str, at: str, content: str, tie: str, zone: s
     rows = rows.withColumn("__day", day).withColumn("__prior_day", F.lag("__day").over(w)).withColumn("__prior", F.lag(content).over(w))
     what = F.when(F.col("__prior_day").isNull() | (F.col("__prior_day") != F.col("__day")), "apply").when(F.col("__prior").eqNullSafe(F.col(content)), "same").otherwise("hold")
     return rows.withColumn("decision", what).drop("__day", "__prior_day", "__prior")
+
+
+def list_scope(live: DataFrame, covered: list[str | None], confirmed: list[str | None] = ()) -> DataFrame:
+    """The live rows (id, category, email) that a list of these categories speaks for.
+
+    Categories: those covered, and all that share an email with one of them by habit, less those a
+    whole list confirmed today. A row of its email's habits is spoken for by its category; a stray
+    or uncategorised one by its email, if that has any such habit. A list without any category
+    speaks for uncategorised rows, unless uncategorised ones are confirmed.
+    """
+    real = sorted({c for c in covered if c is not None})
+    if not real:
+        return live.where("category is null").select("id") if None not in confirmed else live.limit(0).select("id")
+    rows = live.withColumn("email", F.coalesce("email", F.concat(F.lit("row:"), F.col("id").cast("string"))))
+    habits = habitual(rows, "email", "category").groupBy("email").agg(F.collect_set("category").alias("habits"))
+    rows = rows.join(habits, "email", "left").withColumn("habits", F.coalesce("habits", F.array().cast("array<string>")))
+    also = habits.where(F.arrays_overlap("habits", F.array(*map(F.lit, real)))).select(F.explode("habits").alias("c"))
+    spoken = also.unionByName(live.sparkSession.createDataFrame([(c,) for c in real], "c string")).distinct().where(~F.col("c").isin([c for c in confirmed if c is not None]))
+    any_habit = habits.select("email", F.explode("habits").alias("c")).join(spoken, "c", "left_semi").select("email").distinct().withColumn("speaks", F.lit(True))
+    rows = rows.join(any_habit, "email", "left").join(spoken.withColumn("named", F.lit(True)), F.col("category") == F.col("c"), "left")
+    by_habit = F.coalesce(F.array_contains("habits", F.col("category")), F.lit(False))
+    return rows.where(F.when(by_habit, F.col("named")).otherwise(F.col("speaks"))).select("id")

@@ -2,8 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from lotloom.functions import decisions
 from lotloom.functions import wording as w
-from lotloom.operators import near
+from lotloom.operators import near, reconcile
 
 from .test_core import values
 
@@ -50,3 +51,26 @@ def test_scores_and_folds(spark):
     assert [o.k for o in options.select(near.stored_options(F.col("o")).alias("v")).first().v] == [0, 1, 2, 3, 4, 6]
     lines = spark.createDataFrame([("a", 1, "s", 3, 615), ("a", 2, "s", 4, 615), ("a", 3, "s", 7, 615), ("b", 1, "", 3, 5), ("b", 2, "", 4, 5), ("c", 1, "s", 3, 5), ("c", 2, "s", 4, 6), ("d", 1, None, None, None)], "id string, position int, batch string, quantity int, price_cents long")
     assert sorted(tuple(r) for r in near.once(lines, ["id"]).collect()) == [("a", 7, 615, 1, 1), ("b", 3, 5, 0, 1), ("c", 3, 5, 0, 1), ("d", None, None, 0, 0)]
+
+
+def test_brands(spark):
+    cases = {"Galaxy Watch Ultra (SM-L705F)": "Samsung", "Watch Ultra 3 LTE": "Apple", "A576 5G DS": "Samsung", "M404 printer": None, "Mot. Edge": "Motorola", "WH-1000XM5": "Sony", "Ultra Flair 64GB": "SanDisk", None: None}
+    assert values(spark, list(cases), w.brand) == list(cases.values())
+
+
+def test_scope(spark):
+    rows = [(i, c, e) for e, cs in {"one": ["phone"] * 30 + ["tablet"] * 3 + ["cable"] + [None], "two": ["tv"] * 5, "three": [None]}.items() for i, c in enumerate(cs, {"one": 0, "two": 100, "three": 200}[e])]
+    live = spark.createDataFrame(rows, "id int, category string, email string")
+    got = lambda *a: {r.id for r in reconcile.list_scope(live, *a).collect()}
+    assert got(["phone"]) == set(range(35)) and got(["tv"]) == set(range(100, 105)) and got([None]) == {34, 200}
+    assert got(["phone"], ["tablet"]) == set(range(30)) | {33, 34} and got([None], [None]) == set() and got(["cable"]) == set()
+
+
+def test_confidence(spark):
+    rows = spark.createDataFrame([("S25 Ultra", True, 1.0, False, "EUR", False, 5, False, "sell"), ("one two three", False, None, None, None, None, None, None, "sell"), ("x", False, 1.0, True, None, False, 5, True, "buy"), (" ", True, 1.0, False, "EUR", True, 1, False, "sell")], "d string, k boolean, p double, a boolean, c string, s boolean, q int, v boolean, side string")
+    assert [r[0] for r in rows.select(decisions.confidence(*map(F.col, rows.columns))).collect()] == [
+        {"description": 1.0, "price": 1.0, "currency": 1.0, "quantity": 1.0, "overall": 1.0},
+        {"description": 0.7, "price": 0.5, "quantity": 0.85, "overall": 0.5},
+        {"description": 0.4, "price": 0.45, "currency": 0.3, "quantity": 0.6, "overall": 0.3},
+        {"description": 0.0, "price": 1.0, "currency": 0.75, "quantity": 1.0, "overall": 0.0},
+    ]
