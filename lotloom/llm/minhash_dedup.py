@@ -160,19 +160,30 @@ def verified(pairs: DataFrame, lists: DataFrame, alike: float) -> DataFrame:
 def sharing_rare(members: DataFrame, lists: DataFrame, alike: float) -> DataFrame:
     """Pairs (a, b) of ``members`` (rep, outside, of) in different components that can be ``alike``.
 
-    Two sets with that similarity share one of the rarest (1 - alike) of either's elements, in any
-    order that is the same for all; here the rarest among the members come first. One of a pair is
-    outside the largest component of its bucket.
+    In any order of elements that is the same for all, the rarest among the members first here: if
+    two sets are alike, the smaller has one of its first n - ceil(2 s n / (1 + s)) + 1 elements among
+    the first n - ceil(s n) + 1 of the larger. And they have no more in common than either has
+    elements that any other member has. One of a pair is outside the largest component of its
+    bucket.
     """
     held = members.join(lists.select(F.col("doc_id").alias("rep"), F.size("list").alias("n"), F.explode("list").alias("g")), "rep")
     often = held.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
     ranked = held.join(often, "g", "left").withColumn("c", F.coalesce("c", F.lit(1)))
-    place = F.row_number().over(Window.partitionBy("rep").orderBy("c", "g"))
-    rare = scratch.table(ranked.withColumn("place", place).where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * alike - 1e-9) + 1) & (F.col("c") > 1)).select("rep", "outside", "of", "n", "g"), "rare-shingles")
-    a = rare.where("outside").select("g", F.col("rep").alias("x"), F.col("of").alias("of_x"), F.col("n").alias("n_x"))
-    b = rare.select("g", F.col("rep").alias("y"), F.col("of").alias("of_y"), F.col("n").alias("n_y"))
-    met = a.join(b, "g").where((F.col("of_x") != F.col("of_y")) & (F.least("n_x", "n_y") >= alike * F.greatest("n_x", "n_y") - 1e-9))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("c", "g"))).where("c > 1")
+    met = F.count("*").over(Window.partitionBy("rep"))
+    first = lambda share: F.col("place") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
+    rare = scratch.table(ranked.withColumn("m", met).where(first(alike)).select("rep", "outside", "of", "n", "m", "g", first(2 * alike / (1 + alike)).alias("index")), "rare-shingles")
+    side = lambda rows, t: rows.select("g", *[F.col(c).alias(f"{c}_{t}") for c in ("rep", "of", "n", "m")])
+    common = F.least("m_x", "m_y")
+    fits = (F.col("n_x") >= alike * F.col("n_y") - 1e-9) & (common >= alike * (F.col("n_x") + F.col("n_y") - common) - 1e-9)
+    ordered = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("rep_x") < F.col("rep_y")))
+    out = None
+    for small, large in ((rare.where("index and outside"), rare), (rare.where("index and not outside"), rare.where("outside"))):
+        x, y = side(small, "x"), side(large, "y")
+        pairs = x.join(y, (x["g"] == y["g"]) & (F.col("of_x") != F.col("of_y")) & ordered & fits)
+        pairs = pairs.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b"))
+        out = pairs if out is None else out.unionByName(pairs)
+    return out.distinct()
 
 
 def near_duplicates(docs: DataFrame, alike: float = ALIKE, small: int = SMALL) -> DataFrame:
