@@ -206,4 +206,7 @@ ORACLE_SQL = {
     "quoted_history": "select doc_id, md5(regexp_replace(coalesce(text, ''), '\\s+$', '')) as kept_md5 from documents",
     "company_match": "select c_custkey as subject_id, s_suppkey as company_id from customer left join supplier on s_name = 'Supplier#' || lpad(cast(c_custkey % 150 as varchar), 9, '0')",
     "source_gate": "select conv_id, turn, turn = 0 as keep from conversations",
+    "norm_product": """select p_partkey, case p_partkey % 4 when 0 then 8 when 1 then 12 end as ram_gb, case p_partkey % 4 when 0 then 256 when 1 then 128 when 2 then 1024 end as capacity_gb,
+      case p_partkey % 4 when 2 then 'Open Market' when 3 then 'Enterprise Edition' end as edition, case p_partkey % 4 when 0 then '5g' when 1 then '4g' end as network,
+      p_brand || ' ' || case p_partkey % 4 when 0 then '8/256GB 5G' when 1 then '12GB RAM 128GB LTE' when 2 then '1TGB OM' else 'Ent.Ed' end as bare from part""",
 }

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import decisions as d
 from ..functions import normalise as n
+from ..functions import product as p
 from ..functions import wording as w
 from ..operators import attribution as at
 from ..operators import extract as x
@@ -382,8 +383,17 @@ def source_gate(spark, sf_dir):
     return rows.select("conv_id", "turn", at.kept_by_gate(subject, F.col("text"), F.col("role") == "none").alias("keep"))
 
 
+def norm_product(spark, sf_dir):
+    """Memory, edition, network and the line without its price, of composed product lines."""
+    k = F.col("p_partkey") % 4
+    size = F.when(k == 0, "8/256GB 5G 905 USD").when(k == 1, "12GB RAM 128GB LTE").when(k == 2, "1TGB OM €12").otherwise("Ent.Ed")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_brand", size).alias("line"))
+    line = F.col("line")
+    return rows.select("p_partkey", p.memory(line).alias("m"), p.edition(line).alias("edition"), p.network(line).alias("network"), p.without_prices(line).alias("bare")).select("p_partkey", "m.ram_gb", "m.capacity_gb", "edition", "network", "bare")
+
+
 NAMES = [
-    match_near_miss, lots_dedupe_batches, quoted_history, company_match, source_gate,
+    norm_product, match_near_miss, lots_dedupe_batches, quoted_history, company_match, source_gate,
     extract_rows, completeness_decision, settle_decision, import_verdict, stream_ingest_dedup, stream_board_equals_batch,
     match_best_single, match_greedy_fill, match_sweep_supplier_cap, match_pair_combinations, match_triple_combinations, match_place_split,
     board_rows, board_tiles, board_rank_best, board_rank_new, board_supplier_filter, board_facets, board_search_words,
