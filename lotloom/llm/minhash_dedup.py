@@ -162,19 +162,18 @@ def sharing_rare(members: DataFrame, lists: DataFrame, alike: float) -> DataFram
 
     In any order of elements that is the same for all, the rarest among the members first here: if
     two sets are alike, the smaller has one of its first n - ceil(2 s n / (1 + s)) + 1 elements among
-    the first n - ceil(s n) + 1 of the larger. And they have no more in common than either has
-    elements that any other member has. One of a pair is outside the largest component of its
+    the first n - ceil(s n) + 1 of the larger. And from the first element that they share on, they
+    share no more than either has left. One of a pair is outside the largest component of its
     bucket.
     """
     held = members.join(lists.select(F.col("doc_id").alias("rep"), F.size("list").alias("n"), F.explode("list").alias("g")), "rep")
     often = held.groupBy("g").agg(F.count("*").alias("c")).where("c > 1")
     ranked = held.join(often, "g", "left").withColumn("c", F.coalesce("c", F.lit(1)))
     ranked = ranked.withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy("c", "g"))).where("c > 1")
-    met = F.count("*").over(Window.partitionBy("rep"))
     first = lambda share: F.col("place") <= F.col("n") - F.ceil(F.col("n") * share - 1e-9) + 1
-    rare = scratch.table(ranked.withColumn("m", met).where(first(alike)).select("rep", "outside", "of", "n", "m", "g", first(2 * alike / (1 + alike)).alias("index")), "rare-shingles")
-    side = lambda rows, t: rows.select("g", *[F.col(c).alias(f"{c}_{t}") for c in ("rep", "of", "n", "m")])
-    common = F.least("m_x", "m_y")
+    rare = scratch.table(ranked.where(first(alike)).select("rep", "outside", "of", "n", "place", "g", first(2 * alike / (1 + alike)).alias("index")), "rare-shingles")
+    side = lambda rows, t: rows.select("g", *[F.col(c).alias(f"{c}_{t}") for c in ("rep", "of", "n", "place")])
+    common = F.least(F.col("n_x") - F.col("place_x"), F.col("n_y") - F.col("place_y")) + 1
     fits = (F.col("n_x") >= alike * F.col("n_y") - 1e-9) & (common >= alike * (F.col("n_x") + F.col("n_y") - common) - 1e-9)
     ordered = (F.col("n_x") < F.col("n_y")) | ((F.col("n_x") == F.col("n_y")) & (F.col("rep_x") < F.col("rep_y")))
     out = None
