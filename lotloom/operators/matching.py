@@ -114,6 +114,84 @@ def placed(req: DataFrame, sup: DataFrame, buyers: int = 3) -> DataFrame:
     return c.groupBy(*key).agg(F.sum("give").alias("placed"), F.count("*").alias("buyers"), F.sum(F.col("give") * (F.col("limit_cents") - F.col("price_cents"))).alias("total_margin")).where("buyers > 1")
 
 
+def options(req: DataFrame, sup: DataFrame) -> DataFrame:
+    """``options``: every way to fill each requirement with supply, as an array of structs.
+
+    Each lot alone; where no priced lot fills the requirement alone also pairs and triples of the
+    POOL cheapest priced lots, and the sweep over all priced lots. The score is the margin in
+    80,000ths of a cent, less 5 % for each further supplier, 10 % for several countries and 15 % for
+    a shortfall. An unknown margin scores from -1 to -0.1 whole units by the share that is filled,
+    of which an unpriced lot keeps 0.8. Options in descending order: score, then lots alone before
+    pairs, triples and the sweep, then cheaper lots.
+    """
+    lot = F.struct(F.col("price_cents").isNull().alias("unpriced"), "price_cents", "supplier", F.col("quantity").cast("bigint").alias("quantity"), "country", "seen_at")
+    c = candidates(req, sup).groupBy(*KEY, "wanted", "limit_cents").agg(F.array_sort(F.collect_list(lot)).alias("lots"))
+    c = c.withColumn("priced", F.filter("lots", lambda x: ~x["unpriced"])).withColumn("pool", F.slice("priced", 1, POOL))
+    c = c.withColumn("need", F.when(F.col("wanted") > 0, F.col("wanted")).cast("bigint"))
+    need, pool = F.col("need"), F.col("pool")
+
+    def option(kind: int, place: Column, legs: Column, filled: Column, cost: Column) -> Column:
+        who = F.array_distinct(F.transform(legs, lambda x: x["supplier"]))
+        lands = F.array_distinct(F.filter(F.transform(legs, lambda x: x["country"]), lambda x: x.isNotNull() & (x != "")))
+        short, margin = F.coalesce(filled < need, F.lit(False)), F.col("limit_cents") * filled - cost
+        factor = F.when(F.size(who) > 2, 361).when(F.size(who) > 1, 380).otherwise(400) * F.when(F.size(lands) > 1, 9).otherwise(10) * F.when(short, 17).otherwise(20)
+        known = F.when(cost.isNull(), 5_760_000).otherwise(7_200_000)
+        share = F.floor(F.least(filled, need) * known / F.coalesce(need, filled))
+        score = F.coalesce(margin * factor, share - 8_000_000).cast("bigint")
+        return F.struct(score.alias("score"), F.lit(-kind).alias("kind"), (-place).cast("bigint").alias("place"), filled.alias("filled"), who.alias("who"), cost.alias("cost"), margin.alias("total_margin"), short.alias("short"), F.array_max(F.transform(legs, lambda x: x["seen_at"])).alias("seen_at"))
+
+    def single(x: Column, i: Column) -> Column:
+        take = F.least(x["quantity"], need)
+        return option(0, i, F.array(x), take, take * x["price_cents"])
+
+    def together(kind: int, place: Column, legs: list[Column]) -> Column:
+        """Legs that fill the requirement only together: all but the dearest give what they have."""
+        given = sum((x["quantity"] for x in legs[:-1]), F.lit(0))
+        cost = sum((x["quantity"] * x["price_cents"] for x in legs[:-1]), F.lit(0)) + (need - given) * legs[-1]["price_cents"]
+        return option(kind, place, F.array(*legs), need, cost.cast("bigint"))
+
+    def after(i: Column, keep) -> Column:
+        """(place, lot) of the pool behind place i that keep() takes."""
+        numbered = F.transform(pool, lambda x, j: F.struct(j.alias("j"), x.alias("x")))
+        return F.filter(numbered, lambda y: (y["j"] > i) & keep(y["x"]["quantity"]))
+
+    def pairs_of(a: Column, i: Column) -> Column:
+        return F.transform(after(i, lambda q: a["quantity"] + q >= need), lambda b: together(1, i * POOL + b["j"], [a, b["x"]]))
+
+    def triples_of(a: Column, i: Column) -> Column:
+        def third(b: Column) -> Column:
+            whole = lambda q: (a["quantity"] + q < need) & (b["x"]["quantity"] + q < need) & (a["quantity"] + b["x"]["quantity"] + q >= need)
+            return F.transform(after(b["j"], whole), lambda d: together(2, (i * POOL + b["j"]) * POOL + d["j"], [a, b["x"], d["x"]]))
+
+        return F.flatten(F.transform(after(i, lambda q: a["quantity"] + q < need), third))
+
+    none = F.array().cast("array<bigint>")
+    start = F.struct(need.alias("left"), none.alias("met"), F.filter("lots", lambda x: F.lit(False)).alias("legs"), F.lit(0).cast("bigint").alias("cost"))
+
+    def step(s: Column, x: Column) -> Column:
+        known = F.array_contains(s["met"], x["supplier"])
+        take = F.when((s["left"] > 0) & (known | (F.size(s["met"]) < MOST_SUPPLIERS)), F.least(s["left"], x["quantity"])).otherwise(F.lit(0)).cast("bigint")
+        met = F.when((take > 0) & ~known, F.concat(s["met"], F.array(x["supplier"].cast("bigint")))).otherwise(s["met"])
+        legs = F.when(take > 0, F.concat(s["legs"], F.array(x))).otherwise(s["legs"])
+        return F.struct((s["left"] - take).alias("left"), met.alias("met"), legs.alias("legs"), (s["cost"] + take * x["price_cents"]).cast("bigint").alias("cost"))
+
+    swept = F.filter(F.array(F.aggregate("priced", start, step)), lambda s: F.size(s["legs"]) > 1)
+    sweeps = F.transform(swept, lambda s: option(3, F.lit(0), s["legs"], need - s["left"], s["cost"]))
+    alone = F.transform("lots", single)
+    combined = F.concat(F.flatten(F.transform(pool, pairs_of)), F.flatten(F.transform(pool, triples_of)), sweeps)
+    is_open = need.isNotNull() & ~F.exists("priced", lambda x: x["quantity"] >= need)
+    return c.select(*KEY, "wanted", "limit_cents", F.when(is_open, F.concat(alone, combined)).otherwise(alone).alias("options"))
+
+
+def best_option(req: DataFrame, sup: DataFrame, supplier: int | None = None) -> DataFrame:
+    """The best of the options of each requirement, or of those in which ``supplier`` gives units."""
+    if supplier is not None:
+        req = req.join(sup.where((F.col("supplier") == supplier) & (F.col("quantity") > 0)).select("part").distinct(), "part", "left_semi")
+    o = F.col("options") if supplier is None else F.filter("options", lambda x: F.array_contains(x["who"], F.lit(supplier).cast("bigint")))
+    best = options(req, sup).select(*KEY, F.array_max(o).alias("o")).where("o is not null")
+    return best.select(*KEY, "o.filled", F.size("o.who").cast("bigint").alias("suppliers"), "o.cost", "o.total_margin", "o.short", "o.seen_at")
+
+
 def board(req: DataFrame, sup: DataFrame) -> DataFrame:
     """One row for each requirement: state filled, short or no_supply, units, margin."""
     f = fills(req, sup, POOL).select(*KEY, "filled", "suppliers", "total_margin", "short", "seen_at")

@@ -72,9 +72,7 @@ def board_rank_new(spark, sf_dir):
 
 
 def board_supplier_filter(spark, sf_dir, supplier=7):
-    req, sup = _both(spark, sf_dir)
-    used = m.greedy_fill(req, sup, m.POOL).where(F.col("supplier") == supplier).select("buyer", "part")
-    return m.fills(req, sup, m.POOL).join(used, ["buyer", "part"], "left_semi").select("buyer", "part", "filled", "suppliers")
+    return m.best_option(*_both(spark, sf_dir), supplier).select("buyer", "part", "filled", "suppliers")
 
 
 def board_facets(spark, sf_dir):
