@@ -126,75 +126,91 @@ def options(req: DataFrame, sup: DataFrame) -> DataFrame:
     """
     lot = F.struct(F.col("price_cents").isNull().alias("unpriced"), "price_cents", "supplier", F.col("quantity").cast("bigint").alias("quantity"), "country", "seen_at")
     c = candidates(req, sup).groupBy(*KEY, "wanted", "limit_cents").agg(F.array_sort(F.collect_list(lot)).alias("lots"))
-    c = c.withColumn("priced", F.filter("lots", lambda x: ~x["unpriced"])).withColumn("pool", F.slice("priced", 1, POOL))
-    c = c.withColumn("need", F.when(F.col("wanted") > 0, F.col("wanted")).cast("bigint"))
-    need, pool = F.col("need"), F.col("pool")
-
-    def option(kind: int, place: Column, legs: Column, filled: Column, cost: Column) -> Column:
-        who = F.array_distinct(F.transform(legs, lambda x: x["supplier"]))
-        lands = F.array_distinct(F.filter(F.transform(legs, lambda x: x["country"]), lambda x: x.isNotNull() & (x != "")))
-        short, margin = F.coalesce(filled < need, F.lit(False)), F.col("limit_cents") * filled - cost
-        factor = F.when(F.size(who) > 2, 361).when(F.size(who) > 1, 380).otherwise(400) * F.when(F.size(lands) > 1, 9).otherwise(10) * F.when(short, 17).otherwise(20)
+    numbered = F.transform(F.filter("lots", lambda x: ~x["unpriced"]), lambda x, j: F.struct(j.alias("j"), x["quantity"].alias("q"), x["price_cents"].alias("p"), x["supplier"].alias("supplier"), x["country"].alias("country"), x.alias("lot")))
+    c = c.withColumn("need", F.when(F.col("wanted") > 0, F.col("wanted")).cast("bigint")).withColumn("priced", numbered).withColumn("pool", F.slice("priced", 1, POOL))
+    need, pool, limit = F.col("need"), F.col("pool"), F.col("limit_cents")
+
+    def option(kind: int, place: Column, legs: Column, filled: Column, cost: Column, factor: Column) -> Column:
+        """The factor is for suppliers and countries, in 4,000ths; the shortfall is taken off here."""
         known = F.when(cost.isNull(), 5_760_000).otherwise(7_200_000)
-        share = F.floor(F.least(filled, need) * known / F.coalesce(need, filled))
-        score = F.coalesce(margin * factor, share - 8_000_000).cast("bigint")
-        return F.struct(score.alias("score"), F.lit(-kind).alias("kind"), (-place).cast("bigint").alias("place"), filled.alias("filled"), who.alias("who"), cost.alias("cost"), margin.alias("total_margin"), short.alias("short"), F.array_max(F.transform(legs, lambda x: x["seen_at"])).alias("seen_at"))
+        unknown = F.floor(F.least(filled, need) * known / F.coalesce(need, filled)) - 8_000_000
+        score = F.coalesce((limit * filled - cost) * factor * F.when(filled < need, 17).otherwise(20), unknown)
+        return F.struct(score.cast("bigint").alias("score"), F.lit(-kind).alias("kind"), (-place).cast("bigint").alias("place"), legs.alias("legs"))
 
     def single(x: Column, i: Column) -> Column:
         take = F.least(x["quantity"], need)
-        return option(0, i, F.array(x), take, take * x["price_cents"])
+        return option(0, i, F.array(x), take, take * x["price_cents"], F.lit(4000))
+
+    def abroad(a: Column, b: Column) -> Column:
+        """Both countries are known and differ."""
+        return F.coalesce((a["country"] != b["country"]) & (a["country"] != "") & (b["country"] != ""), F.lit(False))
 
-    def together(kind: int, place: Column, legs: list[Column]) -> Column:
-        """Legs that fill the requirement only together: all but the dearest give what they have."""
-        given = sum((x["quantity"] for x in legs[:-1]), F.lit(0))
-        cost = sum((x["quantity"] * x["price_cents"] for x in legs[:-1]), F.lit(0)) + (need - given) * legs[-1]["price_cents"]
-        return option(kind, place, F.array(*legs), need, cost.cast("bigint"))
+    def pair(a: Column, b: Column) -> Column:
+        cost = a["q"] * a["p"] + (need - a["q"]) * b["p"]
+        factor = F.when(a["supplier"] == b["supplier"], 400).otherwise(380) * F.when(abroad(a, b), 9).otherwise(10)
+        return option(1, a["j"] * POOL + b["j"], F.array(a["lot"], b["lot"]), need, cost, factor)
 
-    def after(i: Column, keep) -> Column:
-        """(place, lot) of the pool behind place i that keep() takes."""
-        numbered = F.transform(pool, lambda x, j: F.struct(j.alias("j"), x.alias("x")))
-        return F.filter(numbered, lambda y: (y["j"] > i) & keep(y["x"]["quantity"]))
+    def triple(a: Column, b: Column, d: Column) -> Column:
+        cost = a["q"] * a["p"] + b["q"] * b["p"] + (need - a["q"] - b["q"]) * d["p"]
+        same = (a["supplier"] == b["supplier"]).cast("int") + (a["supplier"] == d["supplier"]).cast("int") + (b["supplier"] == d["supplier"]).cast("int")
+        factor = F.when(same == 0, 361).when(same == 1, 380).otherwise(400) * F.when(abroad(a, b) | abroad(a, d) | abroad(b, d), 9).otherwise(10)
+        return option(2, (a["j"] * POOL + b["j"]) * POOL + d["j"], F.array(a["lot"], b["lot"], d["lot"]), need, cost, factor)
 
-    def pairs_of(a: Column, i: Column) -> Column:
-        return F.transform(after(i, lambda q: a["quantity"] + q >= need), lambda b: together(1, i * POOL + b["j"], [a, b["x"]]))
+    def pairs_of(a: Column) -> Column:
+        return F.transform(F.filter(pool, lambda b: (b["j"] > a["j"]) & (a["q"] + b["q"] >= need)), lambda b: pair(a, b))
 
-    def triples_of(a: Column, i: Column) -> Column:
+    def triples_of(a: Column) -> Column:
         def third(b: Column) -> Column:
-            whole = lambda q: (a["quantity"] + q < need) & (b["x"]["quantity"] + q < need) & (a["quantity"] + b["x"]["quantity"] + q >= need)
-            return F.transform(after(b["j"], whole), lambda d: together(2, (i * POOL + b["j"]) * POOL + d["j"], [a, b["x"], d["x"]]))
+            whole = F.filter(pool, lambda d: (d["j"] > b["j"]) & (a["q"] + b["q"] + d["q"] >= need) & (a["q"] + d["q"] < need) & (b["q"] + d["q"] < need))
+            return F.transform(whole, lambda d: triple(a, b, d))
 
-        return F.flatten(F.transform(after(i, lambda q: a["quantity"] + q < need), third))
+        return F.flatten(F.transform(F.filter(pool, lambda b: (b["j"] > a["j"]) & (a["q"] + b["q"] < need)), third))
 
-    none = F.array().cast("array<bigint>")
-    start = F.struct(need.alias("left"), none.alias("met"), F.filter("lots", lambda x: F.lit(False)).alias("legs"), F.lit(0).cast("bigint").alias("cost"))
+    start = F.struct(need.alias("left"), F.array().cast("array<bigint>").alias("met"), F.filter("lots", lambda x: F.lit(False)).alias("legs"), F.lit(0).cast("bigint").alias("cost"))
 
     def step(s: Column, x: Column) -> Column:
         known = F.array_contains(s["met"], x["supplier"])
-        take = F.when((s["left"] > 0) & (known | (F.size(s["met"]) < MOST_SUPPLIERS)), F.least(s["left"], x["quantity"])).otherwise(F.lit(0)).cast("bigint")
-        met = F.when((take > 0) & ~known, F.concat(s["met"], F.array(x["supplier"].cast("bigint")))).otherwise(s["met"])
-        legs = F.when(take > 0, F.concat(s["legs"], F.array(x))).otherwise(s["legs"])
-        return F.struct((s["left"] - take).alias("left"), met.alias("met"), legs.alias("legs"), (s["cost"] + take * x["price_cents"]).cast("bigint").alias("cost"))
+        take = F.least(s["left"], x["q"])
+        now = F.struct((s["left"] - take).alias("left"), F.when(known, s["met"]).otherwise(F.concat(s["met"], F.array(x["supplier"].cast("bigint")))).alias("met"), F.concat(s["legs"], F.array(x["lot"])).alias("legs"), (s["cost"] + take * x["p"]).cast("bigint").alias("cost"))
+        return F.when((s["left"] > 0) & (known | (F.size(s["met"]) < MOST_SUPPLIERS)), now).otherwise(s)
 
-    swept = F.filter(F.array(F.aggregate("priced", start, step)), lambda s: F.size(s["legs"]) > 1)
-    sweeps = F.transform(swept, lambda s: option(3, F.lit(0), s["legs"], need - s["left"], s["cost"]))
+    def swept(s: Column) -> Column:
+        factor = F.when(F.size(s["met"]) > 2, 361).when(F.size(s["met"]) > 1, 380).otherwise(400) * F.when(_lands(s["legs"]) > 1, 9).otherwise(10)
+        return option(3, F.lit(0), s["legs"], need - s["left"], s["cost"], factor)
+
+    sweeps = F.transform(F.filter(F.array(F.aggregate("priced", start, step)), lambda s: F.size(s["legs"]) > 1), swept)
     alone = F.transform("lots", single)
     combined = F.concat(F.flatten(F.transform(pool, pairs_of)), F.flatten(F.transform(pool, triples_of)), sweeps)
-    is_open = need.isNotNull() & ~F.exists("priced", lambda x: x["quantity"] >= need)
-    return c.select(*KEY, "wanted", "limit_cents", F.when(is_open, F.concat(alone, combined)).otherwise(alone).alias("options"))
+    is_open = need.isNotNull() & ~F.exists("priced", lambda x: x["q"] >= need)
+    return c.select(*KEY, "need", "limit_cents", F.when(is_open, F.concat(alone, combined)).otherwise(alone).alias("options"))
+
+
+def _lands(legs: Column) -> Column:
+    return F.size(F.array_distinct(F.filter(F.transform(legs, lambda x: x["country"]), lambda x: x.isNotNull() & (x != ""))))
 
 
 def best_option(req: DataFrame, sup: DataFrame, supplier: int | None = None) -> DataFrame:
     """The best of the options of each requirement, or of those in which ``supplier`` gives units."""
     if supplier is not None:
-        req = req.join(sup.where((F.col("supplier") == supplier) & (F.col("quantity") > 0)).select("part").distinct(), "part", "left_semi")
-    o = F.col("options") if supplier is None else F.filter("options", lambda x: F.array_contains(x["who"], F.lit(supplier).cast("bigint")))
-    best = options(req, sup).select(*KEY, F.array_max(o).alias("o")).where("o is not null")
-    return best.select(*KEY, "o.filled", F.size("o.who").cast("bigint").alias("suppliers"), "o.cost", "o.total_margin", "o.short", "o.seen_at")
+        # each of these has the supplier's own lot as an option, so no filter on the result follows: it would compute the options twice
+        req = req.where(F.col("buyer") != supplier).join(sup.where((F.col("supplier") == supplier) & (F.col("quantity") > 0)).select("part").distinct(), "part", "left_semi")
+    o = F.col("options") if supplier is None else F.filter("options", lambda x: F.exists(x["legs"], lambda y: y["supplier"] == supplier))
+    best = options(req, sup).select(*KEY, "need", "limit_cents", F.array_max(o)["legs"].alias("legs"))
+    zero = F.struct(F.lit(0).cast("bigint").alias("filled"), F.lit(0).cast("bigint").alias("cost"))
+
+    def step(s: Column, x: Column) -> Column:
+        take = F.least(x["quantity"], F.col("need") - s["filled"])
+        return F.struct((s["filled"] + take).alias("filled"), (s["cost"] + take * x["price_cents"]).cast("bigint").alias("cost"))
+
+    best = best.withColumn("s", F.aggregate("legs", zero, step))
+    suppliers = F.size(F.array_distinct(F.transform("legs", lambda x: x["supplier"]))).cast("bigint")
+    short, seen = F.coalesce(F.col("s.filled") < F.col("need"), F.lit(False)), F.array_max(F.transform("legs", lambda x: x["seen_at"]))
+    return best.select(*KEY, "s.filled", suppliers.alias("suppliers"), "s.cost", (F.col("limit_cents") * F.col("s.filled") - F.col("s.cost")).alias("total_margin"), short.alias("short"), seen.alias("seen_at"))
 
 
 def board(req: DataFrame, sup: DataFrame) -> DataFrame:
-    """One row for each requirement: state filled, short or no_supply, units, margin."""
-    f = fills(req, sup, POOL).select(*KEY, "filled", "suppliers", "total_margin", "short", "seen_at")
+    """One row for each requirement: state filled, short or no_supply, units, suppliers and margin of its best option."""
+    f = best_option(req, sup).select(*KEY, "filled", "suppliers", "total_margin", "short", "seen_at")
     rows = req.join(f, KEY, "left")
     state = F.when(F.col("filled").isNull(), "no_supply").when(F.col("short"), "short").otherwise("filled")
     matched = F.when(F.col("filled").isNotNull(), F.greatest("asked_at", "seen_at"))

@@ -88,3 +88,22 @@ def test_supplier_filter_on_the_tables(spark):
     rows = [[x.asDict() for x in f(spark, sf_dir).collect()] for f in (requirements, lots)]
     got = {(r.buyer, r.part): (r.filled, r.suppliers) for r in QUERIES["board_supplier_filter"](spark, sf_dir).collect()}
     assert got == {k: v[:2] for k, v in expected(*rows, 7).items()}
+
+
+def test_board_takes_lots_beyond_the_pool(spark):
+    req = spark.createDataFrame([(1, 1, 50, 100, "b", "c", "2024-01-01"), (1, 2, 5, 100, "b", "c", "2024-01-01")], market(spark)[0].schema)
+    sup = spark.createDataFrame([(s, 1, "X", 2, 10 + s, "2024-01-02") for s in range(10, 18)] + [(99, 1, "X", 50, 80, "2024-01-03")], market(spark)[1].schema)
+    rows = {r.part: (r.state, r.filled, r.suppliers, r.total_margin, r.matched_at) for r in matching.board(req, sup).collect()}
+    assert rows == {1: ("filled", 50, 1, 1000, "2024-01-03"), 2: ("no_supply", 0, 0, None, None)}
+
+
+def test_board_on_the_tables(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    req, sup = ([x.asDict() for x in f(spark, sf_dir).collect()] for f in (requirements, lots))
+    want = expected(req, sup)
+    rows = QUERIES["board_rows"](spark, sf_dir).collect()
+    assert len(rows) == len(req)
+    for r in rows:
+        filled, suppliers, margin, short, _ = want.get((r.buyer, r.part), (0, 0, None, False, None))
+        state = "no_supply" if (r.buyer, r.part) not in want else "short" if short else "filled"
+        assert (r.state, r.filled, r.suppliers, r.total_margin) == (state, filled, suppliers, margin)
