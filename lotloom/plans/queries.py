@@ -290,9 +290,9 @@ def identity_key(spark, sf_dir):
 
 
 def classify_side(spark, sf_dir):
-    first = table(spark, sf_dir, "conversations").where("turn = 0 or turn = 1").withColumn("subject", F.when(F.col("conv_id") % 3 == 0, "WTS list").when(F.col("conv_id") % 3 == 1, "your request"))
+    rows = table(spark, sf_dir, "conversations").withColumn("subject", F.when(F.col("conv_id") % 3 == 0, "WTS list").when(F.col("conv_id") % 3 == 1, "your request"))
     got = n.classify_side(F.col("subject"), F.concat(F.coalesce("text", F.lit("")), F.when(F.col("conv_id") % 2 == 0, F.lit(" we buy")).otherwise(F.lit(" for sale"))))
-    return first.select("conv_id", "turn", got.alias("g")).select("conv_id", "turn", "g.side", "g.confidence", "g.needs_review")
+    return rows.select("conv_id", "turn", got.alias("g")).select("conv_id", "turn", "g.side", "g.confidence", "g.needs_review")
 
 
 def _listed(spark, sf_dir):
