@@ -3,7 +3,9 @@
 A classifier learnt from the labelled table gives each document a posterior over domains. A
 document then has a share of its tokens in each domain, and rates r >= least are sought that
 minimise ||sum of r n p - targets||^2 / (total of targets)^2 + pull * mean of (r - 1)^2 by projected
-gradient. Each step needs one sum over all documents, a vector as long as the list of domains; the
+gradient. In op6 and the pipeline the pull only chooses among rates that meet the targets: it shrinks
+from PULL to TIE, each level starting from the last one's rates, so totals end short of a target only
+where the bound stops them. Each step needs one sum over all documents, a vector as long as the list of domains; the
 rates follow from such vectors alone, so no step rewrites the documents.
 """
 
@@ -20,8 +22,10 @@ from . import scratch, vectext
 LABELLED = 3000
 #: Places that pairs of neighbouring bytes are counted in.
 FEATURES = 512
-#: Weight of staying at rate 1; most gradient steps; distance of the sums, as a share of all tokens, that ends them.
+#: Weight of staying at rate 1; most gradient steps for each weight; distance of the sums, as a share of all tokens, that ends them.
 PULL, STEPS, STILL = 0.05, 60, 1e-9
+#: The weight in the queries: it only breaks ties.
+TIE = 1e-6
 #: Target share of each domain: those that the labelled table tells apart.
 TARGETS = {"high": 0.9, "low": 0.1}
 
@@ -165,30 +169,36 @@ def rates(shares: DataFrame, domains: list[str], targets: dict[str, float], leas
             dot = term if dot is None else dot + term
         return F.greatest(F.lit(float(least)), F.lit(1.0) - F.col("n_tokens") * dot)
 
-    def summed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        """Sums by domain, their curvature over documents not at the bound, and the objective's dual."""
+    def summed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
+        """Sums by domain, their curvature over documents not at the bound, the objective's dual without the pull, its rounding."""
         free = F.col("r") > F.lit(float(least))
         far = (1 - least) * (F.col("z") - (1 - least) / 2) if least < 1 else F.lit(0.0)
         bent = -F.col("z") + F.when(F.col("z") <= 1 - least, F.col("z") * F.col("z") / 2).otherwise(far)
         each = shares.select(rate_at(v).alias("r"), *[x.alias(f"x{j}") for j, x in enumerate(of)]).withColumn("z", sum((F.col(f"x{j}") * float(v[j] / size) for j in range(k)), F.lit(0.0)))
         got = each.agg(*[F.sum(F.col("r") * F.col(f"x{j}")).alias(f"s{j}") for j in range(k)], *[F.coalesce(F.sum(F.when(free, F.col(f"x{i}") * F.col(f"x{j}"))), F.lit(0.0)).alias(f"m{i}_{j}") for i in range(k) for j in range(k)], F.sum(bent).alias("bent")).first()
-        dual = pull * budget**2 / row.rows * float(v @ v) / size**2 / 2 + float(aim @ v) / size + got.bent
-        return np.array([got[f"s{j}"] for j in range(k)]), np.array([[got[f"m{i}_{j}"] for j in range(k)] for i in range(k)]), dual
-
-    reached, curve, dual = summed(y)
-    while steps < STEPS:
-        # a gradient step in the metric of the documents that are free to move
-        slope = (reached - aim) * size / budget**2 - y * pull / row.rows
-        move = np.linalg.solve(curve / budget**2 + np.eye(k) * pull / row.rows, slope)
-        if np.abs(slope).max() <= STILL * size / budget:
-            break
-        for halved in range(40):
-            new = y + move * 0.5**halved
-            sums = summed(new)
-            steps += 1
-            if sums[2] <= dual + 1e-12 * abs(dual):
+        linear = float(aim @ v) / size
+        return np.array([got[f"s{j}"] for j in range(k)]), np.array([[got[f"m{i}_{j}"] for j in range(k)] for i in range(k)]), linear + got.bent, 1e-12 * (abs(linear) + abs(got.bent))
+
+    reached, curve, base, _ = summed(y)
+    levels = [pull]
+    while levels[0] < PULL:
+        levels.insert(0, min(PULL, levels[0] * 10))
+    for weight in levels:
+        bent = weight * budget**2 / row.rows / size**2 / 2
+        still = STILL if weight == pull else 1e-4
+        for _ in range(STEPS):
+            # a gradient step in the metric of the documents that are free to move
+            slope = (reached - aim) * size / budget**2 - y * weight / row.rows
+            if np.abs(slope).max() <= still * size / budget:
                 break
-        y, (reached, curve, dual) = new, sums
+            move = np.linalg.solve(curve / budget**2 + np.eye(k) * weight / row.rows, slope)
+            for halved in range(40):
+                new = y + move * 0.5**halved
+                sums = summed(new)
+                steps += 1
+                if sums[2] + bent * float(new @ new) <= base + bent * float(y @ y) + sums[3]:
+                    break
+            y, (reached, curve, base, _) = new, sums
     return shares.withColumn("rate", rate_at(y)), {"start": start, "aim": aim, "reached": reached, "steps": steps, "y": y / size}
 
 
@@ -198,7 +208,7 @@ def with_copies(rated: DataFrame) -> DataFrame:
     return rated.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("long"))
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: Column | None = None, least: float = 0.0) -> tuple[DataFrame, dict]:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: Column | None = None, least: float = 0.0, pull: float = PULL) -> tuple[DataFrame, dict]:
     """(doc_id, tie, n_tokens, posterior, rate, copies) for each row of ``docs``, and what was reached.
 
     Null and empty texts have no tokens and rate 1. Rows keep a rate of their own where an id
@@ -208,13 +218,13 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
     domains = sorted(targets)
     model = learnt(docs, labels, domains, quality_domain() if domain is None else domain)
     shares = scratch.table(with_posteriors(docs, model), "posteriors")
-    rated, reached = rates(shares, domains, targets, least)
+    rated, reached = rates(shares, domains, targets, least, pull=pull)
     return with_copies(rated), reached
 
 
 def repeated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
     """``docs`` with each row as often as mixing wants it, and at least once."""
-    rated, _ = mixed(docs, labels, targets, least=1.0)
+    rated, _ = mixed(docs, labels, targets, least=1.0, pull=TIE)
     many = rated.where("copies > 1").select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("copies").alias("__copies")).distinct()
     tie = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
     names = docs.columns
@@ -224,6 +234,6 @@ def repeated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TAR
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:
     """Rates of all documents for the target shares."""
-    rated, _ = mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rated, _ = mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"), pull=TIE)
     posterior = [F.col("posterior")[j].alias(f"p_{d}") for j, d in enumerate(sorted(TARGETS))]
     return rated.select("doc_id", "n_tokens", *posterior, "rate", "copies")
