@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import ship
+
 #: Rows that make a table a list of its own.
 LEAST_ROWS = 4
 GRID = "source string, row_idx int, cells array<string>"
@@ -145,6 +147,7 @@ def xlsx_sheets(data: bytes | None, name: str = "") -> list[tuple[str, list[list
 
 
 def _grids(df: DataFrame, key: str, column: str, reader) -> DataFrame:
+    ship(df.sparkSession)
     kind = df.schema[key].dataType
 
     def read(batches):

@@ -1,11 +1,17 @@
-"""The folder that the driver and all executors share."""
+"""The folder that the driver and all executors share, and this package for their Python workers."""
 
 from __future__ import annotations
 
+import atexit
+import io
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: dict[str, tuple[SparkSession, str]] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
     """URI of ``spark.checkpoint.dir``. On one machine a temporary folder is made where none is set;
@@ -17,3 +23,43 @@ def shared_folder(spark: SparkSession) -> str:
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="lotloom-"))
         there = spark.sparkContext.getCheckpointDir()
     return (there if "://" in there or there.startswith("file:/") else "file://" + there).rstrip("/")
+
+
+def removed(spark: SparkSession, uri: str) -> None:
+    """Remove a file or folder of the shared folder, if the session still lives."""
+    jvm = spark.sparkContext._jvm
+    if jvm is not None:
+        where = jvm.org.apache.hadoop.fs.Path(uri)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package even where it is on the driver's path only.
+
+    Each function that runs Python in tasks calls this first. One archive for each application; it
+    is removed when the process ends.
+    """
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parents[1]
+    made = io.BytesIO()
+    with zipfile.ZipFile(made, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent).as_posix())
+    uri = f"{shared_folder(spark)}/lotloom-{context.applicationId}.zip"
+    where = context._jvm.org.apache.hadoop.fs.Path(uri)
+    out = where.getFileSystem(context._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(made.getvalue()))
+    out.close()
+    context.addPyFile(uri)
+    _SHIPPED[context.applicationId] = (spark, uri)
+
+
+@atexit.register
+def _at_exit() -> None:
+    for spark, uri in _SHIPPED.values():
+        try:
+            removed(spark, uri)
+        except Exception:  # noqa: BLE001  the session may be gone
+            pass
