@@ -9,14 +9,11 @@ from __future__ import annotations
 
 import atexit
 import contextlib
-import io
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.shared import shared_folder
+from ..sources.shared import removed, shared_folder, ship
 
 _KEPT: list[tuple[SparkSession, str]] = []
 _OF_STAGE: list[tuple[SparkSession, str]] = []
@@ -38,28 +35,6 @@ def table(df: DataFrame, name: str, order: list[str] | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
-_SHIPPED: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package even where it is on the driver's path only."""
-    context = spark.sparkContext
-    if context.applicationId in _SHIPPED:
-        return
-    _SHIPPED.add(context.applicationId)
-    package = Path(__file__).resolve().parents[1]
-    made = io.BytesIO()
-    with zipfile.ZipFile(made, "w") as z:
-        for f in sorted(package.rglob("*.py")):
-            z.write(f, f.relative_to(package.parent).as_posix())
-    uri = f"{shared_folder(spark)}/lotloom-{uuid.uuid4().hex}.zip"
-    where = context._jvm.org.apache.hadoop.fs.Path(uri)
-    out = where.getFileSystem(context._jsc.hadoopConfiguration()).create(where)
-    out.write(bytearray(made.getvalue()))
-    out.close()
-    context.addPyFile(uri)
-
-
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Make ready for Python tasks: whole texts go to them this many at a time, unless the session asks for fewer."""
     ship(spark)
@@ -70,10 +45,7 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
 
 def _deleted(kept: list[tuple[SparkSession, str]]) -> None:
     for spark, path in kept:
-        jvm = spark.sparkContext._jvm
-        if jvm is not None:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+        removed(spark, path)
     kept.clear()
 
 

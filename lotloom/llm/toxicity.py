@@ -2,10 +2,13 @@
 
 Tokens are words and their first 4, 5 and 6 letters. From labelled texts each token gets the
 log-odds of its rate in toxic against other texts under a Dirichlet prior; tokens whose excess
-could be chance among all those met count as neutral. A word scores as its longest known token,
-less a drift, so that ordinary words score below 0. A linear scan finds all maximal segments of
-positive sum; what a text's best segments sum to, given its length, has a known tail under
-ordinary words, and a logistic curve over that tail gives the score.
+could be chance among all those met count as neutral, and so do tokens that always stand between
+the same two words, as in near copies of one text. First letters also have to lean to toxic texts
+without their most frequent word, so that 'pathetic' alone says nothing about 'path', but a stem
+with many endings does. A word scores as its longest known token, less a drift, so that ordinary words score below 0. A linear scan finds all maximal
+segments of positive sum; what a text's segments sum to, given its length, has a known tail under
+ordinary words, and a logistic curve over that tail gives the score. A passage is a segment so
+high that ordinary words of the text's length would have hardly any.
 """
 
 from __future__ import annotations
@@ -27,10 +30,10 @@ TOXIC_ROWS, OTHER_ROWS = 5000, 15000
 PRIOR, LEAST = 5000.0, 0.5
 #: Taken from each word's log-odds.
 DRIFT = 1.0
-#: Tokens expected to be kept by chance alone.
-CHANCE = 1.0
-#: Constant of the tail of segment sums, and the longest list of segments that is summed.
-TAIL, SUMMED = 0.1, 12
+#: Tokens expected to be kept by chance alone; places in toxic texts of the endings of first letters beside the most frequent.
+CHANCE, ENDINGS = 1.0, 3
+#: Constant of the tail of segment sums; expected number of segments below which one is a passage.
+TAIL, PASSAGE = 0.1, 0.01
 REJECT = 0.7
 
 PREFIXES = (4, 5, 6)
@@ -72,6 +75,11 @@ def segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
     return [(b, e, float(r - low)) for b, e, low, r in stack]
 
 
+def surprise(total: float, words: int, scale: float) -> float:
+    """-ln of how many segments of such a sum ordinary words of this length are expected to have."""
+    return scale * total - math.log(max(1.0, TAIL * words))
+
+
 def tail(sums: list[float], words: int, scale: float) -> float:
     """-ln of the chance that ordinary words of this length have segments with such sums.
 
@@ -79,8 +87,8 @@ def tail(sums: list[float], words: int, scale: float) -> float:
     is the least likely counts. 0 for texts without a positive segment.
     """
     most, together = 0.0, 0.0
-    for r, s in enumerate(sorted(sums, reverse=True)[:SUMMED], 1):
-        one = scale * s - math.log(max(1.0, TAIL * words))
+    for r, s in enumerate(sorted(sums, reverse=True), 1):
+        one = surprise(s, words, scale)
         if one <= 0:
             break
         together += one
@@ -101,17 +109,34 @@ def fitted(cells: np.ndarray, whole: np.ndarray, names: np.ndarray, tried: int)
 
     cells: for each token its places in other and in toxic texts, and the texts of either kind
     that have it; whole: the same of all tokens together. A token is kept if neither its places nor
-    its texts can be chance: a word that one text repeats is no sign.
+    its texts can be chance: a word that one text repeats is no sign. First letters need as many
+    as ENDINGS places in toxic texts, and more than their share, also without the word that is most
+    frequent in toxic texts among theirs.
     """
     n0, n1, d0, d1 = whole.tolist()
     if not len(names) or not n1 or not n0 or not d1 or not d0:
         return {}, 1.0
-    y0, y1, b0, b1 = cells.T
-    prior = np.maximum(LEAST, PRIOR * (y1 + y0) / (n1 + n0))
-    odds = np.log((y1 + prior) / (n1 + PRIOR - y1 - prior)) - np.log((y0 + prior) / (n0 + PRIOR - y0 - prior))
-    rate, share = y1 / np.maximum(y1 + y0, 1), n1 / (n1 + n0)
-    bound = np.minimum(excess(y1, y0, share), excess(b1, b0, d1 / (d1 + d0)))
-    kept = (rate > share) & (odds > DRIFT) & (bound > math.log(max(tried, 1) / CHANCE))
+    share = n1 / (n1 + n0)
+
+    def judged(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        y0, y1, b0, b1 = c.T
+        prior = np.maximum(LEAST, PRIOR * (y1 + y0) / (n1 + n0))
+        odds = np.log((y1 + prior) / (n1 + PRIOR - y1 - prior)) - np.log((y0 + prior) / (n0 + PRIOR - y0 - prior))
+        bound = np.minimum(excess(y1, y0, share), excess(b1, b0, d1 / (d1 + d0)))
+        return odds, (y1 / np.maximum(y1 + y0, 1) > share) & (odds > DRIFT) & (bound > math.log(max(tried, 1) / CHANCE))
+
+    most: dict[str, int] = {}  # the word most frequent in toxic texts, by first letters
+    for k, name in enumerate(names.tolist()):
+        if not name.endswith("*"):
+            for token in tokens_of(name)[1:]:
+                if token not in most or cells[k, 1] > cells[most[token], 1]:
+                    most[token] = k
+    odds, kept = judged(cells)
+    y0 = cells[:, 0]
+    for k in np.flatnonzero(kept).tolist():
+        if names[k].endswith("*"):
+            rest = np.maximum(cells[k] - cells[most[names[k]]], 0) if names[k] in most else cells[k]
+            kept[k] = rest[1] >= ENDINGS and judged(rest[None])[0][0] > DRIFT
     model = dict(zip(names[kept].tolist(), odds[kept].tolist(), strict=True))
     # scale: the positive root of the mean of exp(scale * score) = 1 among words of other texts
     words = np.array([not n.endswith("*") for n in names], bool) & kept
@@ -163,7 +188,7 @@ def logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, max(b, 0.05)
 
 
-#: The tail counts up to here: beyond it all texts are alike.
+#: Tails beyond this one count as this one where the curve is fitted, not where a text is scored.
 FAR = 60.0
 
 
@@ -179,7 +204,7 @@ class Model:
 
     def score(self, x: float) -> float:
         a, b = self.curve
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * min(x, FAR)))))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * x))))
 
 
 def learnt(docs: DataFrame, labels: DataFrame) -> Model:
@@ -190,6 +215,7 @@ def learnt(docs: DataFrame, labels: DataFrame) -> Model:
     its words look toxic. Without a toxic and another document nothing is toxic: every score is
     the same and below one half.
     """
+    scratch.ship(docs.sparkSession)
     given = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic in (0, 1)").where(~held_out()).distinct()
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = given.where("toxic = 1").orderBy(*order).limit(TOXIC_ROWS).unionByName(given.where("toxic = 0").orderBy(*order).limit(OTHER_ROWS))
@@ -223,6 +249,8 @@ def learnt(docs: DataFrame, labels: DataFrame) -> Model:
     cells = kept[list(COUNTS)].to_numpy(float).reshape(-1, 2, 2, 2)  # places or texts, half, class
     all_, names = cells[(kept.token == "").to_numpy()].sum(0), kept.token[kept.token != ""].to_numpy()
     cells = cells[(kept.token != "").to_numpy()]
+    first, _ = fitted(cells.sum(2).reshape(-1, 4), all_.sum(1).reshape(4), names, tried)
+    _limited_to_contexts(cells, names, rest, first)
     halves = [fitted(cells[:, :, h].reshape(-1, 4), all_[:, h].reshape(4), names, tried) for h in (0, 1)]
     odds, scale = fitted(cells.sum(2).reshape(-1, 4), all_.sum(1).reshape(4), names, tried)
 
@@ -239,27 +267,66 @@ def learnt(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(odds, scale, logistic(np.minimum(points.x.to_numpy(float), FAR), points.toxic.to_numpy(float)))
 
 
+def _limited_to_contexts(cells: np.ndarray, names: np.ndarray, rest: DataFrame, wanted: dict[str, float]) -> None:
+    """No more texts in ``cells`` (token, places or texts, half, class) than there are contexts of the token.
+
+    A context is the word before and the word behind. ``rest`` has a row for each labelled text,
+    ``wanted`` the tokens that matter.
+    """
+
+    def met(batches):
+        for batch in batches:
+            words = words_in(batch.column(2))
+            kind = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64) + 2 * batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            hashes = np.append(vectext.name_hashes(words.names), np.uint64(0))  # the last one: no word
+            of = {k: found for k, name in enumerate(words.names) if (found := [t for t in tokens_of(name) if t in wanted])}
+            at = np.flatnonzero(np.isin(words.codes, np.fromiter(of, np.int64, len(of))))
+            begin, end = np.isin(at, words.offsets[:-1]), np.isin(at + 1, words.offsets[1:])
+            padded = np.append(words.codes, -1)
+            before, behind = np.where(begin, -1, padded[at - 1]), np.where(end, -1, padded[at + 1])
+            with np.errstate(over="ignore"):
+                context = vectext.mixed(hashes[before] * np.uint64(0x9E3779B97F4A7C15) + hashes[behind]).view(np.int64)
+            owner = words.owner[at]
+            rows = [(t, int(kind[o]), int(c)) for code, o, c in zip(words.codes[at].tolist(), owner.tolist(), context.tolist(), strict=True) for t in of[code]]
+            columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int64())], ["token", "kind", "context"])
+
+    counted = rest.mapInArrow(met, "token string, kind int, context long").distinct().groupBy("token", "kind").agg(F.count("*").alias("n")).toPandas()  # tokens of a model
+    at = {name: k for k, name in enumerate(names.tolist())}
+    for name in wanted:
+        mine = counted[counted.token == name].set_index("kind").n
+        for kind in range(4):
+            cells[at[name], 1, kind // 2, kind % 2] = min(cells[at[name], 1, kind // 2, kind % 2], mine.get(kind, 0))
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """One row for each row of ``docs``: doc_id, held_out, score, predicted, n_words, tail, segments.
 
-    Null and empty texts have no words and the lowest score. Rows keep their own result where an
-    id repeats or is null. Other columns are not read.
+    A segment has begin, end (in words), sum and surprise; those with a surprise of -ln PASSAGE or
+    more are passages. Null and empty texts have no words and the lowest score. A text of any
+    length is scored whole. Rows keep their own result where an id repeats or is null. An empty
+    table gives no rows. Other columns are not read, whatever their names.
     """
 
     def made(batches):
         for batch in batches:
             found = measured(batch.column(2), model.odds, model.scale)
             scores = [model.score(x) for _, x, _ in found]
-            spans = [[{"begin": b, "end": e, "sum": s} for b, e, s in x] for _, _, x in found]
-            kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("sum", pa.float64())]))
+            spans = [[{"begin": b, "end": e, "sum": s, "surprise": surprise(s, n, model.scale)} for b, e, s in x] for n, _, x in found]
+            kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64()), ("sum", pa.float64()), ("surprise", pa.float64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(scores, pa.float64()), pa.array([int(s >= REJECT) for s in scores], pa.int32()), pa.array([n for n, _, _ in found], pa.int64()), pa.array([x for _, x, _ in found], pa.float64()), pa.array(spans, kind)], ["doc_id", "held_out", "score", "predicted", "n_words", "tail", "segments"])
 
+    scratch.ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(made, "doc_id long, held_out boolean, score double, predicted int, n_words long, tail double, segments array<struct<begin:long,end:long,sum:double>>")
+    return rows.mapInArrow(made, "doc_id long, held_out boolean, score double, predicted int, n_words long, tail double, segments array<struct<begin:long,end:long,sum:double,surprise:double>>")
 
 
 def without_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that are not predicted toxic, with their own columns."""
+    """The rows of ``docs`` that are not predicted toxic, with their own columns, whatever their names.
+
+    Rows with a null or empty text stay; so do null ids. An empty table stays empty.
+    """
+    scratch.ship(docs.sparkSession)
     at = docs.columns.index("text")
 
     def kept(batches):
@@ -274,4 +341,5 @@ def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     """Every document scored by what the labelled ones that are not held out teach."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scratch.small_batches(spark)
-    return scored(docs, learnt(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).drop("segments")
+    rows = scored(docs, learnt(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return rows.withColumn("passages", F.filter("segments", lambda x: x["surprise"] >= -math.log(PASSAGE))).drop("segments")

@@ -69,3 +69,60 @@ def test_nothing_to_learn(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.predicted for r in toxicity.scored(d, toxicity.learnt(d, none)).collect()] == [0]
     assert toxicity.scored(d.limit(0), toxicity.learnt(d.limit(0), none)).count() == 0
+
+
+def plain_score(text, model):
+    """A text scored by the definitions, a word at a time."""
+    import math
+    import re
+
+    words = re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower())
+    each = []
+    for w in words:
+        known = [model.odds[t] for t in (w, *(w[:n] + "*" for n in (6, 5, 4) if len(w) >= n)) if t in model.odds]
+        each.append((known[0] if known else 0.0) - toxicity.DRIFT)
+    most, together = 0.0, 0.0
+    for r, s in enumerate(sorted((s for *_, s in plain_segments(each)), reverse=True), 1):
+        one = model.scale * s - math.log(max(1, toxicity.TAIL * len(words)))
+        if one <= 0:
+            break
+        together += one
+        most = max(most, together - (r - 1) * math.log(together) + math.log(math.factorial(r)) + math.log(math.factorial(r - 1)))
+    a, b = model.curve
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * most))))
+
+
+def test_scores_follow_the_definitions_and_every_segment_counts(spark):
+    docs, labels = corpus(600, 3)
+    docs += [(3000, " ".join(["scum ok fine so"] * n), "x") for n in (1, 2, 12, 13, 30)]
+    docs = [(k, *d[1:]) for k, d in enumerate(docs)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, score string")
+    model = toxicity.learnt(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r.doc_id: r for r in toxicity.scored(d, model).collect()}
+    short = [x for x in docs if len(x[1].split()) < 40]
+    assert len(short) > 80 and all(abs(got[k].score - plain_score(t, model)) < 1e-9 for k, t, _ in short)
+    assert got[603].tail > got[602].tail and len(got[604].segments) == 30
+
+
+def test_clean_english_that_begins_like_toxic_words_is_left_alone(spark):
+    rng = random.Random(5)
+    plain = ["".join(rng.choice("klmnoprs") for _ in range(rng.randint(3, 7))) for _ in range(300)]
+    docs, labels = [], []
+    for i in range(900):
+        words = [rng.choice(plain) for _ in range(60)]
+        if i % 5 == 0:
+            for w in rng.choices(["pathetic", "worthless", "gruzna" + rng.choice(["li", "ta", "mo", "re", "vi", "dus"])], k=3):
+                words.insert(rng.randint(0, 60), w)
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(i % 5 == 0)))
+    copied = " ".join(rng.choice(plain) for _ in range(30)) + " onlyincopies " + " ".join(rng.choice(plain) for _ in range(30))
+    for i in range(900, 980):  # near copies of one toxic text: their own words are no sign
+        docs.append((i, copied + f" pathetic {plain[i % 300]}"))
+        labels.append((i, 1, 1))
+    docs += [(5000, "The path along the river is worth a visit."), (5001, "A career path worth following, with worthy work and pathology."), (5002, "gruznapol gruznazet " * 3)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.learnt(d, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    by = {r.doc_id: r for r in toxicity.scored(d, model).collect()}
+    assert not by[5000].predicted and not by[5001].predicted and by[5002].predicted
+    assert "onlyincopies" not in model.odds and "pathetic" in model.odds
+    assert [x.surprise > 0 for x in by[5002].segments] == [True]
