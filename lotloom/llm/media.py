@@ -1,7 +1,8 @@
 """Media columns: Netpbm and BMP pictures as binary columns, decoded to numpy arrays.
 
-A picture is resized by area with an integral image, kept as an NPY tile, and described by a
-difference hash. ``documents`` become pictures of 64 samples a row, which is lossless.
+A picture is resized by area with an integral image, written as a tile of an NPY file, and described
+by a difference hash of the tile that is read back. ``documents`` become pictures of 64 samples a
+row, which is lossless.
 """
 
 from __future__ import annotations
@@ -9,12 +10,14 @@ from __future__ import annotations
 import hashlib
 import io
 import struct
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import scratch
 
@@ -22,6 +25,8 @@ from . import scratch
 ROW = 64
 #: Width and height of the tile that the difference hash compares; each row gives WIDE - 1 bits.
 WIDE, HIGH = 9, 8
+#: Tiles of one NPY file at most.
+TILES = 50_000
 
 
 def netpbm_encoded(samples: np.ndarray) -> bytes:
@@ -151,13 +156,28 @@ def difference_hash(tile: np.ndarray) -> str:
     return np.packbits(tile[:, 1:] > tile[:, :-1]).tobytes().hex()
 
 
-def npy_encoded(tile: np.ndarray) -> bytes:
+def npy_encoded(tiles: np.ndarray) -> bytes:
     """The array as the bytes of an NPY file."""
     out = io.BytesIO()
-    np.save(out, tile, allow_pickle=False)
+    np.save(out, tiles, allow_pickle=False)
     return out.getvalue()
 
 
+def written_tiles(tiles: list[np.ndarray], folder: str) -> tuple[str, np.ndarray]:
+    """Write tiles as one NPY file of shape (tiles, HIGH, WIDE) and read it back: (file name, array).
+
+    The name is new for each attempt of a task, so that a repeated task leaves nothing half written
+    under a name that its rows carry.
+    """
+    fs, root = scratch.filesystem(folder)
+    fs.create_dir(root, recursive=True)
+    name = f"{uuid.uuid4().hex}.npy"
+    with fs.open_output_stream(f"{root}/{name}") as out:
+        out.write(npy_encoded(np.stack(tiles)))
+    with fs.open_input_file(f"{root}/{name}") as file:
+        return name, np.load(io.BytesIO(file.read()), allow_pickle=False)
+
+
 def text_picture(text: str | None) -> bytes:
     """The UTF-8 bytes, zeros up to a positive multiple of 64, as a raw PGM of 64 samples a row."""
     raw = (text or "").encode()
@@ -180,58 +200,81 @@ def text_media(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(made, "doc_id long, n_bytes long, media binary")
 
 
-def described(pictures: DataFrame) -> DataFrame:
-    """What a table with a media column shows: each picture is decoded, resized and hashed.
+def described(pictures: DataFrame, folder: str) -> DataFrame:
+    """What a table with a media column shows: each picture is decoded, resized, written and hashed.
 
-    Adds payload (the samples in row order), tile (an NPY file of HIGH by WIDE) and feature (the
-    difference hash). A null or unreadable picture gets nulls there. Other columns pass through;
-    columns of the new names are replaced.
+    Adds payload (the samples in row order), tile_file and tile_row (where the tile of HIGH by WIDE
+    stands in ``folder``) and feature (the difference hash of the tile as read back). A null or
+    unreadable picture gets nulls there. A picture of any size is read whole, one at a time. Rows
+    that repeat are described each; an empty table stays empty. Other columns pass through; columns
+    of the new names are replaced.
     """
-    keep = [c for c in pictures.columns if c not in ("payload", "tile", "feature")]
-    fields = [f for f in pictures.schema.fields if f.name in keep]
-    schema = pictures.select(*[F.col(f"`{c}`") for c in keep]).schema.add("payload", "binary").add("tile", "binary").add("feature", "string")
-    at = [f.name for f in fields].index("media")
+    scratch.small_batches(pictures.sparkSession)
+    new = ("payload", "tile_file", "tile_row", "feature")
+    keep = [c for c in pictures.columns if c not in new]
+    rows = pictures.select(*[F.col(f"`{c}`") for c in keep])
+    schema = T.StructType([*rows.schema.fields, T.StructField("payload", T.BinaryType()), T.StructField("tile_file", T.StringType()), T.StructField("tile_row", T.IntegerType()), T.StructField("feature", T.StringType())])
+    at = keep.index("media")
 
     def made(batches):
         for batch in batches:
-            out: list[list] = [[], [], []]
+            payloads, tiles, where = [], [], []
             for data in batch.column(at).to_pylist():
                 try:
                     samples = decoded(data or b"")
                 except (ValueError, struct.error):
                     samples = None
-                tile = None if samples is None else area_resized(samples)
-                for column, value in zip(out, (None, None, None) if tile is None else (samples.tobytes(), npy_encoded(tile), difference_hash(tile)), strict=True):
-                    column.append(value)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out[0], pa.binary()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.string())], [*keep, "payload", "tile", "feature"])
+                payloads.append(None if samples is None else samples.tobytes())
+                where.append(None if samples is None else len(tiles))
+                if samples is not None:
+                    tiles.append(area_resized(samples))
+            name, read = written_tiles(tiles, folder) if tiles else ("", [])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(payloads, pa.binary()), pa.array([None if k is None else name for k in where], pa.string()), pa.array(where, pa.int32()), pa.array([None if k is None else difference_hash(read[k]) for k in where], pa.string())], [*keep, *new])
 
-    return pictures.select(*[F.col(f"`{c}`") for c in keep]).mapInArrow(made, schema)
+    return rows.mapInArrow(made, schema)
 
 
 def text_features(docs: DataFrame) -> DataFrame:
     """Store each text as a picture, read the stored bytes back, and digest what was read.
 
     The media column is written once to the shared folder and everything returned comes from the
-    bytes read there. A picture is read, decoded and digested within one task, so no samples leave it.
+    bytes read there; tile_file and tile_row say where a row's tile is. A picture is read, decoded
+    and digested within one task, so no samples leave it. Null texts count as empty; a text of any
+    length is one picture; repeated rows and null ids stay; an empty table gives no rows. Columns
+    besides doc_id and text are not read, whatever their names.
     """
-    scratch.small_batches(docs.sparkSession)
-    stored = scratch.table(text_media(docs), "media")
+    spark = docs.sparkSession
+    scratch.small_batches(spark)
+    stored, folder = scratch.table(text_media(docs), "media"), scratch.new_folder(spark, "tiles")
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_file", "tile_row"]
 
     def made(batches):
+        rows: list[tuple] = []
+        tiles: list[np.ndarray] = []
+
+        def closed():
+            name, read = written_tiles(tiles, folder)
+            columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+            out = pa.RecordBatch.from_arrays([*columns, pa.array([difference_hash(t) for t in read], pa.string()), pa.array([name] * len(rows), pa.string()), pa.array(range(len(rows)), pa.int32())], names)
+            rows.clear()
+            tiles.clear()
+            return out
+
         for batch in batches:
-            ids, sizes, pictures = (batch.column(k) for k in range(3))
-            rows: list[tuple] = []
-            for data in pictures.to_pylist():
+            for doc_id, size, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 samples = decoded(data)
-                payload, tile = samples.tobytes(), area_resized(samples)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(tile), npy_encoded(tile)))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 7
-            types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([ids, sizes, *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile"])
+                payload = samples.tobytes()
+                tiles.append(area_resized(samples))
+                rows.append((doc_id, size, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW:]), len(data), hashlib.sha256(data).hexdigest()))
+                if len(rows) >= TILES:
+                    yield closed()
+        if rows:
+            yield closed()
 
-    return stored.mapInArrow(made, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary")
+    return stored.mapInArrow(made, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_file string, tile_row int")
 
 
 def op10_media(spark, sf_dir: str) -> DataFrame:
     """Every document as a PGM picture, stored, read back and described."""
-    return text_features(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("tile")
+    return text_features(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("tile_file", "tile_row")

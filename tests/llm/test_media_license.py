@@ -1,6 +1,7 @@
 """op10 and op2 against plain versions."""
 
 import hashlib
+import io
 import random
 import re
 import zlib
@@ -8,7 +9,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lotloom.llm import license_scan, media
+from lotloom.llm import license_scan, media, scratch
 
 ODD = [(1, None), (2, ""), (3, "a" * 64), (4, "é" * 200_000), (5, "x"), (5, "x"), (None, "MIT License"), (8, "\x00\n\t end")]
 
@@ -26,9 +27,40 @@ def test_media_round_trip(spark):
         r = got[i, len(raw)]
         assert (r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-64:]))
         assert r.media_sha256 == hashlib.sha256(media.text_picture(text)).hexdigest()
+        tile = np.load(io.BytesIO(scratch_bytes(r.tile_file)))[r.tile_row]
+        assert (tile == media.area_resized(np.frombuffer(padded, np.uint8).reshape(-1, 64))).all() and media.difference_hash(tile) == r.feature
     assert media.text_features(frame(spark, [])).count() == 0
 
 
+def scratch_bytes(name):
+    """The file of that name among the folders that are kept."""
+    for _, folder in scratch._KEPT:
+        fs, root = scratch.filesystem(folder)
+        if fs.get_file_info(f"{root}/{name}").type.name == "File":
+            with fs.open_input_file(f"{root}/{name}") as f:
+                return f.read()
+    raise FileNotFoundError(name)
+
+
+def test_pictures_of_both_kinds_in_a_table(spark):
+    rng = np.random.default_rng(4)
+    shapes = [(5, 7), (1, 1), (6, 3, 3), (40, 33)]
+    pictures = [rng.integers(0, 256, s).astype(np.uint8) for s in shapes]
+    rows = [(k, f(a), "x") for a in pictures for k, f in enumerate((media.netpbm_encoded, media.bmp_encoded))] + [(9, None, "x"), (9, b"GIF89a", "x"), (None, media.bmp_encoded(pictures[0]), "x")]
+    table = spark.createDataFrame(rows, "id long, media binary, feature string").repartition(2)
+    folder = scratch.new_folder(spark, "tiles")
+    got = media.described(table, folder).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r.media in (None, b"GIF89a"):
+            assert (r.payload, r.tile_file, r.tile_row, r.feature) == (None, None, None, None)
+        else:
+            samples = media.decoded(bytes(r.media))
+            tile = np.load(io.BytesIO(scratch_bytes(r.tile_file)))[r.tile_row]
+            assert bytes(r.payload) == samples.tobytes() and (tile == media.area_resized(samples)).all() and r.feature == media.difference_hash(tile)
+    assert media.described(table.limit(0), folder).count() == 0
+
+
 @pytest.mark.parametrize("shape", [(5, 7), (1, 1), (6, 3, 3), (9, 16)])
 def test_pictures_decode(shape):
     a = np.random.default_rng(1).integers(0, 256, shape).astype(np.uint8)
