@@ -25,21 +25,22 @@ def write_shards(docs: DataFrame, folder: str, path: str, end: int = END, shard_
     """Encode, sort by doc_id, and write shards into ``folder``; the manifest has a row for each.
 
     Texts are dealt out by ranges of (doc_id, hash of the text), so equal ids stay in order and do
-    not load one task. Null texts count as empty; null ids come first, as Spark sorts them.
-    The order of shards is that of (part, number).
+    not load one task. Null texts count as empty; null ids come first, as Spark sorts them, and
+    stay null. A text of any length is encoded whole, in one shard. The order of shards is that of
+    (part, number).
     """
 
     def written(batches):
         encode, to = tokens.encoder(path), scratch.filesystem(folder)
         part, number = TaskContext.get().partitionId(), 0
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         to[0].create_dir(to[1], recursive=True)
 
         def closed():
             nonlocal number
             ids = np.concatenate([h[2] for h in held])
             sizes = np.concatenate([h[1] for h in held])
-            data = repair.packed(np.concatenate([h[0] for h in held]), np.concatenate([[0], np.cumsum(sizes)]), ids, encode.size)
+            data = repair.packed(np.concatenate([h[0] for h in held]), np.concatenate([[0], np.cumsum(sizes)]), ids, encode.size, np.concatenate([h[3] for h in held]))
             name = f"{part:08d}-{number:06d}-{uuid.uuid4().hex}.llrp"
             with to[0].open_output_stream(f"{to[1]}/{name}") as out:
                 out.write(data)
@@ -55,12 +56,13 @@ def write_shards(docs: DataFrame, folder: str, path: str, end: int = END, shard_
             if not batch.num_rows:
                 continue
             ids, bounds = tokens.with_end(*encode.encoded(batch.column(1)), end)
-            names = batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False)
+            known = batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            names = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False)
             begin = 0
             while begin < len(names):
                 room = shard_ids - sum(len(h[2]) for h in held)
                 stop = max(begin + 1, int(np.searchsorted(bounds, bounds[begin] + room, "right")) - 1)
-                held.append((names[begin:stop], np.diff(bounds[begin : stop + 1]), ids[bounds[begin] : bounds[stop]]))
+                held.append((names[begin:stop], np.diff(bounds[begin : stop + 1]), ids[bounds[begin] : bounds[stop]], known[begin:stop]))
                 begin = stop
                 if sum(len(h[2]) for h in held) >= shard_ids or begin < len(names):
                     yield as_batch(closed())
@@ -96,8 +98,8 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
                     data = shard.ids(int(bounds[0]), int(bounds[-1])).tobytes()
                     cut = ((bounds - bounds[0]) * 4).tolist()
                     pieces = [data[a:b] for a, b in zip(cut[:-1], cut[1:], strict=True)]
-                    docs = shard.docs[at : at + 2000]
-                    yield pa.RecordBatch.from_arrays([pa.array(docs), pa.array(bounds[:-1] + start), pa.array(np.diff(bounds)), pa.array([zlib.crc32(p) for p in pieces], pa.int64()), pa.array(pieces, pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
+                    docs = pa.array(shard.docs[at : at + 2000], mask=~shard.known[at : at + 2000])
+                    yield pa.RecordBatch.from_arrays([docs, pa.array(bounds[:-1] + start), pa.array(np.diff(bounds)), pa.array([zlib.crc32(p) for p in pieces], pa.int64()), pa.array(pieces, pa.binary())], ["doc_id", "start", "n_tokens", "ids_crc32", "ids"])
 
     return manifest.select("file", "start").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long, ids binary")
 
@@ -105,7 +107,8 @@ def read_shards(manifest: DataFrame, folder: str) -> DataFrame:
 def token_files(docs: DataFrame, path: str, end: int = END) -> DataFrame:
     """Write all of ``docs`` (doc_id, text) as shards in the shared folder and read them back.
 
-    Empty tables give no rows. A null doc_id is kept as -1, which real ids don't use.
+    Empty tables give no rows; null ids stay null, repeated rows stay. Columns besides doc_id and
+    text are not read, whatever their names.
     """
     spark = docs.sparkSession
     scratch.small_batches(spark, 4000)

@@ -3,6 +3,8 @@
 In each round the most frequent adjacent pairs become nonterminals, the more frequent first where
 they overlap; rounds go on until no pair is frequent. A shard holds the rules, the length that
 each nonterminal expands to, and the remaining sequence, so any range can be decoded by itself.
+Symbols are stored in as many bits as the largest needs: sixteen of them as a number, each further
+one as a plane of bits.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ import numpy as np
 
 from . import vectext
 
-MAGIC = b"LLRP0001"
+MAGIC = b"LLRP0002"
 #: A pair is replaced while it occurs so often in a shard.
 FREQUENT = 24
 #: In a round, pairs at least this share of the most frequent one are taken.
@@ -97,31 +99,58 @@ def expansion_lengths(left: np.ndarray, right: np.ndarray, symbols: int) -> np.n
     return out[symbols:]
 
 
-def packed(docs: np.ndarray, bounds: np.ndarray, ids: np.ndarray, symbols: int) -> bytes:
-    """A shard file: the documents' ids, where each begins, rules, expansion lengths, sequence."""
+def width(symbols: int) -> int:
+    """Bits of a symbol in a file, 16 at least."""
+    return max(16, (max(symbols, 1) - 1).bit_length())
+
+
+def planes(values: np.ndarray, bits: int) -> bytes:
+    """The low 16 bits of each value, then a plane for each further bit, eight values to a byte."""
+    values = values.astype(np.uint32)
+    return (values & 0xFFFF).astype("<u2").tobytes() + b"".join(np.packbits((values >> k & 1).astype(bool)).tobytes() for k in range(16, bits))
+
+
+def from_planes(data: bytes, at: int, count: int, bits: int) -> tuple[np.ndarray, int]:
+    """(values, where they end)."""
+    out = np.frombuffer(data, "<u2", count, at).astype("<u4")
+    at += 2 * count
+    step = (count + 7) // 8
+    for k in range(16, bits):
+        out |= np.unpackbits(np.frombuffer(data, np.uint8, step, at), count=count).astype("<u4") << np.uint32(k)
+        at += step
+    return out, at
+
+
+def packed(docs: np.ndarray, bounds: np.ndarray, ids: np.ndarray, symbols: int, known: np.ndarray | None = None) -> bytes:
+    """A shard file: the documents' ids and which of them are known (all: None), where each begins, rules,
+    expansion lengths, sequence."""
     left, right, sequence = compressed(ids, symbols)
     lengths = expansion_lengths(left, right, symbols)
-    head = struct.pack("<8sQQQQ", MAGIC, symbols, len(docs), len(left), len(sequence))
-    return head + b"".join(x.tobytes() for x in (docs.astype("<i8"), bounds.astype("<u8"), left, right, lengths.astype("<u4"), sequence))
+    bits = width(symbols + len(left))
+    long = bits if not len(lengths) else max(bits, int(lengths.max()).bit_length())
+    head = struct.pack("<8sQQQQBB", MAGIC, symbols, len(docs), len(left), len(sequence), bits, long)
+    known = np.ones(len(docs), bool) if known is None else known
+    return head + b"".join([docs.astype("<i8").tobytes(), np.packbits(known).tobytes(), np.diff(bounds).astype("<u4").tobytes(), planes(left, bits), planes(right, bits), planes(lengths, long), planes(sequence, bits)])
 
 
 class Shard:
-    """A shard file in memory."""
+    """A shard file in memory; ``known`` tells the documents that have an id."""
 
     def __init__(self, data: bytes):
-        magic, self.symbols, docs, rules, symbols_left = struct.unpack_from("<8sQQQQ", data)
+        magic, self.symbols, docs, rules, symbols_left, bits, long = struct.unpack_from("<8sQQQQBB", data)
         if magic != MAGIC:
             raise ValueError("not a shard of this format")
-        at = 40
-
-        def part(form: str, count: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(data, form, count, at)
-            at += out.nbytes
-            return out
-
-        self.docs, self.bounds = part("<i8", docs), part("<u8", docs + 1).astype(np.int64)
-        self.left, self.right, self.lengths, self.sequence = part("<u4", rules), part("<u4", rules), part("<u4", rules), part("<u4", symbols_left)
+        at = 42
+        self.docs = np.frombuffer(data, "<i8", docs, at)
+        at += 8 * docs
+        self.known = np.unpackbits(np.frombuffer(data, np.uint8, (docs + 7) // 8, at), count=docs).astype(bool)
+        at += (docs + 7) // 8
+        self.bounds = np.concatenate([[0], np.cumsum(np.frombuffer(data, "<u4", docs, at), dtype=np.int64)])
+        at += 4 * docs
+        self.left, at = from_planes(data, at, rules, bits)
+        self.right, at = from_planes(data, at, rules, bits)
+        self.lengths, at = from_planes(data, at, rules, long)
+        self.sequence, at = from_planes(data, at, symbols_left, bits)
         # what each nonterminal stands for, one after the other; a plain symbol stands for itself
         self.table = self._expanded(np.arange(self.symbols, self.symbols + rules, dtype=np.uint32))
         self.begins = np.cumsum(self.lengths, dtype=np.int64) - self.lengths

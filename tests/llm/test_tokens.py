@@ -38,17 +38,33 @@ def test_repair_round_trip(seed):
     assert seed != 0 or len(shard.sequence) < len(ids) / 3
 
 
+def test_symbols_take_the_bits_they_need():
+    rng = np.random.default_rng(1)
+    for bits in (16, 17, 19, 24):
+        values = rng.integers(0, 1 << bits, 1003).astype(np.uint32)
+        data = b"xy" + repair.planes(values, bits) + b"z"
+        back, at = repair.from_planes(data, 2, len(values), bits)
+        assert (back == values).all() and at == len(data) - 1
+    assert [repair.width(n) for n in (0, 5, 65536, 65537, 131073)] == [16, 16, 16, 17, 18]
+    words = [rng.integers(0, 49_000, rng.integers(3, 9)) for _ in range(3000)]
+    ids = np.concatenate([words[k] for k in rng.zipf(1.3, 40_000) % 3000]).astype("<u4")
+    data = repair.packed(np.arange(10), np.linspace(0, len(ids), 11).astype(np.int64), ids, 49_152, np.arange(10) != 4)
+    shard = repair.Shard(data)
+    assert (shard.ids() == ids).all() and shard.known.tolist() == [k != 4 for k in range(10)]
+    assert len(data) < len(ids)  # half of what plain 16-bit ids take
+
+
 def frame(spark, rows):
     return spark.createDataFrame([(t, i, 3) for i, t in rows], "text string, doc_id long, part int").repartition(3)
 
 
 def test_token_files(spark, monkeypatch):
-    rows = [(k * 7 % 101, t) for k, t in enumerate(ODD * 3)] + [(None, "null id")]
+    rows = [(k * 7 % 101 - 1, t) for k, t in enumerate(ODD * 3)] + [(None, "null id")]
     e = tokens.encoder(tokens.vocabulary(binary_output.VOCABULARY))
     got = sorted(binary_output.token_files(frame(spark, rows), tokens.vocabulary(binary_output.VOCABULARY)).collect(), key=lambda r: r.start)
-    assert [r.doc_id for r in got] == sorted(-1 if i is None else i for i, _ in rows)
+    assert [r.doc_id for r in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
     at = 0
-    want = {(-1 if i is None else i, zlib.crc32(np.array([*e.library.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for i, t in rows}
+    want = {(i, zlib.crc32(np.array([*e.library.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes())) for i, t in rows}
     for r in got:
         assert r.start == at and (r.doc_id, r.ids_crc32) in want and zlib.crc32(r.ids) == r.ids_crc32 and len(r.ids) == 4 * r.n_tokens
         at += r.n_tokens
