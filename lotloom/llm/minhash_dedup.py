@@ -3,8 +3,12 @@
 Every shingle is the source of a Poisson process whose rate is its weight; its arrivals go to
 registers by chance, each register keeps the earliest, and a document stops when no later arrival
 can change a register. Two documents agree in a register with the probability Jaccard similarity
-of their weights as chance. Bands of registers give candidates, which are verified on the shingles
-themselves.
+of their weights as chance; a shingle weighs as often as it stands in the text. Bands of registers
+give candidates, which are verified on the shingles themselves.
+
+A bucket is a band and its key. Of all members of a band at most SHARE buckets can hold more than one
+in SHARE; these large ones are few by that bound, so what is known of them is broadcast and their
+members stay spread over all tasks. All other buckets are small beside a task's share of rows.
 """
 
 from __future__ import annotations
@@ -20,8 +24,11 @@ from .toxicity import words_in
 
 #: Words of a shingle; least similarity; registers; registers of a band.
 WORDS, ALIKE, REGISTERS, BAND = 5, 0.8, 128, 6
-#: Members of a bucket up to which all its pairs are verified at once.
+#: Members of a bucket up to which all its pairs are verified at once. It only moves work: beyond it
+#: hubs and rare shingles find the same components.
 SMALL = 24
+#: A bucket with more than one in so many of a band's members is hot.
+SHARE = 500
 
 _ODD = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
 
@@ -119,15 +126,18 @@ def _lists(flat: np.ndarray, begins: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(_signed(flat)))
 
 
-def signed_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, tie, h1, h2 (hashes of the word sequence), size (distinct shingles), bands."""
+def signed_documents(docs: DataFrame, weighted: bool = True) -> DataFrame:
+    """doc_id, tie, h1, h2 (hashes of the word sequence), size (distinct shingles), bands.
+
+    weighted: shingles weigh as often as they stand in the text; else all alike.
+    """
 
     def made(batches):
         for batch in batches:
             for begin in range(0, batch.num_rows, 500):
                 some = batch.slice(begin, 500)
-                hashes, _, begins, h1, h2 = shingles(some.column(1))
-                keys = bands(signatures(hashes, np.ones(len(hashes)), begins))
+                hashes, weights, begins, h1, h2 = shingles(some.column(1))
+                keys = bands(signatures(hashes, weights if weighted else np.ones(len(hashes)), begins))
                 lists = _lists(np.ascontiguousarray(keys).ravel(), np.arange(some.num_rows + 1) * keys.shape[1])
                 yield pa.RecordBatch.from_arrays([some.column(0), some.column(2), pa.array(_signed(h1)), pa.array(_signed(h2)), pa.array(np.diff(begins)), lists], ["doc_id", "tie", "h1", "h2", "size", "bands"])
 
@@ -185,13 +195,27 @@ def sharing_rare(members: DataFrame, lists: DataFrame, alike: float) -> DataFram
     return out.distinct()
 
 
-def near_duplicates(docs: DataFrame, alike: float = ALIKE, small: int = SMALL) -> DataFrame:
+def with_bucket(rows: DataFrame, buckets: DataFrame, hot: DataFrame) -> DataFrame:
+    """``rows`` joined with ``buckets`` on band and key; those of ``hot`` buckets by broadcast.
+
+    hot: band and key of at most SHARE buckets a band, so its size is bounded.
+    """
+    key = ["band", "key"]
+    few = F.broadcast(buckets.join(F.broadcast(hot), key, "left_semi"))
+    rest = rows.join(F.broadcast(hot), key, "left_anti").join(buckets.join(F.broadcast(hot), key, "left_anti"), key)
+    return rest.unionByName(rows.join(few, key))
+
+
+def near_duplicates(docs: DataFrame, alike: float = ALIKE, small: int = SMALL, weighted: bool = True, share: int = SHARE) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, rep_id, class_id, kept, tie (hash of the text).
 
     rep_id: the smallest doc_id with the same words in the same order. class_id: the smallest
     doc_id reachable over links of similarity ``alike`` or more. kept: this row is that document;
     of rows that repeat both id and words, all are. Texts without a word, null ones too, link with
-    nothing; rows without an id are kept and have no class. Other columns are not read.
+    nothing; rows without an id are kept and have no class. Texts of any length count whole; an
+    empty table gives no rows. Other columns are not read, whatever their names. weighted: candidates
+    are found by shingles that weigh as often as they stand in a text; links always are those of
+    the shingle sets.
 
     Of a bucket of at most ``small`` different texts all pairs are verified. In a larger one each
     member is first verified against a few hubs of its bucket; then the pairs of members
@@ -201,13 +225,16 @@ def near_duplicates(docs: DataFrame, alike: float = ALIKE, small: int = SMALL) -
     """
     spark = docs.sparkSession
     scratch.small_batches(spark)
-    signed = scratch.table(signed_documents(docs), "signatures")
+    signed = scratch.table(signed_documents(docs, weighted), "signatures")
     sound = signed.where("doc_id is not null and size > 0")
-    reps = sound.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "tie", "bands")).alias("r")).select("h1", "h2", F.col("r.doc_id").alias("rep"), F.col("r.tie").alias("tie"), F.col("r.bands").alias("bands"))
+    # copies have the same bands, so only the smallest id has to be found
+    reps = sound.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "tie")).alias("r"), F.first("bands").alias("bands")).select("h1", "h2", F.col("r.doc_id").alias("rep"), F.col("r.tie").alias("tie"), "bands")
     keys = scratch.table(reps.select("rep", F.posexplode("bands").alias("band", "key")), "bands")
     hubs = F.array(F.min("rep"), F.max("rep"), *[F.min_by("rep", F.xxhash64(F.lit(k), "rep")) for k in range(2)])
-    buckets = keys.groupBy("band", "key").agg(F.count("*").alias("members"), hubs.alias("hubs")).where("members > 1")
-    inside = scratch.table(keys.join(buckets, ["band", "key"]).select("band", "key", "rep", "members", "hubs"), "buckets")
+    buckets = scratch.table(keys.groupBy("band", "key").agg(F.count("*").alias("members"), hubs.alias("hubs")).where("members > 1"), "hubs")
+    least = keys.count() // (REGISTERS // BAND) // share
+    hot = buckets.where((F.col("members") > small) & (F.col("members") > least)).select("band", "key")
+    inside = scratch.table(with_bucket(keys, buckets, hot).select("band", "key", "rep", "members", "hubs"), "buckets")
     wanted = inside.select(F.col("rep").alias("doc_id")).distinct().join(reps.select(F.col("rep").alias("doc_id"), "tie"), "doc_id")
     lists = scratch.table(shingle_lists(_rows(docs).join(wanted, ["doc_id", "tie"], "left_semi")).dropDuplicates(["doc_id"]), "shingles")
 
@@ -219,10 +246,10 @@ def near_duplicates(docs: DataFrame, alike: float = ALIKE, small: int = SMALL) -
     links = scratch.table(verified(tried, lists, alike), "links")
     whole = scratch.table(components(links), "components")
 
-    large = inside.where(F.col("members") > small).join(whole, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("of"))
+    large = scratch.table(inside.where(F.col("members") > small).join(whole, F.col("rep") == F.col("node"), "left").select("band", "key", "rep", F.coalesce("component", "rep").alias("of")), "large-buckets")
     parts = large.groupBy("band", "key", "of").agg(F.count("*").alias("n"))
-    split = parts.groupBy("band", "key").agg(F.count("*").alias("components"), F.max_by("of", "n").alias("largest")).where("components > 1")
-    open_ = scratch.table(large.join(split, ["band", "key"]).select("band", "key", "rep", "of", (F.col("of") != F.col("largest")).alias("outside")), "open-buckets")
+    split = scratch.table(parts.groupBy("band", "key").agg(F.count("*").alias("components"), F.max_by("of", F.struct("n", "of")).alias("largest")).where("components > 1"), "split-buckets")
+    open_ = scratch.table(with_bucket(large, split, hot).select("band", "key", "rep", "of", (F.col("of") != F.col("largest")).alias("outside")), "open-buckets")
     if not open_.isEmpty():
         rest = sharing_rare(open_.groupBy("rep").agg(F.max("outside").alias("outside"), F.min("of").alias("of")), lists, alike).join(tried, ["a", "b"], "left_anti")
         more = scratch.table(verified(rest, lists, alike), "links")
@@ -237,10 +264,14 @@ def near_duplicates(docs: DataFrame, alike: float = ALIKE, small: int = SMALL) -
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """One document of each group, with its own columns; rows that repeat id and text stay or go together."""
-    gone = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("tie").alias("__tie")).distinct()
-    tie = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return docs.join(gone, (F.col("doc_id").cast("long") == F.col("__gone")) & (tie == F.col("__tie")), "left_anti")
+    """One document of each group, with its own columns, whatever their names.
+
+    Rows that repeat id and text stay or go together; null ids and texts without a word stay. An
+    empty table stays empty.
+    """
+    gone = near_duplicates(docs).where("not kept").select("doc_id", "tie").distinct().alias("gone")
+    tie = F.xxhash64(F.coalesce(F.col("docs.text").cast("string"), F.lit("")))
+    return docs.alias("docs").join(gone, (F.col("docs.doc_id").cast("long") == F.col("gone.doc_id")) & (tie == F.col("gone.tie")), "left_anti")
 
 
 def op8_minhash_dedup(spark, sf_dir: str) -> DataFrame:

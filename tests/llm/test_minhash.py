@@ -65,7 +65,7 @@ def documents():
 def test_classes_are_brute_force(spark):
     rows = documents()
     rows += [(rows[3][0], rows[3][1]), (None, rows[3][1])]
-    frame = spark.createDataFrame([(t, i, 1, "k") for i, t in rows], "text string, doc_id long, kept int, tie string").repartition(4)
+    frame = spark.createDataFrame([(t, i, 1, "k", 0) for i, t in rows], "text string, doc_id long, kept int, tie string, __gone int").repartition(4)
     got = m.near_duplicates(frame, small=12).collect()
     assert len(got) == len(rows)
     s = {i: sets(t) for i, t in rows if i is not None}
@@ -87,6 +87,10 @@ def test_classes_are_brute_force(spark):
             assert r.class_id is None and r.kept
         else:
             assert (r.class_id, r.kept) == (find(r.doc_id), find(r.doc_id) == r.doc_id), r
+    want = sorted((r.doc_id or -1, r.class_id or -1, r.kept) for r in got)
+    for small, share, weighted in ((2, 3, True), (10**6, 500, False)):  # where the work is done changes nothing
+        again = m.near_duplicates(frame, small=small, share=share, weighted=weighted).collect()
+        assert sorted((r.doc_id or -1, r.class_id or -1, r.kept) for r in again) == want
     left = m.without_copies(frame)
     assert left.columns == frame.columns and sorted(r.doc_id for r in left.collect() if r.doc_id is not None) == sorted(r.doc_id for r in got if r.kept and r.doc_id is not None)
     assert m.near_duplicates(frame.limit(0)).count() == 0
