@@ -5,8 +5,10 @@ document then has a share of its tokens in each domain, and rates r >= least are
 minimise ||sum of r n p - targets||^2 / (total of targets)^2 + pull * mean of (r - 1)^2 by projected
 gradient. In op6 and the pipeline the pull only chooses among rates that meet the targets: it shrinks
 from PULL to TIE, each level starting from the last one's rates, so totals end short of a target only
-where the bound stops them. Each step needs one sum over all documents, a vector as long as the list of domains; the
-rates follow from such vectors alone, so no step rewrites the documents.
+where the bound stops them. Each step needs one sum over all documents, a vector as long as the list
+of domains; projection is done lazily, on the sum of all steps so far, so the rates follow from one
+such vector and no step rewrites the documents. A step is scaled for each domain by how far the free
+documents could move it, and its length is the one that fits the change of the gradient just seen.
 """
 
 from __future__ import annotations
@@ -23,7 +25,9 @@ LABELLED = 3000
 #: Places that pairs of neighbouring bytes are counted in.
 FEATURES = 512
 #: Weight of staying at rate 1; most gradient steps for each weight; distance of the sums, as a share of all tokens, that ends them.
-PULL, STEPS, STILL = 0.05, 60, 1e-9
+PULL, STEPS, STILL = 0.05, 20, 1e-6
+#: A step may be worse than the last one, but not than so many before.
+RECENT = 5
 #: The weight in the queries: it only breaks ties.
 TIE = 1e-6
 #: Target share of each domain: those that the labelled table tells apart.
@@ -142,8 +146,9 @@ def rates(shares: DataFrame, domains: list[str], targets: dict[str, float], leas
     targets: shares of tokens by domain, made to sum to 1. budget: tokens in all; None: as many as
     there are, or, where rates may not fall below 1, as many as the domain most in excess needs.
     The gradient for a document with tokens n and posterior p is n p.(sums - targets), scaled, and
-    the pull to 1; projected on the bound its zero is r = max(least, 1 - n p.y). So a step moves
-    the vector y, and the sums that it takes are one aggregation.
+    the pull to 1; the steps taken sum up to n p.y for a vector y, and projected on the bound they
+    give r = max(least, 1 - n p.y). So a step moves y, and the sums that it takes are one aggregation.
+    Rows without tokens keep rate 1. An empty table stays empty.
     """
     k = len(domains)
     of = [F.col("posterior")[j] * F.col("n_tokens") for j in range(k)]
@@ -170,8 +175,8 @@ def rates(shares: DataFrame, domains: list[str], targets: dict[str, float], leas
         return F.greatest(F.lit(float(least)), F.lit(1.0) - F.col("n_tokens") * dot)
 
     def summed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
-        """Sums by domain, their curvature over documents not at the bound, the objective's dual without the pull, its rounding."""
-        free = F.col("r") > F.lit(float(least))
+        """Sums by domain, their curvature over documents that may move, the objective's dual without the pull, its rounding."""
+        free = F.col("z") <= F.lit(1 - float(least))
         far = (1 - least) * (F.col("z") - (1 - least) / 2) if least < 1 else F.lit(0.0)
         bent = -F.col("z") + F.when(F.col("z") <= 1 - least, F.col("z") * F.col("z") / 2).otherwise(far)
         each = shares.select(rate_at(v).alias("r"), *[x.alias(f"x{j}") for j, x in enumerate(of)]).withColumn("z", sum((F.col(f"x{j}") * float(v[j] / size) for j in range(k)), F.lit(0.0)))
@@ -182,23 +187,36 @@ def rates(shares: DataFrame, domains: list[str], targets: dict[str, float], leas
     reached, curve, base, _ = summed(y)
     levels = [pull]
     while levels[0] < PULL:
-        levels.insert(0, min(PULL, levels[0] * 10))
+        levels.insert(0, min(PULL, levels[0] * 200))
     for weight in levels:
         bent = weight * budget**2 / row.rows / size**2 / 2
-        still = STILL if weight == pull else 1e-4
+        still = STILL if weight == pull else 1e-2
+        last = [base + bent * float(y @ y)]
+        # in this metric no step is longer than the gradient's change allows, whatever the domains share
+        metric = np.abs(curve).sum(1) / budget**2 + weight / row.rows
+        slope = (reached - aim) * size / budget**2 - y * weight / row.rows
+        length, best = 1.0, (last[0], y, reached)
         for _ in range(STEPS):
-            # a gradient step in the metric of the documents that are free to move
-            slope = (reached - aim) * size / budget**2 - y * weight / row.rows
             if np.abs(slope).max() <= still * size / budget:
                 break
-            move = np.linalg.solve(curve / budget**2 + np.eye(k) * weight / row.rows, slope)
             for halved in range(40):
-                new = y + move * 0.5**halved
+                new = y + slope / metric * length * 0.5**halved
                 sums = summed(new)
                 steps += 1
-                if sums[2] + bent * float(new @ new) <= base + bent * float(y @ y) + sums[3]:
+                value = sums[2] + bent * float(new @ new)
+                if value <= max(last[-RECENT:]) + sums[3]:
                     break
-            y, (reached, curve, base, _) = new, sums
+            reached, curve, base, _ = sums
+            turned = (reached - aim) * size / budget**2 - new * weight / row.rows
+            moved, bend = new - y, slope - turned
+            # the step that would have met the change of the gradient just seen
+            length = float(np.clip(moved @ (metric * moved) / max(moved @ bend, 1e-300), 0.1, 1e4))
+            y, slope = new, turned
+            last.append(value)
+            if value < best[0]:
+                best = (value, y, reached)
+        y = best[1]
+        reached, curve, base, _ = summed(y)
     return shares.withColumn("rate", rate_at(y)), {"start": start, "aim": aim, "reached": reached, "steps": steps, "y": y / size}
 
 
