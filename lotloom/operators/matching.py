@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Fixed values of the ranking: each further supplier, a shortfall.
-SUPPLIER_FACTOR, SHORT_FACTOR = 0.95, 0.85
 #: Cheapest lots of a requirement that combinations are made of; most suppliers of one fill.
 POOL, MOST_SUPPLIERS = 8, 3
 
@@ -81,27 +79,43 @@ def sweep(req: DataFrame, sup: DataFrame, suppliers: int = MOST_SUPPLIERS) -> Da
     return done.select(*KEY, (F.col("wanted") - F.col("s.left")).alias("filled"), F.col("s.legs").alias("legs"), F.size("s.met").cast("bigint").alias("suppliers"), F.col("s.cost").alias("cost"))
 
 
+def _pools(req: DataFrame, sup: DataFrame) -> DataFrame:
+    """``lots``: the POOL cheapest lots of each requirement that no single lot fills.
+
+    Ranks, the largest lot and the array share one shuffle, by requirement; the array has at most
+    POOL elements, so all that is built of it stays in its row.
+    """
+    by = Window.partitionBy(*KEY)
+    place = F.row_number().over(by.orderBy(F.col("price_cents").asc_nulls_last(), "supplier"))
+    rows = candidates(req, sup).withColumns({"place": place, "largest": F.max("quantity").over(by)}).where((F.col("largest") < F.col("wanted")) & (F.col("place") <= POOL))
+    lot = F.struct("place", "supplier", F.col("quantity").alias("q"), F.col("price_cents").alias("p"))
+    return rows.groupBy(*KEY, "wanted", "limit_cents").agg(F.array_sort(F.collect_list(lot)).alias("lots"))
+
+
 def pairs(req: DataFrame, sup: DataFrame) -> DataFrame:
     """Two lots of the pool that fill what no single lot can; the cheaper gives all it has."""
-    pool = cheapest_first(req, sup, POOL)
-    largest = F.max("quantity").over(Window.partitionBy(*KEY))
-    whole = candidates(req, sup).withColumn("largest", largest).where("largest < wanted").select(*KEY).distinct()
-    pool = pool.join(whole, KEY, "left_semi")
-    a = pool.select(*KEY, "wanted", "limit_cents", F.col("place").alias("place_a"), F.col("supplier").alias("supplier_a"), F.col("quantity").alias("q_a"), F.col("price_cents").alias("p_a"))
-    b = pool.select(*KEY, F.col("place").alias("place_b"), F.col("supplier").alias("supplier_b"), F.col("quantity").alias("q_b"), F.col("price_cents").alias("p_b"))
-    both = a.join(b, KEY).where("place_a < place_b and q_a + q_b >= wanted")
-    cost = F.col("q_a") * F.col("p_a") + (F.col("wanted") - F.col("q_a")) * F.col("p_b")
-    return both.select(*KEY, "supplier_a", "supplier_b", "wanted", cost.alias("cost"), (F.col("limit_cents") * F.col("wanted") - cost).alias("total_margin"))
+
+    def with_a(a: Column) -> Column:
+        partners = F.filter("lots", lambda b: (b["place"] > a["place"]) & (a["q"] + b["q"] >= F.col("wanted")))
+        return F.transform(partners, lambda b: F.struct(a["supplier"].alias("supplier_a"), b["supplier"].alias("supplier_b"), (a["q"] * a["p"] + (F.col("wanted") - a["q"]) * b["p"]).alias("cost")))
+
+    found = _pools(req, sup).withColumn("two", F.explode(F.flatten(F.transform("lots", with_a))))
+    return found.select(*KEY, "two.supplier_a", "two.supplier_b", "wanted", "two.cost", (F.col("limit_cents") * F.col("wanted") - F.col("two.cost")).alias("total_margin"))
 
 
 def triples(req: DataFrame, sup: DataFrame) -> DataFrame:
     """Three lots of the pool that fill it, unless two of them do."""
-    pool = cheapest_first(req, sup, POOL)
-    largest = F.max("quantity").over(Window.partitionBy(*KEY))
-    pool = pool.join(candidates(req, sup).withColumn("largest", largest).where("largest < wanted").select(*KEY).distinct(), KEY, "left_semi")
-    legs = [pool.select(*KEY, *(["wanted"] if k == "a" else []), F.col("place").alias(f"place_{k}"), F.col("supplier").alias(f"supplier_{k}"), F.col("quantity").alias(f"q_{k}")) for k in "abc"]
-    three = legs[0].join(legs[1], KEY).where("place_a < place_b and q_a + q_b < wanted").join(legs[2], KEY)
-    return three.where("place_b < place_c and q_a + q_c < wanted and q_b + q_c < wanted and q_a + q_b + q_c >= wanted").select(*KEY, "supplier_a", "supplier_b", "supplier_c", "wanted")
+    wanted = F.col("wanted")
+
+    def with_a(a: Column) -> Column:
+        def with_b(b: Column) -> Column:
+            third = F.filter("lots", lambda c: (c["place"] > b["place"]) & (a["q"] + c["q"] < wanted) & (b["q"] + c["q"] < wanted) & (a["q"] + b["q"] + c["q"] >= wanted))
+            return F.transform(third, lambda c: F.struct(a["supplier"].alias("supplier_a"), b["supplier"].alias("supplier_b"), c["supplier"].alias("supplier_c")))
+
+        return F.flatten(F.transform(F.filter("lots", lambda b: (b["place"] > a["place"]) & (a["q"] + b["q"] < wanted)), with_b))
+
+    found = _pools(req, sup).withColumn("three", F.explode(F.flatten(F.transform("lots", with_a))))
+    return found.select(*KEY, "three.supplier_a", "three.supplier_b", "three.supplier_c", "wanted")
 
 
 def placed(req: DataFrame, sup: DataFrame, buyers: int = 3) -> DataFrame:
