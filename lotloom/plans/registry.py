@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .oracle import ORACLE_SQL
-from .queries import QUERIES
+from . import lines, oracle, queries
+
+QUERIES = queries.QUERIES | lines.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | lines.ORACLE_SQL
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

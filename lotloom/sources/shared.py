@@ -5,12 +5,14 @@ from __future__ import annotations
 import atexit
 import io
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED: dict[str, tuple[SparkSession, str]] = {}
+_STORED: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -33,6 +35,17 @@ def removed(spark: SparkSession, uri: str) -> None:
         where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared folder and read again; it goes when the process ends.
+
+    Lines are normalised once, when they come in; what reads them often reads plain columns.
+    """
+    path = f"{shared_folder(df.sparkSession)}/lotloom/{name}-{uuid.uuid4().hex}"
+    _STORED.append((df.sparkSession, path))
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ship(spark: SparkSession) -> None:
     """Let Python workers import this package even where it is on the driver's path only.
 
@@ -58,7 +71,7 @@ def ship(spark: SparkSession) -> None:
 
 @atexit.register
 def _at_exit() -> None:
-    for spark, uri in _SHIPPED.values():
+    for spark, uri in [*_SHIPPED.values(), *_STORED]:
         try:
             removed(spark, uri)
         except Exception:  # noqa: BLE001  the session may be gone
