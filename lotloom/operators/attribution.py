@@ -8,9 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.wording import company_tokens, is_distinctive
 
 # Fixed patterns of the gate: trade wording of a subject, money and product words of a body.
-TRADE = r"(?i)\b(?:wts|wtb|wtt|rfq|offer|offers|stock|price|prices|pricelist|list|quote|quotation|availability)\b"
-MONEY_TOKEN = r"(?i)[€$£]\s*\d|\d\s*(?:[€$£]|EUR|USD|GBP|AED)\b"
-PRODUCT_TOKEN = r"(?i)\b(?:iphone|ipad|galaxy|samsung|pixel|xiaomi|redmi|macbook|airpods|playstation|\d{2,4}\s*gb)\b"
+TRADE = r"(?i)\b(?:wts|wtb|wtt|rfq|offer|offers|stock|stocklist|price|pricelist|prices|list|quote|quotation|available|availability|angebot|lager|oferta|disponibil)\b"
+MONEY_TOKEN = r"(?i)(?:[€$£]\s?\d|\b\d+[.,]?\d*\s?(?:eur|usd|gbp|€|\$|£))"
+PRODUCT_TOKEN = r"(?i)\b(?:iphone|samsung|galaxy|xiaomi|redmi|pixel|oppo|vivo|realme|honor|motorola|nokia|ipad|macbook|airpods|gb|tb)\b"
 
 
 def company_of(subjects: DataFrame, companies: DataFrame) -> DataFrame:
@@ -35,6 +35,15 @@ def kept_by_gate(subject: Column, body: Column, has_workbook: Column) -> Column:
     return F.coalesce(has_workbook, F.lit(False)) | F.coalesce(subject, F.lit("")).rlike(TRADE) | (text.rlike(MONEY_TOKEN) & text.rlike(PRODUCT_TOKEN))
 
 
+def gate_reason(subject: Column, body: Column, has_workbook: Column) -> Column:
+    """Why a message is kept: attachment, subject or body; null for one that is dropped."""
+    text = F.coalesce(body, F.lit(""))
+    return (
+        F.when(F.coalesce(has_workbook, F.lit(False)), "attachment").when(F.coalesce(subject, F.lit("")).rlike(TRADE), "subject")
+        .when(text.rlike(MONEY_TOKEN) & text.rlike(PRODUCT_TOKEN), "body")
+    )
+
+
 def message_id(sender: Column, subject: Column, at: Column, body: Column) -> Column:
     """An id for a message without one, the same for two deliveries of it."""
     parts = [F.coalesce(sender, F.lit("")), F.lower(F.trim(F.coalesce(subject, F.lit("")))), F.unix_millis(at).cast("string"), F.length(F.trim(F.coalesce(body, F.lit("")))).cast("string")]

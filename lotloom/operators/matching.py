@@ -54,9 +54,9 @@ def greedy_fill(req: DataFrame, sup: DataFrame, most: int | None = None) -> Data
 
 
 def fills(req: DataFrame, sup: DataFrame, most: int | None = None) -> DataFrame:
-    """One row for each requirement with supply: units, suppliers, blended cost in whole cents, margin."""
+    """One row for each requirement with supply: units, suppliers, blended cost in hundredths of a cent, margin."""
     g = greedy_fill(req, sup, most).groupBy(*KEY, "wanted", "limit_cents").agg(F.sum("take").alias("filled"), F.count("*").alias("suppliers"), F.sum(F.col("take") * F.col("price_cents")).alias("cost"), F.countDistinct("country").alias("countries"), F.max("seen_at").alias("seen_at"))
-    g = g.withColumn("unit_cost", F.expr("cost div filled")).withColumn("total_margin", F.col("limit_cents") * F.col("filled") - F.col("cost"))
+    g = g.withColumn("unit_cost", F.expr("(200 * cost + filled) div (2 * filled)")).withColumn("total_margin", F.col("limit_cents") * F.col("filled") - F.col("cost"))
     return g.withColumn("short", F.col("filled") < F.col("wanted"))
 
 

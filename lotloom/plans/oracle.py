@@ -136,7 +136,7 @@ ORACLE_SQL = {
       select buyer, part, supplier, take, kind, unit_margin, total_margin, score from final
       qualify row_number() over (partition by buyer, part order by score desc, price_cents, supplier) = 1""",
     "match_greedy_fill": f"""with {_LOTS}, {_REQ}, {_CAND}, {_TAKEN.format('')}, {_FILL}
-      select buyer, part, filled, suppliers, cast(cost // filled as bigint) as unit_cost, limit_cents * filled - cost as total_margin, filled < wanted as short from fill""",
+      select buyer, part, filled, suppliers, cast((200 * cost + filled) // (2 * filled) as bigint) as unit_cost, limit_cents * filled - cost as total_margin, filled < wanted as short from fill""",
     # each supplier has one lot of a part, so the cap on suppliers is one on lots
     "match_sweep_supplier_cap": f"""with {_LOTS}, {_REQ}, {_CAND}, {_TAKEN.format('where place <= 3')}, {_FILL}
       select buyer, part, filled, suppliers as legs, suppliers, cost from fill where suppliers >= 2""",
@@ -166,7 +166,6 @@ ORACLE_SQL = {
     "offers_filtered_page": f"with {_LOTS} select supplier, part, quantity, price_cents from lots where grade = 'A' and quantity > 10 order by seen_at desc, supplier, part limit 500",
     "cheapest_lots": f"with {_LOTS}, p as (select *, row_number() over (partition by brand order by price_cents, supplier, part) as place from lots) select brand, place, supplier, part, price_cents from p where place <= 8",
     "sibling_network_inference": f"""with {_LOTS} select l.supplier, l.part, case when l.part % 7 = 0 then '5g' when exists (select 1 from lots x where x.supplier = l.supplier and x.brand = l.brand and x.part % 7 = 0) then '4g' end as network from lots l""",
-    "alias_chain": "select * from (values ('a', 'd'), ('b', 'd'), ('c', 'd'), ('p', 'q'), ('q', 'p')) t(src, target)",
     "reconcile_actions": f"with {_SNAP} select * from act",
     "reconcile_undecided": f"with {_SNAP} select case when kind = 'close' then 'keep' else kind end as kind, count(*) as n from act group by 1",
     "reconcile_counts": f"with {_SNAP} select kind, count(*) as n, count(*) filter (where needs_review) as needing_review from act group by 1",
@@ -197,12 +196,8 @@ ORACLE_SQL = {
       select s_suppkey, count(supplier) as live, max(seen_at) as last_seen, coalesce(string_agg(cast(price_cents as varchar), ',' order by i) filter (where i <= 5), '') as recent_prices
       from supplier left join p on supplier = s_suppkey group by 1""",
     "clients_with_live": "select c_custkey, c_name from customer where c_custkey in (select o_custkey from orders where o_orderstatus = 'O')",
-    "deal_margin": f"with {_LEGS} select l_orderkey, cast(sum(sell - q * unit_cost) as bigint) as margin, count(*) as legs from legs group by 1",
     "deal_committed": f"""with {_LEGS} select o_custkey, cast(coalesce(sum(q * unit_cost) filter (where o_orderstatus <> 'F'), 0) as bigint) as committed, count(distinct o_orderkey) filter (where o_orderstatus <> 'F') as open_count
       from legs join orders on o_orderkey = l_orderkey group by 1""",
-    "allocation_check": f"""with {_LOTS}, {_LEGS}, t as (select l_suppkey, l_partkey, sum(q) as promised, count(distinct l_orderkey) as deals from legs where l_orderkey in (select o_orderkey from orders where o_orderstatus = 'O') group by 1, 2),
-      x as (select supplier, part, 2 * quantity as lot, 2 * quantity - coalesce(promised, 0) as remaining, deals from lots left join t on supplier = l_suppkey and part = l_partkey)
-      select supplier, part, cast(remaining as bigint) as remaining, case when remaining < lot / 2.0 + 1 then case when deals > 1 then 'warn' else 'tight' end else 'fine' end as standing from x""",
     "deal_reference": "select o_orderpriority, coalesce(max(o_orderkey), 0) + 1 as next_reference from orders group by 1",
     "deal_stale": "select o_orderkey, cast(floor((epoch(timestamp '2024-02-01') - floor(epoch(o_orderdate))) / 86400) as bigint) as days, floor((epoch(timestamp '2024-02-01') - floor(epoch(o_orderdate))) / 86400) >= 8 as stale from orders where o_orderstatus = 'O'",
     "in_play": f"""with {_LOTS} select supplier, part, exists (select 1 from lineitem join orders on o_orderkey = l_orderkey where o_orderstatus = 'O' and o_totalprice > 100000 and l_suppkey = supplier and l_partkey = part) as in_play from lots""",
@@ -234,7 +229,6 @@ ORACLE_SQL = {
       from p r join p s on r.p_brand = s.p_brand and r.p_type = s.p_type and r.k <> s.k where r.p_size is distinct from s.p_size or lower(r.colour) <> lower(s.colour)""",
     "quoted_history": "select doc_id, md5(regexp_replace(coalesce(text, ''), '\\s+$', '')) as kept_md5 from documents",
     "company_match": "select c_custkey as subject_id, s_suppkey as company_id from customer left join supplier on s_name = 'Supplier#' || lpad(cast(c_custkey % 150 as varchar), 9, '0')",
-    "source_gate": "select conv_id, turn, turn = 0 as keep from conversations",
     "norm_product": """select p_partkey, case p_partkey % 4 when 0 then 8 when 1 then 12 end as ram_gb, case p_partkey % 4 when 0 then 256 when 1 then 128 when 2 then 1024 end as capacity_gb,
       case p_partkey % 4 when 2 then 'Open Market' when 3 then 'Enterprise Edition' end as edition, case p_partkey % 4 when 0 then '5g' when 1 then '4g' end as network,
       p_brand || ' ' || case p_partkey % 4 when 0 then '8/256GB 5G' when 1 then '12GB RAM 128GB LTE' when 2 then '1TGB OM' else 'Ent.Ed' end as bare from part""",

@@ -101,17 +101,6 @@ def sibling_network_inference(spark, sf_dir):
     return sold.select("supplier", "part", F.coalesce("network", F.when(sibling, "4g")).alias("network"))
 
 
-def alias_chain(spark, sf_dir):
-    return spark.sql("""
-        with recursive edge as (select * from values ('a', 'b'), ('b', 'c'), ('c', 'd'), ('p', 'q'), ('q', 'p'), ('z', null) as t(src, dst)),
-        walk as (
-          select src, dst, array(src, dst) as met from edge where dst is not null
-          union all
-          select w.src, e.dst, concat(w.met, array(e.dst)) from walk w join edge e on w.dst = e.src where e.dst is not null and not array_contains(w.met, e.dst)
-        ), ends as (select src, max_by(dst, size(met)) as target from walk group by src)
-        select src, target from ends""")
-
-
 def reconcile_actions(spark, sf_dir):
     return r.actions(*snapshots(spark, sf_dir))
 
@@ -208,27 +197,12 @@ def _legs(spark, sf_dir):
     return rows.join(cost, F.col("l_partkey") == F.col("p_partkey"))
 
 
-def deal_margin(spark, sf_dir):
-    return _legs(spark, sf_dir).groupBy("l_orderkey").agg((F.sum("sell") - F.sum(F.col("q") * F.col("unit_cost"))).alias("margin"), F.count("*").alias("legs"))
-
-
 def deal_committed(spark, sf_dir):
     legs = _legs(spark, sf_dir).join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
     is_open = F.col("o_orderstatus") != "F"
     return legs.groupBy("o_custkey").agg(F.coalesce(F.sum(F.when(is_open, F.col("q") * F.col("unit_cost"))), F.lit(0)).alias("committed"), F.count_distinct(F.when(is_open, F.col("o_orderkey"))).alias("open_count"))
 
 
-def allocation_check(spark, sf_dir):
-    """What each lot has left after the open deals, and whether it is promised twice or too often."""
-    open_ = table(spark, sf_dir, "orders").where("o_orderstatus = 'O'").select("o_orderkey")
-    taken = _legs(spark, sf_dir).join(open_, F.col("l_orderkey") == F.col("o_orderkey"), "left_semi").groupBy("l_suppkey", "l_partkey").agg(F.sum("q").alias("promised"), F.count_distinct("l_orderkey").alias("deals"))
-    have = lots(spark, sf_dir).select("supplier", "part", (F.col("quantity") * 2).alias("lot"))
-    rows = have.join(taken, (F.col("supplier") == F.col("l_suppkey")) & (F.col("part") == F.col("l_partkey")), "left")
-    left = F.col("lot") - F.coalesce("promised", F.lit(0))
-    what = F.when(left < F.col("lot").cast("double") / 2 + 1, F.when(F.col("deals") > 1, "warn").otherwise("tight")).otherwise("fine")
-    return rows.select("supplier", "part", left.alias("remaining"), what.alias("standing"))
-
-
 def deal_reference(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_orderpriority").agg((F.coalesce(F.max("o_orderkey"), F.lit(0)) + 1).alias("next_reference"))
 
@@ -375,12 +349,6 @@ def company_match(spark, sf_dir):
     return at.company_of(subjects, companies).select("subject_id", "company_id")
 
 
-def source_gate(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations")
-    subject = F.when(F.col("turn") == 0, "Price LIST").otherwise("hello")
-    return rows.select("conv_id", "turn", at.kept_by_gate(subject, F.col("text"), F.col("role") == "none").alias("keep"))
-
-
 def norm_product(spark, sf_dir):
     """Memory, edition, network and the line without its price, of composed product lines."""
     k = F.col("p_partkey") % 4
@@ -391,14 +359,14 @@ def norm_product(spark, sf_dir):
 
 
 NAMES = [
-    norm_product, match_near_miss, lots_dedupe_batches, quoted_history, company_match, source_gate,
+    norm_product, match_near_miss, lots_dedupe_batches, quoted_history, company_match,
     extract_rows, completeness_decision, settle_decision, import_verdict, stream_ingest_dedup, stream_board_equals_batch,
     match_best_single, match_greedy_fill, match_sweep_supplier_cap, match_pair_combinations, match_triple_combinations, match_place_split,
     board_rows, board_tiles, board_rank_best, board_rank_new, board_supplier_filter, board_facets, board_search_words,
-    offers_filtered_page, cheapest_lots, sibling_network_inference, alias_chain,
+    offers_filtered_page, cheapest_lots, sibling_network_inference,
     reconcile_actions, reconcile_undecided, reconcile_counts, reconcile_applied, reconcile_field_changes, import_undo,
     list_diff, list_diff_summary, list_fingerprint, habitual_categories, latest_prior_list, same_day_lists, late_lists, confirmed_today,
-    review_verdict, review_flagged, supplier_summary, clients_with_live, deal_margin, deal_committed, allocation_check, deal_reference, deal_stale, in_play,
+    review_verdict, review_flagged, supplier_summary, clients_with_live, deal_committed, deal_reference, deal_stale, in_play,
     retention_redact, retention_orphans, ingest_once, norm_money, norm_quantity, norm_ean, identity_key, classify_side,
 ]
 QUERIES = {q.__name__: q for q in NAMES}

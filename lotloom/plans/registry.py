@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import lines, oracle, queries
+from . import lines, oracle, queries, rules
 
-QUERIES = queries.QUERIES | lines.QUERIES
-ORACLE_SQL = oracle.ORACLE_SQL | lines.ORACLE_SQL
+QUERIES = queries.QUERIES | lines.QUERIES | rules.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | lines.ORACLE_SQL | rules.oracle_sql(oracle._SNAP, oracle._LOTS)
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
