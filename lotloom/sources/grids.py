@@ -107,11 +107,31 @@ def html_tables(html: str | None, least: int = LEAST_ROWS) -> list[tuple[str, li
     return [(f"table {n}", rows) for n, rows in sorted(parser.done)]
 
 
-def _stringified(text: str | None) -> str:
+def _stringified(text: str | None, kind: str | None = None) -> str:
+    """A cell as text: whole numbers without a fraction, booleans as True and False, errors empty."""
     value = (text or "").strip()
+    if kind == "b":
+        return "True" if value == "1" else "False"
+    if kind == "e":
+        return ""
+    if kind in (None, "n") and re.fullmatch(r"-?\d+(?:\.\d+)?[eE][+-]?\d+", value):
+        value = repr(float(value))
     return value[:-2] if re.fullmatch(r"-?\d+\.0", value) else value
 
 
+def _sheet_files(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(name, file) of the sheets in the order of the workbook, by its relationships."""
+    main = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+    link = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+    files = {}
+    if "xl/_rels/workbook.xml.rels" in z.namelist():
+        for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+            target = r.get("Target", "")
+            files[r.get("Id")] = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    sheets = ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{main}sheet")
+    return [(s.get("name"), files.get(s.get(link), f"xl/worksheets/sheet{k}.xml")) for k, s in enumerate(sheets, 1)]
+
+
 def xlsx_sheets(data: bytes | None, name: str = "") -> list[tuple[str, list[list[str]]]]:
     """("file!sheet", rows) of a workbook; an unreadable one has none. Blank rows are left out."""
     space = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -120,11 +140,12 @@ def xlsx_sheets(data: bytes | None, name: str = "") -> list[tuple[str, list[list
             shared = []
             if "xl/sharedStrings.xml" in z.namelist():
                 shared = ["".join(t.text or "" for t in s.iter(f"{space}t")) for s in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{space}si")]
-            names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{space}sheet")]
             out = []
-            for k, sheet in enumerate(names, 1):
+            for sheet, file in _sheet_files(z):
+                if file not in z.namelist():
+                    continue
                 rows = []
-                for row in ElementTree.fromstring(z.read(f"xl/worksheets/sheet{k}.xml")).iter(f"{space}row"):
+                for row in ElementTree.fromstring(z.read(file)).iter(f"{space}row"):
                     cells: list[str] = []
                     for c in row.iter(f"{space}c"):
                         letters = re.match("[A-Z]*", c.get("r", ""))[0]
@@ -135,9 +156,14 @@ def xlsx_sheets(data: bytes | None, name: str = "") -> list[tuple[str, list[list
                                 at = at * 26 + ord(letter) - 64
                             at -= 1
                         cells += [""] * (at + 1 - len(cells))
-                        value = c.find(f"{space}v")
-                        raw = "" if value is None else value.text
-                        cells[at] = shared[int(raw)] if c.get("t") == "s" and raw else "".join(t.text or "" for t in c.iter(f"{space}t")) if c.get("t") == "inlineStr" else _stringified(raw)
+                        value, kind = c.find(f"{space}v"), c.get("t")
+                        raw = "" if value is None else value.text or ""
+                        if kind == "s":
+                            cells[at] = shared[int(raw)] if raw else ""
+                        elif kind == "inlineStr":
+                            cells[at] = "".join(t.text or "" for t in c.iter(f"{space}t"))
+                        else:
+                            cells[at] = "" if value is None else _stringified(raw, kind)
                     if any(x.strip() for x in cells):
                         rows.append(cells)
                 out.append((f"{name}!{sheet}", rows))
