@@ -86,29 +86,33 @@ def copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     return later.select("key", "tie", "start", "length").groupBy("key", "tie").agg(F.collect_set(F.struct("start", "length")).alias("runs"))
 
 
-def without_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """``docs`` with later copies of repeated runs deleted from ``text``, and __lines, __deleted.
+def without_copies(docs: DataFrame, words: int = WORDS, counts: tuple[str, str] = ("__lines", "__deleted")) -> DataFrame:
+    """``docs`` with later copies of repeated runs deleted from ``text``, and two more columns named by ``counts``.
 
     A run is a stretch of lines, blank ones apart, of ``words`` words or more together; lines are
     equal if they are so in every character. The first copy, by doc_id and place, stays; rows
-    without an id come last. A blank line goes with the line above it. __lines counts the lines
-    that aren't blank, __deleted those deleted of them. Texts without a copy are unchanged, null
-    and empty ones too. Rows that repeat both id and text count as one and have one outcome.
+    without an id come last. A blank line goes with the line above it. The first further column
+    counts the lines that aren't blank, the second those deleted of them. Texts without a copy are
+    unchanged, null and empty ones too; a text of any length counts whole. Rows that repeat both id
+    and text count as one and have one outcome. An empty table stays empty. Other columns pass
+    through, whatever their names; those named as in ``counts`` are replaced.
     """
     key, tie = _keyed(docs)
-    names = docs.columns
-    rows = docs.withColumns({"__key": key, "__tie": tie})
-    gone = copies(docs, words).select(F.col("key").alias("__key"), F.col("tie").alias("__tie"), F.col("runs").alias("__runs"))
-    rows = rows.join(gone, ["__key", "__tie"], "left")
-    rows = rows.withColumn("__all", F.split("text", "\n")).withColumn("__filled", F.filter(F.sequence(F.lit(0), F.size("__all") - 1), lambda i: F.get(F.col("__all"), i).rlike(r"\S")))
-    ranks = F.array_distinct(F.flatten(F.transform("__runs", lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1))))
-    rows = rows.withColumn("__ranks", ranks)
-    until = lambda j: F.coalesce(F.get(F.col("__filled"), j + 1), F.size("__all")) - 1
-    lost = F.flatten(F.transform("__ranks", lambda j: F.sequence(F.get(F.col("__filled"), j), until(j))))
-    left = F.array_except(F.sequence(F.lit(0), F.size("__all") - 1), lost)
-    text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col("__all"), i)), "\n"))
-    rows = rows.withColumns({"__lines": F.greatest(F.coalesce(F.size("__filled"), F.lit(0)), F.lit(0)).cast("long"), "__deleted": F.when(F.col("__runs").isNull(), F.lit(0)).otherwise(F.size("__ranks")).cast("long"), "text": text})
-    return rows.select(*[F.col(f"`{c}`") for c in names], "__lines", "__deleted")
+    names = [c for c in docs.columns if c not in counts]
+    x = scratch.fresh(docs, "")
+    rows = docs.withColumns({f"{x}key": key, f"{x}tie": tie})
+    gone = copies(docs, words).select(F.col("key").alias(f"{x}key"), F.col("tie").alias(f"{x}tie"), F.col("runs").alias(f"{x}runs"))
+    rows = rows.join(gone, [f"{x}key", f"{x}tie"], "left")
+    all_, filled, runs_, ranks_ = (f"{x}{name}" for name in ("all", "filled", "runs", "ranks"))
+    rows = rows.withColumn(all_, F.split("text", "\n")).withColumn(filled, F.filter(F.sequence(F.lit(0), F.size(all_) - 1), lambda i: F.get(F.col(all_), i).rlike(r"\S")))
+    ranks = F.array_distinct(F.flatten(F.transform(runs_, lambda r: F.sequence(r["start"], r["start"] + r["length"] - 1))))
+    rows = rows.withColumn(ranks_, ranks)
+    until = lambda j: F.coalesce(F.get(F.col(filled), j + 1), F.size(all_)) - 1
+    lost = F.flatten(F.transform(ranks_, lambda j: F.sequence(F.get(F.col(filled), j), until(j))))
+    left = F.array_except(F.sequence(F.lit(0), F.size(all_) - 1), lost)
+    text = F.when(F.col(runs_).isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(F.col(all_), i)), "\n"))
+    rows = rows.withColumns({counts[0]: F.greatest(F.coalesce(F.size(filled), F.lit(0)), F.lit(0)).cast("long"), counts[1]: F.when(F.col(runs_).isNull(), F.lit(0)).otherwise(F.size(ranks_)).cast("long"), "text": text})
+    return rows.select(*[F.col(f"`{c}`") for c in names], *counts)
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -241,13 +241,16 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGET
 
 
 def repeated(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS) -> DataFrame:
-    """``docs`` with each row as often as mixing wants it, and at least once."""
+    """``docs`` with each row as often as mixing wants it, and at least once; columns pass through, whatever their names.
+
+    Null and empty texts stay once, and so do all rows where nothing is labelled. An empty table stays empty.
+    """
     rated, _ = mixed(docs, labels, targets, least=1.0, pull=TIE)
-    many = rated.where("copies > 1").select(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie"), F.col("copies").alias("__copies")).distinct()
-    tie = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    names = docs.columns
-    out = docs.join(many, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (tie == F.col("__tie")), "left")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.coalesce("__copies", F.lit(1))))).select(*[F.col(f"`{c}`") for c in names])
+    many = rated.where("copies > 1").select("doc_id", "tie", "copies").distinct().alias("many")
+    tie = F.xxhash64(F.coalesce(F.col("docs.text").cast("string"), F.lit("")))
+    out = docs.alias("docs").join(many, F.col("docs.doc_id").cast("long").eqNullSafe(F.col("many.doc_id")) & (tie == F.col("many.tie")), "left")
+    copy = scratch.fresh(docs, "copy")
+    return out.select("docs.*", F.explode(F.sequence(F.lit(1), F.coalesce("many.copies", F.lit(1)))).alias(copy)).drop(copy)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

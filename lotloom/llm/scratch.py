@@ -35,6 +35,14 @@ def table(df: DataFrame, name: str, order: list[str] | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name`` with as many marks before it as no column of ``df`` begins with."""
+    mark = "__"
+    while any(c.startswith(mark) for c in df.columns):
+        mark += "_"
+    return mark + name
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Make ready for Python tasks: whole texts go to them this many at a time, unless the session asks for fewer."""
     ship(spark)
