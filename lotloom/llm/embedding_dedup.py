@@ -3,9 +3,13 @@
 Equal vectors of a label become one class first. Every class lives in the cell of its nearest
 centroid and visits each further cell in which a vector linked to it may live: for centroids p
 (its own) and q, a vector y can have a link in q's cell only if y.(p - q) <= c |p - q|, with c the
-longest chord of a link. So a class finds all its links in its own cell, none twice. A cell is cut
-into blocks of bounded size; each pair of blocks is a group of its own, which gives counts and a
-spanning forest, never the pairs.
+longest chord of a link. So a class finds all its links in its own cell, none twice.
+
+Each label begins as one cell, and cells that are too large are split by k-means of their own, level
+after level, so the number of cells follows the number of vectors of each label. A cell is left as it
+is where splitting would send its vectors to too many cells, as in a cloud as dense as a link is
+long. What is left is cut into blocks of bounded size; each pair of blocks is a group of its own,
+which gives counts and a spanning forest, never the pairs.
 """
 
 from __future__ import annotations
@@ -16,15 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from . import scratch
 from .components import components
 
 LINK = 0.98
-#: Rows of a block; classes a cell should have; most centroids; numbers in the sample for k-means.
-BLOCK, CELL, CENTROIDS, SAMPLE = 4096, 1500, 2048, 2_000_000
+#: Rows of a block; classes a cell should have; cells of one split at most; vectors that train a split, about.
+BLOCK, CELL, FAN, SAMPLE = 4096, 1500, 64, 4096
 ROUNDS = 8
+#: A split is made if each vector then is in fewer cells than this; levels at most (FAN ** LEVELS cells a label).
+SPREAD, LEVELS = 3.0, 8
 
 
 def centroids(sample: np.ndarray, k: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -92,14 +97,72 @@ def _array(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
+def split_cells(classes: DataFrame, cell: int, link: float) -> DataFrame:
+    """``classes`` (label, h1, h2, v, ...) with cell and home: a row for the cell a class lives in, and one for each it visits.
+
+    A level trains each cell of more than 2 * ``cell`` classes on a sample by hash of about SAMPLE
+    vectors, writes its centroids to the shared folder under the cell's own name, and deals its
+    rows out. Tasks read the centroids of the cells they meet, so no table of centroids is ever in
+    one place.
+    """
+    chord, key = math.sqrt(2 - 2 * link), ["label", "n", "cell"]
+    folder = scratch.new_folder(classes.sparkSession, "centroids")
+    placed = classes.withColumns({"n": F.size("v"), "cell": F.lit("0"), "home": F.lit(True)})
+    schema = placed.schema
+
+    def trained(table: pa.Table) -> pa.Table:
+        units = _array(table.column("v"))
+        units = units[np.lexsort((table.column("h2").to_numpy(), table.column("h1").to_numpy()))]
+        units /= np.linalg.norm(units, axis=1)[:, None]
+        label, n, name, size = (table.column(c)[0].as_py() for c in ("label", "n", "cell", "size"))
+        at = np.unique(centroids(units, int(min(FAN, max(2, -(-size // cell))))), axis=0)
+        if len(at) < 2 or len(visited(units, at, chord)[0]) >= SPREAD * len(units):
+            at = at[:0]
+        fs, root = scratch.filesystem(folder)
+        fs.create_dir(root, recursive=True)
+        with fs.open_output_stream(f"{root}/{label}_{n}_{name}") as out:  # every attempt writes the same bytes
+            out.write(at.tobytes())
+        return pa.table({"label": pa.array([label], pa.int64()), "n": pa.array([n], pa.int32()), "cell": [name], "split": [len(at) > 0]})
+
+    def dealt(batches):
+        fs, root = scratch.filesystem(folder)
+        known: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            groups = batch.select(key).to_pandas().groupby(key, sort=False).indices
+            for (label, n, name), rows in groups.items():
+                if (label, n, name) not in known:
+                    if len(known) >= 64:
+                        known.clear()
+                    with fs.open_input_file(f"{root}/{label}_{n}_{name}") as file:
+                        known[label, n, name] = np.frombuffer(file.read(), np.float64).reshape(-1, n)
+                mine = batch.take(pa.array(rows))
+                units = _array(mine.column("v"))
+                row, of, home = visited(units / np.linalg.norm(units, axis=1)[:, None], known[label, n, name], chord)
+                out = mine.take(pa.array(row))
+                lived = out.column("home").to_numpy(zero_copy_only=False) & home
+                yield pa.RecordBatch.from_arrays([pa.array([f"{name}.{k}" for k in of.tolist()]) if c == "cell" else pa.array(lived) if c == "home" else out.column(c) for c in out.schema.names], out.schema.names)
+
+    done = None
+    for _ in range(LEVELS):
+        sizes = placed.groupBy(*key).agg(F.count("*").alias("size")).where(F.col("size") > 2 * cell)
+        sample = placed.join(sizes, key).where(F.pmod(F.xxhash64("h1", "h2"), F.col("size")) < SAMPLE)
+        made = scratch.table(sample.select(*key, "h1", "h2", "v", "size").groupBy(*key).applyInArrow(trained, "label long, n int, cell string, split boolean"), "splits").where("split").drop("split")
+        if made.isEmpty():
+            break
+        stays = placed.join(made, key, "left_anti")
+        done = stays if done is None else done.unionByName(stays)
+        placed = scratch.table(placed.join(made, key, "left_semi").select(*schema.names).mapInArrow(dealt, schema), "cells")
+    return placed if done is None else done.unionByName(placed)
+
+
 def near_duplicates(vectors: DataFrame, link: float = LINK, block: int = BLOCK, cell: int = CELL) -> DataFrame:
     """One row for each row of ``vectors`` (vec_id, embedding, label): vec_id, n_links,
     component_id, kept, class_id (smallest vec_id with the same vector and label).
 
     Rows with a null id or label, and vectors that are null, empty, zero or hold a null or a
     number that is not finite, link with nothing and are their own component. Vectors of different
-    length are not linked. A repeated id counts once per row as somebody's link. Other columns are
-    not read.
+    length are not linked. A repeated id counts once per row as somebody's link. An empty table gives
+    no rows. Other columns are not read, whatever their names.
     """
     spark = vectors.sparkSession
     scratch.ship(spark)
@@ -107,35 +170,10 @@ def near_duplicates(vectors: DataFrame, link: float = LINK, block: int = BLOCK,
     sound = F.coalesce(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists("v", lambda x: x != 0), F.lit(False))
     keyed = raw.select("vec_id", "label", sound.alias("sound"), F.xxhash64("v").alias("h1"), F.xxhash64(F.lit(7), "v").alias("h2"), "v")
     classes = scratch.table(keyed.where("sound").groupBy("label", "h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight"), F.first("v").alias("v")), "classes")
-    by_size = classes.groupBy(F.size("v").alias("n")).agg(F.count("*").alias("rows"), F.countDistinct("label").alias("labels")).orderBy(F.desc("rows"), "n").limit(1).collect()
-    wide, many, labels = (by_size[0].n, by_size[0].rows, by_size[0].labels) if by_size else (0, 0, 1)
-    wanted = min(CENTROIDS, max(1, many // max(1, labels) // cell))
-    if wanted > 1:
-        rows = classes.where(F.size("v") == wide).orderBy("h1", "h2").select("v").limit(max(wanted, min(20_000, SAMPLE // wide)))
-        sample = _array(rows.toArrow().column("v"))
-        at = centroids(sample / np.linalg.norm(sample, axis=1)[:, None], wanted)
-    else:
-        at = np.zeros((0, 0))
-    chord = math.sqrt(2 - 2 * link)
-
-    def dealt(batches):
-        for batch in batches:
-            v = batch.column(batch.schema.names.index("v"))
-            sizes = pa.compute.list_value_length(v).to_numpy(zero_copy_only=False)
-            for n in np.unique(sizes).tolist():
-                mine = batch.take(pa.array(np.flatnonzero(sizes == n)))
-                if n == wide and len(at):
-                    units = _array(mine.column("v"))
-                    row, of, home = visited(units / np.linalg.norm(units, axis=1)[:, None], at, chord)
-                else:
-                    row, of, home = np.arange(mine.num_rows), np.zeros(mine.num_rows, np.int64), np.ones(mine.num_rows, bool)
-                out = mine.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array(of, pa.int64()), pa.array(home)], [*batch.schema.names, "cell", "home"])
-
-    placed = scratch.table(classes.mapInArrow(dealt, T.StructType([*classes.schema.fields, T.StructField("cell", T.LongType()), T.StructField("home", T.BooleanType())])), "cells")
-    cell_key = [F.col("label"), F.size("v").alias("n"), F.col("cell")]
+    placed = split_cells(classes, cell, link)
+    cell_key = ["label", "n", "cell"]
     sizes = placed.groupBy(*cell_key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    cut = placed.withColumn("n", F.size("v")).join(sizes, ["label", "n", "cell"]).withColumn("own", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int")).withColumn("each", F.sequence(F.lit(0), F.col("blocks") - 1))
+    cut = placed.join(sizes, ["label", "n", "cell"]).withColumn("own", F.pmod(F.xxhash64("h1", "h2"), F.col("blocks")).cast("int")).withColumn("each", F.sequence(F.lit(0), F.col("blocks") - 1))
     roles = cut.select("*", F.explode(F.when(F.col("home"), F.array(F.lit(True), F.lit(False))).otherwise(F.array(F.lit(False)))).alias("asks"))
     met = roles.withColumn("with", F.explode("each")).select("label", "n", "cell", F.when(F.col("asks"), F.col("own")).otherwise(F.col("with")).alias("a"), F.when(F.col("asks"), F.col("with")).otherwise(F.col("own")).alias("b"), "asks", "rep", "weight", "h1", "h2", "v")
 

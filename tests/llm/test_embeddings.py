@@ -58,3 +58,19 @@ def test_links_are_brute_force(spark):
     for k in (*range(n, n + 8), None):
         assert (got[k].n_links, got[k].component_id, got[k].kept) == (0, k, k is not None)
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
+
+
+def test_large_labels_are_split_level_by_level(spark):
+    rng = np.random.default_rng(8)
+    hubs = rng.normal(size=(90, 6)) * 4
+    rows = [(k, 0 if k % 10 else k % 3, (hubs[k % 90] + rng.normal(size=6) * 0.25).tolist()) for k in range(2600)]
+    frame = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    classes = frame.selectExpr("cast(label as long) label", "xxhash64(embedding) h1", "xxhash64(7, embedding) h2", "embedding v")
+    cells = embedding_dedup.split_cells(classes, 20, 0.98).collect()
+    assert sum(r.home for r in cells) == 2600 and max(r.cell.count(".") for r in cells) >= 2 and len({(r.label, r.cell) for r in cells}) > 64
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_duplicates(frame, block=64, cell=20).collect()}
+    x = np.array([r[2] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    label = np.array([r[1] for r in rows])
+    near = (x @ x.T >= 0.98) & (label[:, None] == label)
+    assert all(got[k] == near[k].sum() - 1 for k in range(2600))
