@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; its result is
 written as Parquet and read again as the next one's docs. All but the last return the columns of
-``documents``.
+``documents``. In every stage null and empty texts and null ids stay, texts of any length count whole,
+rows that repeat id and text have one fate, an empty table gives an empty one, and further columns
+pass through, whatever their names; the last one has the columns of its own.
 """
 
 from __future__ import annotations
@@ -22,10 +24,11 @@ def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later copies of line runs go; a document of which every line was one goes, others keep the rest."""
+    lines, deleted = scratch.fresh(docs, "lines"), scratch.fresh(docs, "deleted")
     with scratch.stage():
-        left = line_dedup.without_copies(docs)
-    changed = F.col("__deleted") > 0
-    left = left.where(~changed | (F.col("__deleted") < F.col("__lines")))
+        left = line_dedup.without_copies(docs, counts=(lines, deleted))
+    changed = F.col(deleted) > 0
+    left = left.where(~changed | (F.col(deleted) < F.col(lines)))
     return left.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*docs.columns)
 
 
