@@ -3,7 +3,7 @@
 Every shingle is the source of a Poisson process whose rate is its weight; its arrivals go to
 registers by chance, each register keeps the earliest, and a document stops when no later arrival
 can change a register. Two documents agree in a register with the probability Jaccard similarity
-of their weights as chance; a shingle weighs as often as it stands in the text. Bands of registers
+of their weights as chance: a shingle weighs 1, or as often as it stands in the text. Bands of registers
 give candidates, which are verified on the shingles themselves.
 
 A bucket is a band and its key. Of all members of a band at most SHARE buckets can hold more than one
@@ -126,7 +126,7 @@ def _lists(flat: np.ndarray, begins: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.array(_signed(flat)))
 
 
-def signed_documents(docs: DataFrame, weighted: bool = True) -> DataFrame:
+def signed_documents(docs: DataFrame, weighted: bool = False) -> DataFrame:
     """doc_id, tie, h1, h2 (hashes of the word sequence), size (distinct shingles), bands.
 
     weighted: shingles weigh as often as they stand in the text; else all alike.
@@ -206,7 +206,7 @@ def with_bucket(rows: DataFrame, buckets: DataFrame, hot: DataFrame) -> DataFram
     return rest.unionByName(rows.join(few, key))
 
 
-def near_duplicates(docs: DataFrame, alike: float = ALIKE, small: int = SMALL, weighted: bool = True, share: int = SHARE) -> DataFrame:
+def near_duplicates(docs: DataFrame, alike: float = ALIKE, small: int = SMALL, weighted: bool = False, share: int = SHARE) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, rep_id, class_id, kept, tie (hash of the text).
 
     rep_id: the smallest doc_id with the same words in the same order. class_id: the smallest
