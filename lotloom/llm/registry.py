@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .ball_kmeans import ORACLE_SQL as KMEANS_SQL
+from .ball_kmeans import op11_ball_kmeans
 from .binary_output import op7_token_files
 from .embedding_dedup import op3_embedding_dedup
 from .license_scan import op2_license_scan
@@ -30,9 +32,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_dedup": op8_minhash_dedup,
     "op9_packing": op9_packing,
     "op10_media": op10_media,
+    "op11_ball_kmeans": op11_ball_kmeans,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": WARC_SQL,
+    "op11_ball_kmeans": KMEANS_SQL,
     "op5_line_dedup": LINE_DEDUP_SQL,
 }

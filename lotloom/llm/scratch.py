@@ -35,6 +35,12 @@ def table(df: DataFrame, name: str, order: list[str] | None = None) -> DataFrame
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Remove what ``table`` wrote for ``df``, once nothing reads it any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        removed(df.sparkSession, path)
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name`` with as many marks before it as no column of ``df`` begins with."""
     mark = "__"
