@@ -10,6 +10,8 @@ from .ball_kmeans import ORACLE_SQL as KMEANS_SQL
 from .ball_kmeans import op11_ball_kmeans
 from .binary_output import op7_token_files
 from .embedding_dedup import op3_embedding_dedup
+from .impact_search import ORACLE_SQL as SEARCH_SQL
+from .impact_search import op13_impact_search
 from .license_scan import op2_license_scan
 from .line_dedup import ORACLE_SQL as LINE_DEDUP_SQL
 from .line_dedup import op5_line_dedup
@@ -33,10 +35,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_media": op10_media,
     "op11_ball_kmeans": op11_ball_kmeans,
+    "op13_impact_search": op13_impact_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_warc": WARC_SQL,
-    "op11_ball_kmeans": KMEANS_SQL,
     "op5_line_dedup": LINE_DEDUP_SQL,
+    "op11_ball_kmeans": KMEANS_SQL,
+    "op13_impact_search": SEARCH_SQL,
 }
