@@ -10,6 +10,7 @@ from .ball_kmeans import ORACLE_SQL as KMEANS_SQL
 from .ball_kmeans import op11_ball_kmeans
 from .binary_output import op7_token_files
 from .embedding_dedup import op3_embedding_dedup
+from .html_text import op12_html_text
 from .impact_search import ORACLE_SQL as SEARCH_SQL
 from .impact_search import op13_impact_search
 from .license_scan import op2_license_scan
@@ -35,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_media": op10_media,
     "op11_ball_kmeans": op11_ball_kmeans,
+    "op12_html_text": op12_html_text,
     "op13_impact_search": op13_impact_search,
 }
 
