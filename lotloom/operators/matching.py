@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import market
+
 #: Cheapest lots of a requirement that combinations are made of; most suppliers of one fill.
 POOL, MOST_SUPPLIERS = 8, 3
 
@@ -223,12 +225,14 @@ def best_option(req: DataFrame, sup: DataFrame, supplier: int | None = None) ->
 
 
 def board(req: DataFrame, sup: DataFrame) -> DataFrame:
-    """One row for each requirement: state filled, short or no_supply, units, suppliers and margin of its best option."""
-    f = best_option(req, sup).select(*KEY, "filled", "suppliers", "total_margin", "short", "seen_at")
-    rows = req.join(f, KEY, "left")
-    state = F.when(F.col("filled").isNull(), "no_supply").when(F.col("short"), "short").otherwise("filled")
-    matched = F.when(F.col("filled").isNotNull(), F.greatest("asked_at", "seen_at"))
-    return rows.select(*KEY, "brand", "category", "wanted", state.alias("state"), F.coalesce("filled", F.lit(0)).alias("filled"), F.coalesce("suppliers", F.lit(0)).alias("suppliers"), "total_margin", matched.alias("matched_at"))
+    """The board of ``market`` where only lots of the very part that is asked for count, all in one currency."""
+    alike = Window.partitionBy("part", "supplier", "price_cents", "quantity", "country", "seen_at").orderBy(F.lit(0))
+    lots = sup.withColumn("lot", F.struct("quantity", "country", "seen_at", F.row_number().over(alike).alias("n")))
+    lots = lots.select(F.col("part").alias("have"), F.lit(None).cast("string").alias("currency"), *market.LOT)
+    same = req.select(F.col("part").alias("want"), F.col("part").alias("have"), F.lit("exact").alias("kind")).distinct()
+    columns = [*KEY, "brand", "category", "wanted"]
+    rows = market.board(req.withColumns({"want": F.col("part"), "currency": F.lit(None).cast("string")}), lots, same, columns)
+    return rows.select(*columns, "state", "filled", "suppliers", "total_margin", "matched_at")
 
 
 def state_rank() -> Column:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import lines, oracle, queries, rules, views
+from . import lines, market, oracle, queries, rules, views
 
-QUERIES = queries.QUERIES | lines.QUERIES | rules.QUERIES | views.QUERIES
-ORACLE_SQL = oracle.ORACLE_SQL | lines.ORACLE_SQL | rules.oracle_sql(oracle._SNAP, oracle._LOTS) | views.oracle_sql(oracle._LOTS)
+QUERIES = queries.QUERIES | lines.QUERIES | rules.QUERIES | views.QUERIES | market.QUERIES
+ORACLE_SQL = oracle.ORACLE_SQL | lines.ORACLE_SQL | rules.oracle_sql(oracle._SNAP, oracle._LOTS) | views.oracle_sql(oracle._LOTS) | market.oracle_sql(oracle._LOTS, oracle._REQ)
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -228,7 +228,7 @@ def oracle_sql(snap: str, lots_: str) -> dict[str, str]:
           select supplier, part, deal, lot is null or wanted <= lot - elsewhere as allowed, cast(case when lot is null then null when wanted > lot - elsewhere then greatest(lot - elsewhere, 0) else lot - elsewhere - wanted end as bigint) as remaining,
                  case when lot is null then case when elsewhere > 0 then 'committed elsewhere' else 'no stated quantity' end when wanted <= lot - elsewhere and elsewhere > 0 then 'committed elsewhere' end as warning from x""",
         "alias_chain": """with last as (select max(p_partkey) as top, min(p_partkey) as low from part), p as (select p_partkey as k, p_partkey - p_partkey % 10 as ten from part)
-          select k as from_key, case when ten % 50 = 40 and ten + 9 <= top and ten >= low then case when k = ten then ten + 9 else k - 1 end else least(ten + 9, top + 1) end as to_key
+          select k as from_key, case when ten % 50 = 40 and ten + 9 <= top and ten >= low then k else least(ten + 9, top + 1) end as to_key
           from p, last where ten % 50 = 40 or k % 10 < 9""",
         "alias_upsert": """select p_partkey as from_key, p_partkey + case when p_partkey % 4 < 2 and not (p_partkey % 2 = 0 and p_partkey % 3 = 0) then 2 else 1 end as to_key,
           case when p_partkey % 6 = 0 then 'human' else 'model' end as source from part where p_partkey % 2 = 0 or p_partkey % 4 < 2""",
