@@ -4,11 +4,12 @@ A classifier learnt from the labelled table gives each document a posterior over
 document then has a share of its tokens in each domain, and rates r >= least are sought that
 minimise ||sum of r n p - targets||^2 / (total of targets)^2 + pull * mean of (r - 1)^2 by projected
 gradient. In op6 and the pipeline the pull only chooses among rates that meet the targets: it shrinks
-from PULL to TIE, each level starting from the last one's rates, so totals end short of a target only
-where the bound stops them. Each step needs one sum over all documents, a vector as long as the list
-of domains; projection is done lazily, on the sum of all steps so far, so the rates follow from one
-such vector and no step rewrites the documents. A step is scaled for each domain by how far the free
-documents could move it, and its length is the one that fits the change of the gradient just seen.
+from PULL to TIE, each level starting from the last one's rates. Each step needs one sum over all
+documents, a vector as long as the list of domains and its curvature; projection is done lazily, on the
+sum of all steps so far, so the rates follow from one such vector and no step rewrites the documents.
+A step is scaled by the curvature over the documents that are free to move. Steps go on until the targets
+are reached or proved out of reach: by a direction in which every document pulls the sums away from them.
+Where rates may not fall below 1 the total is free: the targets are shares, and it grows as they need it.
 """
 
 from __future__ import annotations
@@ -24,11 +25,11 @@ from . import scratch, vectext
 LABELLED = 3000
 #: Places that pairs of neighbouring bytes are counted in.
 FEATURES = 512
-#: Weight of staying at rate 1; most gradient steps for each weight; distance of the sums, as a share of all tokens, that ends them.
-PULL, STEPS, STILL = 0.05, 20, 1e-6
-#: A step may be worse than the last one, but not than so many before.
-RECENT = 5
-#: The weight in the queries: it only breaks ties.
+#: Weight of staying at rate 1; distance of the sums from where they should be, as a share of it, that ends the steps.
+PULL, CLOSE = 0.05, 1e-5
+#: Where the dual objective gains less than this share and y rests the search ends as undecided, and after so many steps at each weight.
+GAIN, STEPS = 1e-13, 200
+#: The weight in the queries: it only breaks ties, and shrinks further where it would do more.
 TIE = 1e-6
 #: Target share of each domain: those that the labelled table tells apart.
 TARGETS = {"high": 0.9, "low": 0.1}
@@ -144,11 +145,14 @@ def rates(shares: DataFrame, domains: list[str], targets: dict[str, float], leas
     """``shares`` (posterior, n_tokens, ...) with a ``rate`` for each row, and what was reached.
 
     targets: shares of tokens by domain, made to sum to 1. budget: tokens in all; None: as many as
-    there are, or, where rates may not fall below 1, as many as the domain most in excess needs.
+    there are, or, where rates may not fall below 1, as many as the shares need.
     The gradient for a document with tokens n and posterior p is n p.(sums - targets), scaled, and
     the pull to 1; the steps taken sum up to n p.y for a vector y, and projected on the bound they
     give r = max(least, 1 - n p.y). So a step moves y, and the sums that it takes are one aggregation.
     Rows without tokens keep rate 1. An empty table stays empty.
+
+    Of the result, ``status`` is reached (within CLOSE), pulled (the pull keeps the sums off), unreachable (proved: no rates
+    of at least ``least`` give the targets) or undecided; ``aim`` and ``reached`` are sums by domain.
     """
     k = len(domains)
     of = [F.col("posterior")[j] * F.col("n_tokens") for j in range(k)]
@@ -156,16 +160,14 @@ def rates(shares: DataFrame, domains: list[str], targets: dict[str, float], leas
     start = np.array([row[f"s{j}"] for j in range(k)])
     want = np.array([max(0.0, targets.get(d, 0.0)) for d in domains])
     want = want / want.sum() if want.sum() else np.full(k, 1 / k)
-    if budget is None:
-        budget = float(start.sum())
-        if least >= 1:
-            budget = float(max([budget, *(start[want > 0] / want[want > 0])]))
-    aim = want * budget
+    total_is_free = budget is None and least >= 1
+    budget = float(start.sum()) if budget is None else float(budget)
     if not row.rows or not start.sum():
-        return shares.withColumn("rate", F.lit(1.0)), {"start": start, "aim": aim, "reached": start, "steps": 0}
-    # y is kept in units of the mean document
+        return shares.withColumn("rate", F.lit(1.0)), {"start": start, "aim": want * budget, "reached": start, "steps": 0, "status": "reached"}
+    # y is kept in units of the mean document; with a free total only what is across the targets' direction counts
     size = start.sum() / row.rows
-    y, steps = np.zeros(k), 0
+    across = np.eye(k) - (np.outer(want, want) / (want @ want) if total_is_free else 0)
+    y, steps, status = np.zeros(k), 0, "undecided"
 
     def rate_at(v: np.ndarray) -> Column:
         dot = None
@@ -175,49 +177,61 @@ def rates(shares: DataFrame, domains: list[str], targets: dict[str, float], leas
         return F.greatest(F.lit(float(least)), F.lit(1.0) - F.col("n_tokens") * dot)
 
     def summed(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, float, float]:
-        """Sums by domain, their curvature over documents that may move, the objective's dual without the pull, its rounding."""
+        """Sums by domain, their curvature over documents that may move, the objective's dual without aim and pull, the least p.v."""
         free = F.col("z") <= F.lit(1 - float(least))
         far = (1 - least) * (F.col("z") - (1 - least) / 2) if least < 1 else F.lit(0.0)
-        bent = -F.col("z") + F.when(F.col("z") <= 1 - least, F.col("z") * F.col("z") / 2).otherwise(far)
-        each = shares.select(rate_at(v).alias("r"), *[x.alias(f"x{j}") for j, x in enumerate(of)]).withColumn("z", sum((F.col(f"x{j}") * float(v[j] / size) for j in range(k)), F.lit(0.0)))
-        got = each.agg(*[F.sum(F.col("r") * F.col(f"x{j}")).alias(f"s{j}") for j in range(k)], *[F.coalesce(F.sum(F.when(free, F.col(f"x{i}") * F.col(f"x{j}"))), F.lit(0.0)).alias(f"m{i}_{j}") for i in range(k) for j in range(k)], F.sum(bent).alias("bent")).first()
-        linear = float(aim @ v) / size
-        return np.array([got[f"s{j}"] for j in range(k)]), np.array([[got[f"m{i}_{j}"] for j in range(k)] for i in range(k)]), linear + got.bent, 1e-12 * (abs(linear) + abs(got.bent))
+        bent = -F.col("z") + F.when(free, F.col("z") * F.col("z") / 2).otherwise(far)
+        each = shares.select(rate_at(v).alias("r"), "n_tokens", *[x.alias(f"x{j}") for j, x in enumerate(of)]).withColumn("z", sum((F.col(f"x{j}") * float(v[j] / size) for j in range(k)), F.lit(0.0)))
+        got = each.agg(*[F.sum(F.col("r") * F.col(f"x{j}")).alias(f"s{j}") for j in range(k)], *[F.coalesce(F.sum(F.when(free, F.col(f"x{i}") * F.col(f"x{j}"))), F.lit(0.0)).alias(f"m{i}_{j}") for i in range(k) for j in range(k)], F.sum(bent).alias("bent"), F.min(F.when(F.col("n_tokens") > 0, F.col("z") / F.col("n_tokens"))).alias("least")).first()
+        return np.array([got[f"s{j}"] for j in range(k)]), np.array([[got[f"m{i}_{j}"] for j in range(k)] for i in range(k)]), got.bent, got["least"]
+
+    def aimed(sums: np.ndarray) -> np.ndarray:
+        return want * float(sums @ want / (want @ want)) if total_is_free else want * budget
 
-    reached, curve, base, _ = summed(y)
+    def dual(v: np.ndarray, bent: float, weight: float) -> float:
+        return (0.0 if total_is_free else budget * float(want @ v) / size) + bent + weight * budget**2 / row.rows / size**2 / 2 * float(v @ v)
+
+    reached, curve, bent, lowest = summed(y)
     levels = [pull]
     while levels[0] < PULL:
         levels.insert(0, min(PULL, levels[0] * 200))
+    # a pull that only breaks ties goes on shrinking while it keeps the sums off
+    levels += [pull / 200**n for n in range(1, 6)] if pull <= TIE else []
     for weight in levels:
-        bent = weight * budget**2 / row.rows / size**2 / 2
-        still = STILL if weight == pull else 1e-2
-        last = [base + bent * float(y @ y)]
-        # in this metric no step is longer than the gradient's change allows, whatever the domains share
-        metric = np.abs(curve).sum(1) / budget**2 + weight / row.rows
-        slope = (reached - aim) * size / budget**2 - y * weight / row.rows
-        length, best = 1.0, (last[0], y, reached)
+        if weight < pull and status != "pulled":
+            break
+        value = dual(y, bent, weight)
         for _ in range(STEPS):
-            if np.abs(slope).max() <= still * size / budget:
+            aim = aimed(reached)
+            slope = across @ (reached - aim) * size / budget**2 - y * weight / row.rows
+            off = np.abs(reached - aim).max() / aim.sum()
+            if off <= CLOSE * want[want > 0].min():
+                status = "reached"
+                break
+            # lifted until no document is below zero, the direction proves that no rates give the targets
+            lifted = y + max(0.0, -lowest * size)
+            if (lowest >= 0 or not total_is_free) and lifted @ (least * start - (0 if total_is_free else aim)) > 1e-9 * np.abs(y).max() * start.sum():
+                status = "unreachable"
                 break
-            for halved in range(40):
-                new = y + slope / metric * length * 0.5**halved
+            if np.abs(slope).max() <= 1e-3 * CLOSE * size / budget:
+                status = "pulled"
+                break
+            metric = across @ curve @ across / budget**2 + np.eye(k) * (weight / row.rows + 1e-12 * np.trace(curve) / budget**2)
+            way = across @ np.linalg.solve(metric, slope)
+            for halved in range(60):
+                new = y + way * 0.5**halved
                 sums = summed(new)
                 steps += 1
-                value = sums[2] + bent * float(new @ new)
-                if value <= max(last[-RECENT:]) + sums[3]:
+                now = dual(new, sums[2], weight)
+                if now <= value + 1e-12 * abs(value):
                     break
-            reached, curve, base, _ = sums
-            turned = (reached - aim) * size / budget**2 - new * weight / row.rows
-            moved, bend = new - y, slope - turned
-            # the step that would have met the change of the gradient just seen
-            length = float(np.clip(moved @ (metric * moved) / max(moved @ bend, 1e-300), 0.1, 1e4))
-            y, slope = new, turned
-            last.append(value)
-            if value < best[0]:
-                best = (value, y, reached)
-        y = best[1]
-        reached, curve, base, _ = summed(y)
-    return shares.withColumn("rate", rate_at(y)), {"start": start, "aim": aim, "reached": reached, "steps": steps, "y": y / size}
+            else:
+                break
+            rests = value - now <= GAIN * abs(value) and np.abs(new - y).max() <= 1e-9 * np.abs(new).max()
+            y, (reached, curve, bent, lowest), value = new, sums, now
+            if rests:
+                break
+    return shares.withColumn("rate", rate_at(y)), {"start": start, "aim": aimed(reached), "reached": reached, "steps": steps, "y": y / size, "status": status}
 
 
 def with_copies(rated: DataFrame) -> DataFrame:
