@@ -115,11 +115,12 @@ def held_preview(held: DataFrame, live: DataFrame, key: list[str]) -> DataFrame:
     return held.join(now, key, "left").withColumn("kind", F.when(F.col("__was").isNull(), "insert").when(same, "refresh").otherwise("update")).drop("__was")
 
 
-def held_settled(held: DataFrame, live: DataFrame, key: list[str], resolution: str, chosen: DataFrame | None = None) -> DataFrame:
-    """(key, kind) that an answer to a held list asks for.
+def held_settled(held: DataFrame, live: DataFrame, key: list[str], resolution: str, chosen: DataFrame | None = None, of: list[str] | None = None) -> DataFrame:
+    """(key, kind) that an answer to held lists asks for.
 
-    same: rows that the board has are refreshed. new: the list replaces the board, what it leaves
-    out is closed, unless it is shorter than half of it. partial: chosen rows are inserted or
+    ``of``: the columns of ``key`` that tell lists apart, such as the sender; without them all rows are one list.
+    same: rows that the board has are refreshed. new: a list replaces its sender's live rows, what it leaves
+    out is closed, unless it is shorter than half of them. partial: chosen rows are inserted or
     updated, nothing is closed.
     """
     preview = held_preview(held, live, key)
@@ -129,7 +130,8 @@ def held_settled(held: DataFrame, live: DataFrame, key: list[str], resolution: s
         return preview.join(chosen.select(*key).distinct(), key, "left_semi").select(*key, F.when(F.col("kind") == "insert", "insert").otherwise("update").alias("kind"))
     if resolution != "new":
         raise ValueError(f"unknown resolution {resolution!r}")
-    sizes = held.select(F.lit(True).alias("__held")).unionByName(live.select(F.lit(False).alias("__held"))).agg(F.count_if("__held").alias("__n"), F.count_if(~F.col("__held")).alias("__live"))
-    counts = F.broadcast(sizes.withColumn("__one", F.lit(1)))  # a single row
-    gone = live.select(*key, F.lit(1).alias("__one")).join(held.select(*key), key, "left_anti").join(counts, "__one").where("__n > 0 and __n >= 0.5 * __live").select(*key, F.lit("close").alias("kind"))
+    one = of or ["one"]
+    sized = lambda rows, name: (rows if of else rows.withColumn("one", F.lit(1))).groupBy(*one).agg(F.count("*").alias(name))
+    closing = sized(held, "n").join(sized(live, "live"), one).where("n >= 0.5 * live").select(*one)
+    gone = (live if of else live.withColumn("one", F.lit(1))).join(held.select(*key), key, "left_anti").join(closing, one, "left_semi").select(*key, F.lit("close").alias("kind"))
     return preview.select(*key, "kind").unionByName(gone)

@@ -74,6 +74,15 @@ def test_held_lists(spark):
         of("other")
 
 
+def test_each_held_list_has_its_own_guard(spark):
+    """Supplier 1 sends 1 row beside 10 live lots and closes none; supplier 2 sends 9 beside 2; supplier 3 holds nothing and keeps all."""
+    schema = "supplier int, part int, quantity int, price_cents int"
+    held = spark.createDataFrame([(1, 0, 5, 10), *((2, k, 5, 10) for k in range(9))], schema)
+    live = spark.createDataFrame([*((1, k, 5, 10) for k in range(10)), (2, 0, 5, 10), (2, 99, 5, 10), (3, 1, 5, 10)], schema)
+    got = {(r.supplier, r.part) for r in lists.held_settled(held, live, ["supplier", "part"], "new", of=["supplier"]).where("kind = 'close'").collect()}
+    assert got == {(2, 99)}
+
+
 def test_deals(spark):
     legs = spark.createDataFrame([(1, "buy", 2, 10), (1, "sell", 2, 15), (2, "buy", 1, 1), (3, "buy", 1, None), (3, "sell", 1, 5)], "deal int, side string, quantity int, price_cents int")
     assert {(r.deal, r.margin) for r in deals.margins(legs, "deal").collect()} == {(1, 10), (2, None), (3, None)}
