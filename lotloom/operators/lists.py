@@ -35,16 +35,29 @@ def lateness(arriving: DataFrame, applied: DataFrame, zone: str = "UTC") -> Data
     arriving: id, sender, side, at, habits (array; '' stands for uncategorised); applied: sender, side,
     at, whole (three-valued), categories (array, null for all). Of a sender's newer lists on the same
     categories a whole one of another local day supersedes them; any other leaves the arriving list
-    behind. Each list meets the newer ones of its sender only.
+    behind. A list meets three instants of each of its categories, not the sender's lists: the last day of a whole
+    one, the last of the others, and the last whole one of its own day.
     """
+    day, who = lambda c: F.to_date(F.from_utc_timestamp(c, zone)), ["sender", "side", "category"]
+    each = applied.select("sender", "side", "at", F.coalesce("whole", F.lit(False)).alias("whole"), F.explode(F.coalesce("categories", F.array(F.lit("*")))).alias("category"))
+    last = each.groupBy(*who).agg(F.max(F.when(F.col("whole"), day(F.col("at")))).alias("whole_day"), F.max(F.when(~F.col("whole"), F.col("at"))).alias("other_at"))
+    same_day = each.where("whole").groupBy(*who, day(F.col("at")).alias("day")).agg(F.max("at").alias("whole_at"))
+    asks = arriving.select("id", "sender", "side", "at", day(F.col("at")).alias("day"), F.explode("habits").alias("habit")).withColumn("category", F.explode(F.array_distinct(F.array("habit", F.lit("*")))))
+    met = asks.join(last, who, "left").join(same_day, [*who, "day"], "left")
+    over, behind = F.coalesce(F.col("whole_day") > F.col("day"), F.lit(False)), F.coalesce(F.col("other_at") > F.col("at"), F.lit(False)) | F.coalesce(F.col("whole_at") > F.col("at"), F.lit(False))
+    by = met.groupBy("id").agg(F.array_sort(F.collect_set(F.when(over, F.col("habit")))).alias("over_habits"), F.max(behind.cast("int")).alias("is_behind"))
+    rows = arriving.join(by, "id", "left").withColumns({"superseded": F.coalesce("over_habits", F.array().cast("array<string>")), "behind": F.coalesce(F.col("is_behind") == 1, F.lit(False))}).drop("over_habits", "is_behind")
+    return rows.withColumn("late", F.col("behind") | (F.size("superseded") > 0))
+
+
+def confirmed_before(arriving: DataFrame, applied: DataFrame, zone: str = "UTC") -> DataFrame:
+    """``arriving`` (id, sender, side, at) with ``confirmed``: categories that whole lists of its sender have confirmed that local day before it,
+    and ``confirmed_all`` where one of them covered everything. A list in a category not yet confirmed that day may replace; others only add."""
     day = lambda c: F.to_date(F.from_utc_timestamp(c, zone))
-    newer = applied.select("sender", "side", F.col("at").alias("__at"), F.col("whole").alias("__whole"), F.col("categories").alias("__categories"))
-    covered = F.when(F.col("__categories").isNull(), F.col("habits")).otherwise(F.array_intersect("__categories", "habits"))
-    met = arriving.select("id", "sender", "side", "at", "habits").join(newer, ["sender", "side"]).where(F.col("__at") > F.col("at")).withColumn("__covered", covered).where(F.size("__covered") > 0)
-    over = F.col("__whole").eqNullSafe(F.lit(True)) & (day(F.col("__at")) != day(F.col("at")))
-    by = met.groupBy("id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(over, F.col("__covered")))))).alias("superseded"), F.max((~over).cast("int")).alias("__behind"))
-    out = arriving.join(by, "id", "left").withColumns({"superseded": F.coalesce("superseded", F.array().cast("array<string>")), "behind": F.coalesce(F.col("__behind") == 1, F.lit(False))}).drop("__behind")
-    return out.withColumn("late", F.col("behind") | (F.size("superseded") > 0))
+    first = applied.where("whole").select("sender", "side", "at", day(F.col("at")).alias("day"), F.explode(F.coalesce("categories", F.array(F.lit("*")))).alias("category")).groupBy("sender", "side", "day", "category").agg(F.min("at").alias("since"))
+    met = arriving.select("id", "sender", "side", "at", day(F.col("at")).alias("day")).join(first, ["sender", "side", "day"]).where("since < at")
+    by = met.groupBy("id").agg(F.array_sort(F.collect_set(F.when(F.col("category") != "*", F.col("category")))).alias("some"), F.max((F.col("category") == "*").cast("int")).alias("all"))
+    return arriving.join(by, "id", "left").withColumns({"confirmed": F.coalesce("some", F.array().cast("array<string>")), "confirmed_all": F.coalesce(F.col("all") == 1, F.lit(False))}).drop("some", "all")
 
 
 def keeps_row(category: Column, habits: Column, superseded: Column) -> Column:

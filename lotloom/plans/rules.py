@@ -151,6 +151,22 @@ def point_updates(spark, sf_dir) -> DataFrame:
     return sinks.edited(rows, edits, ["s_suppkey"], ["s_name"])
 
 
+def review_fix(spark, sf_dir) -> DataFrame:
+    """Lots after a person's corrections: values set and cleared, flags settled; corrections of other columns change nothing."""
+    k = F.col("supplier") + F.col("part")
+    rows = lots(spark, sf_dir).select("supplier", "part", "grade", "brand", "price_cents", (k % 2 == 0).alias("needs_review"), F.when(k % 2 == 0, "price jump").alias("review_reason"), F.lit(0.5).alias("confidence"))
+    given = F.when(k % 9 == 0, F.array(F.lit("grade"))).when(k % 9 == 3, F.array(F.lit("grade"), F.lit("price_cents"))).otherwise(F.array(F.lit("brand")))
+    edits = rows.where(k % 3 == 0).select("supplier", "part", F.when(k % 2 == 0, "B").alias("grade"), F.lit("none").alias("brand"), F.lit(1).cast("bigint").alias("price_cents"), given.alias("given"))
+    return sinks.review_fixed(rows, edits, ["supplier", "part"], ["grade", "price_cents"])
+
+
+def lists_confirmed_before(spark, sf_dir) -> DataFrame:
+    """For each event as a list: the categories that whole lists have confirmed that day before it."""
+    e = table(spark, sf_dir, "events").where("ts is not null").select(F.col("event_id").alias("id"), F.col("user_id").alias("sender"), F.lit("sell").alias("side"), F.col("ts").alias("at"), "event_type")
+    applied = e.select("sender", "side", "at", (F.col("id") % 3 == 0).alias("whole"), F.when(F.col("id") % 30 > 0, F.array("event_type")).alias("categories"))
+    return lists.confirmed_before(e.select("id", "sender", "side", "at"), applied).select("id", F.array_join("confirmed", ",").alias("confirmed"), "confirmed_all")
+
+
 def board_upsert(spark, sf_dir) -> DataFrame:
     """A stored table after rows were written and others had gone."""
     rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
@@ -176,7 +192,7 @@ def _values(name: str, columns: str, rows: list[tuple]) -> str:
 
 NAMES = [
     source_gate, sender_resolution, company_names, header_cells, list_decision, list_lateness, lists_confirmed, held_lists, deal_margin, allocation_check, alias_chain, alias_upsert, point_updates,
-    board_upsert, settle_once,
+    board_upsert, settle_once, review_fix, lists_confirmed_before,
 ]
 QUERIES = {q.__name__: q for q in NAMES}
 
@@ -213,6 +229,12 @@ def oracle_sql(snap: str, lots_: str) -> dict[str, str]:
           s as (select event_id, list_sort(list_distinct(flatten(list(covered) filter (where over)))) as superseded, bool_or(not over) as behind from m group by 1)
           select a.event_id as id, coalesce(array_to_string(superseded, ','), '') as superseded, coalesce(behind, false) as behind, coalesce(behind, false) or coalesce(len(superseded), 0) > 0 as late,
                  not coalesce(list_contains(superseded, ''), false) as keeps_uncategorised from e a left join s using (event_id)""",
+        "review_fix": f"""with {lots_}, t as (select supplier, part, grade, brand, price_cents, supplier + part as k from lots), u as (select *, k % 9 in (0, 3) as fixed from t)
+          select supplier, part, case when fixed then case when k % 2 = 0 then 'B' end else grade end as grade, brand, case when k % 9 = 3 then 1 else price_cents end as price_cents, not fixed and k % 2 = 0 as needs_review,
+                 case when not fixed and k % 2 = 0 then 'price jump' end as review_reason, cast(case when fixed then 1 else 0.5 end as double) as confidence from u""",
+        "lists_confirmed_before": """with e as (select * from events where ts is not null), w as (select user_id, cast(ts as date) as d, ts, case when event_id % 30 > 0 then event_type end as c from e where event_id % 3 = 0)
+          select e.event_id as id, coalesce(string_agg(distinct c, ',' order by c), '') as confirmed, coalesce(bool_or(w.ts is not null and c is null), false) as confirmed_all
+          from e left join w on w.user_id = e.user_id and w.d = cast(e.ts as date) and w.ts < e.ts group by 1""",
         "lists_confirmed": """select user_id as sender, strftime(ts, '%Y-%m-%d') as day, case when not bool_or(event_id % 30 = 0) then string_agg(distinct event_type, ',' order by event_type) end as categories
           from events where event_id % 3 = 0 group by 1, 2""",
         "held_lists": f"""with {snap}, sent as (select * from new where supplier % 3 > 0 or part % 4 = 0), z as (select supplier from (select supplier, count(*) as n from sent group by 1) join (select supplier, count(*) as live from old group by 1) using (supplier) where n >= 0.5 * live)

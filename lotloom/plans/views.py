@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import variants
@@ -14,9 +14,10 @@ NOW = "2024-02-01 00:00:00"
 
 
 def lists_since(spark, sf_dir) -> DataFrame:
-    """Applied lists of a sender since an instant, the newest 200 of all senders."""
+    """Applied lists of each sender since an instant, the newest 40 of each."""
     e = table(spark, sf_dir, "events").where("event_type <> 'view'").where(F.col("ts") >= F.lit("2024-01-10").cast("timestamp"))
-    return e.orderBy(F.desc("ts"), F.desc("event_id")).limit(200).select("event_id", "user_id", "ts")
+    turn = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id")))
+    return e.withColumn("turn", turn).where("turn <= 40").select("event_id", "user_id", "ts")
 
 
 def stored_board_filter(spark, sf_dir) -> DataFrame:
@@ -133,7 +134,7 @@ QUERIES = {q.__name__: q for q in NAMES}
 def oracle_sql(lots_: str) -> dict[str, str]:
     """SQL of the queries; lots_ is the WITH item of lots."""
     return {
-        "lists_since": "select event_id, user_id, ts from events where event_type <> 'view' and ts >= timestamp '2024-01-10' order by ts desc, event_id desc limit 200",
+        "lists_since": "select event_id, user_id, ts from events where event_type <> 'view' and ts >= timestamp '2024-01-10' qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 40",
         "stored_board_filter": f"with {lots_} select supplier, part, brand, description from lots where lower(brand) like 'brand#1%' and supplier in (3, 7, 11) and contains(lower(description), 'an') and contains(lower(description), 'e')",
         "offer_search": f"""with {lots_}, hit as (select * from lots where contains(lower(description), 'green') or contains(lower(brand), '#22') or contains(lower(category), 'plated nickel'))
           select supplier, part, (select count(*) from hit) as total from hit order by seen_at desc, supplier, part limit 500""",
