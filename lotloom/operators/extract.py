@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import normalise as n
+from ..sources.shared import stored
 
 # What a header cell says, by field.
 ALIASES = {
@@ -59,6 +60,8 @@ NOT_PRODUCT = r"(?i)^\s*(total|totale|gesamt|subtotal|sum|note|notes|remarks|ter
 HEAD_ROWS, HEAD_FIELDS, AGAIN_FIELDS = 30, 2, 3
 
 GRID = ["key", "source"]
+# Rows that a column is judged by, rows a partial header is looked for in, the share of cells that makes a column one of words or prices.
+SAMPLE, PARTIAL_ROWS, WORDY = 40, 10, 0.7
 
 
 def header_text(cell: Column) -> Column:
@@ -71,9 +74,10 @@ def header_field(cell: Column) -> Column:
     text, words = header_text(cell), F.split(header_text(cell), " ")
     names = F.create_map(*[F.lit(x) for field, aliases in ALIASES.items() for w in aliases for x in (w, field)])
     by_word = F.transform(words, lambda w: F.when(~(w.isin(SHORT_ONLY) & (F.size(words) > 3)), F.try_element_at(names, w)))
-    phrases = [F.when(F.contains(text, F.lit(w)), F.lit(field)) for field, aliases in ALIASES.items() for w in aliases if " " in w]
+    phrases = F.array(*[F.struct(F.lit(w).alias("phrase"), F.lit(field).alias("field")) for field, aliases in ALIASES.items() for w in aliases if " " in w])
+    by_phrase = F.get(F.filter(phrases, lambda x: F.contains(text, x["phrase"])), F.lit(0))["field"]
     return F.when(text != "", F.coalesce(
-        F.when((F.size(words) >= 3) & text.rlike(HEADING), "description"), F.when(text.isin(CURRENCY_ONLY), "price"), F.try_element_at(names, text), F.get(F.array_compact(by_word), F.lit(0)), *phrases,
+        F.when((F.size(words) >= 3) & text.rlike(HEADING), "description"), F.when(text.isin(CURRENCY_ONLY), "price"), F.try_element_at(names, text), F.get(F.array_compact(by_word), F.lit(0)), by_phrase,
     ))
 
 
@@ -118,18 +122,67 @@ def availability(text: Column) -> Column:
     return F.struct(F.when(comes, "incoming").alias("availability"), F.when(comes & eta.isNotNull(), F.concat(F.lit("ETA "), eta)).alias("note"))
 
 
-def with_header(grid: DataFrame) -> DataFrame:
-    """The rows below the header, with ``fields`` (field to column, the leftmost for each), other_prices,
-    header_currency and code_is_part_number.
+def _profiles(heads: DataFrame, grid: DataFrame) -> DataFrame:
+    """(GRID, head, columns): for each head the columns of the SAMPLE rows below: at, n, wordy and priceable (shares of filled cells), and how many rows have any."""
+    below = heads.select(*GRID, "head").join(grid, GRID).where((F.col("row_idx") > F.col("head")) & (F.col("row_idx") <= F.col("head") + SAMPLE))
+    cells = below.select(*GRID, "head", "row_idx", F.posexplode("cells").alias("at", "cell")).withColumn("cell", F.trim("cell")).where("cell <> ''")
+    text = F.col("cell")
+    share = lambda test: F.count_if(F.coalesce(test, F.lit(False))) / F.count("*")
+    each = cells.groupBy(*GRID, "head", "at").agg(F.count("*").alias("n"), share(n.is_wordy(text)).alias("wordy"), share(n.parse_price(text).isNotNull() & (F.length(text) < 16)).alias("priceable"))
+    filled = below.where(F.exists("cells", lambda c: F.trim(c) != "")).groupBy(*GRID, "head").agg(F.count("*").alias("rows"), F.max(F.size("cells")).alias("width"))
+    return each.groupBy(*GRID, "head").agg(F.array_sort(F.collect_list(F.struct("at", "n", "wordy", "priceable"))).alias("columns")).join(filled, [*GRID, "head"])
+
+
+def _wordiest(taken: Column) -> Column:
+    """The column, not among those taken, of which most filled cells read as a product's name; the leftmost of equals."""
+    fit = F.filter("columns", lambda x: (x["n"] >= 2) & (x["wordy"] >= WORDY) & ~F.array_contains(taken, x["at"]))
+    most = F.array_max(F.transform(fit, lambda x: x["wordy"]))
+    return F.get(F.filter(fit, lambda x: x["wordy"] == most), F.lit(0))["at"]
+
+
+def headers(named: DataFrame) -> DataFrame:
+    """(GRID, head, fields, other_prices, header_currency, code_is_part_number) of each grid that can be read; head is -1 without a header.
 
     The header is the row among the first HEAD_ROWS that names the most distinct fields, at least
-    HEAD_FIELDS; the earliest of equals. Grids without one give no rows; reprinted headers go.
+    HEAD_FIELDS; the earliest of equals. Else it is the first row of PARTIAL_ROWS that names a price or a quantity above a
+    column of products. A blank or wrong heading of the product column is mended from the cells below. Else a table
+    of two or three columns is read from its cells alone: one of words, another of prices.
     """
-    named = grid.withColumn("named", F.transform("cells", header_field)).withColumn("distinct", F.size(F.array_compact(F.array_distinct("named"))))
     best = F.row_number().over(Window.partitionBy(*GRID).orderBy(F.desc("distinct"), "row_idx"))
-    heads = named.where((F.col("row_idx") < HEAD_ROWS) & (F.size("cells") > 0)).withColumn("place", best).where((F.col("place") == 1) & (F.col("distinct") >= HEAD_FIELDS))
-    heads = heads.select(*GRID, F.col("row_idx").alias("head"), mapped_columns(F.col("cells")).alias("__map")).select(*GRID, "head", "__map.fields", "__map.other_prices", F.col("__map.currency").alias("header_currency"), "__map.code_is_part_number")
-    return named.join(heads, GRID).where((F.col("row_idx") > F.col("head")) & (F.col("distinct") < AGAIN_FIELDS)).drop("named", "distinct", "head")
+    mapped = lambda rows: rows.withColumn("map", mapped_columns(F.col("cells"))).select(*GRID, F.col("row_idx").alias("head"), "map.fields", "map.other_prices", F.col("map.currency").alias("header_currency"), "map.code_is_part_number")
+    full = mapped(named.where((F.col("row_idx") < HEAD_ROWS) & (F.size("cells") > 0)).withColumn("place", best).where((F.col("place") == 1) & (F.col("distinct") >= HEAD_FIELDS)))
+    read = named.where(F.col("row_idx") < HEAD_ROWS).groupBy(*GRID).agg(F.max("distinct").alias("most")).where(F.col("most") >= HEAD_FIELDS).select(*GRID)
+    rest = named.join(read, GRID, "left_anti")
+    one = rest.where((F.col("row_idx") < PARTIAL_ROWS) & (F.array_contains("named", "price") | F.array_contains("named", "quantity")) & ~F.array_contains(F.array_compact("named"), "description"))
+    heads = stored(full.withColumn("partial", F.lit(False)).unionByName(mapped(one).withColumn("partial", F.lit(True))), "heads")
+    seen = heads.join(_profiles(heads, named), [*GRID, "head"], "left")
+    own = F.element_at("fields", F.lit("description"))
+    column = F.get(F.filter("columns", lambda x: x["at"] == own), F.lit(0))
+    codes = own.isNotNull() & (column["n"] >= 3) & (column["wordy"] < 0.5)
+    found = _wordiest(F.map_values("fields"))
+    product = F.when(own.isNull() | F.coalesce(codes, F.lit(False)), F.coalesce(found, own)).otherwise(own)
+    others = F.map_filter("fields", lambda k, v: k != "description")
+    seen = seen.withColumn("fields", F.when(product.isNull(), others).otherwise(F.map_concat(others, F.create_map(F.lit("description"), product))))
+    usable = F.map_contains_key("fields", "description") & (F.map_contains_key("fields", "price") | F.map_contains_key("fields", "quantity"))
+    first = F.row_number().over(Window.partitionBy(*GRID).orderBy("head"))
+    seen = stored(seen.where(usable | ~F.col("partial")).withColumn("place", first).where("place = 1").select(*heads.columns).drop("partial"), "headers")
+    bare = rest.join(seen.select(*GRID), GRID, "left_anti")
+    shape = _profiles(bare.select(*GRID).distinct().withColumn("head", F.lit(-1)), bare).where("rows >= 4 and width between 2 and 3")
+    words = F.get(F.filter("columns", lambda x: (x["n"] >= 3) & (x["wordy"] >= WORDY)), F.lit(0))["at"]
+    shape = shape.withColumn("words", words)
+    prices = F.get(F.filter("columns", lambda x: (x["n"] >= 3) & (x["priceable"] >= WORDY) & (x["at"] != F.col("words"))), F.lit(0))["at"]
+    shape = shape.withColumn("prices", prices).where("words is not null and prices is not null")
+    fields = F.map_from_arrays(F.array(F.lit("description"), F.lit("price")), F.array("words", "prices"))
+    none = F.create_map().cast("map<string,int>")
+    return seen.unionByName(shape.select(*GRID, "head", fields.alias("fields"), none.alias("other_prices"), F.lit(None).cast("string").alias("header_currency"), F.lit(False).alias("code_is_part_number")))
+
+
+def with_header(grid: DataFrame) -> DataFrame:
+    """The rows below the header, with ``fields`` (field to column, the leftmost for each), other_prices,
+    header_currency and code_is_part_number, as ``headers`` reads them. Grids that cannot be read give no rows; reprinted headers go.
+    """
+    named = stored(grid.withColumn("named", F.transform("cells", header_field)), "named").withColumn("distinct", F.size(F.array_compact(F.array_distinct("named"))))
+    return named.join(headers(named), GRID).where((F.col("row_idx") > F.col("head")) & (F.col("distinct") < AGAIN_FIELDS)).drop("named", "distinct", "head")
 
 
 def with_section(rows: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..functions import product as p
-from ..operators import sheets
+from ..operators import extract, sheets
 from ..sources.tables import cents, lots, table
 
 
@@ -47,7 +47,28 @@ def bare_prices(spark, sf_dir) -> DataFrame:
     return sheets.priced(cells, "supplier").select("supplier", "part", cents(F.col("amount")).alias("price_cents"), "currency", "how")
 
 
-QUERIES = {q.__name__: q for q in (sheet_summaries, sheet_rows, bare_prices)}
+# Header cells of a list, by remainder of its brand's number; without any the columns are told by their cells.
+HEADS = [["", "EAN", "Price", "Quantity"], ["", "Notice", "", "Price €"], None, None, ["Product", "", "Price", "x"]]
+
+
+def headless_rows(spark, sf_dir) -> DataFrame:
+    """Lists whose header leaves the product blank, names one column alone, is not there at all, or names codes as the product."""
+    k, case = F.col("p_partkey"), F.expr("cast(substring(p_brand, 7) as int) % 5")
+    text, c = F.concat(F.lit("Nokia C"), k.cast("string"), F.lit(" 128GB")), cents(F.col("p_retailprice"))
+    money = F.format_string("%d.%02d", F.floor(c / 100).cast("bigint"), c % 100)
+    shapes = [F.array(text, F.lpad(k.cast("string"), 13, "4"), money, (k % 7 + 1).cast("string")), F.array(text, F.lit("as is"), F.lit(""), money), F.array(text, money), F.array(money, text, F.lit("-")), F.array(k.cast("string"), text, money, F.lit("-"))]
+    cells = F.when(case == 0, shapes[0])
+    for n_, shape in enumerate(shapes[1:], 1):
+        cells = cells.when(case == n_, shape)
+    part = table(spark, sf_dir, "part")
+    body = part.select(F.col("p_brand").alias("key"), F.lit("list").alias("source"), F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("row_idx"), cells.alias("cells"))
+    head = F.get(F.array(*[F.array(*map(F.lit, h)) if h else F.lit(None).cast("array<string>") for h in HEADS]), case)
+    heads = part.select(F.col("p_brand").alias("key"), F.lit("list").alias("source"), F.lit(0).alias("row_idx"), head.alias("cells")).distinct().where("cells is not null")
+    rows = extract.extract_rows(heads.unionByName(body))
+    return rows.select("key", "description", "ean", "quantity", cents(F.col("price")).alias("price_cents"), "currency", "source_ref")
+
+
+QUERIES = {q.__name__: q for q in (headless_rows, sheet_summaries, sheet_rows, bare_prices)}
 
 _ROWS = """r as (select p_partkey as k, p_brand as message, cast(substring(p_brand, 7) as int) % 3 as c, p_partkey % 7 + 1 as a, p_partkey % 5 + 2 as b from part),
   m as (select *, c < 2 and k % 20 <> 7 and (k % 10 = 0 or c = 0 or k % 2 = 0) as covered from r),
@@ -56,6 +77,9 @@ _ROWS = """r as (select p_partkey as k, p_brand as message, cast(substring(p_bra
 
 def oracle_sql(lots_: str) -> dict[str, str]:
     return {
+        "headless_rows": """with r as (select p_brand as key, p_partkey as k, cast(substring(p_brand, 7) as int) % 5 as c, cast(floor(p_retailprice * 100 + 0.5) as bigint) as cents, row_number() over (partition by p_brand order by p_partkey) as i, count(*) over (partition by p_brand) as n from part)
+          select key, 'Nokia C' || k || ' 128GB' as description, case when c = 0 then lpad(cast(k as varchar), 13, '4') end as ean, cast(case when c = 0 then k % 7 + 1 end as int) as quantity, cents as price_cents, case when c = 1 then 'EUR' end as currency, 'list row ' || (i + 1) as source_ref
+          from r where n >= case when c in (2, 3) then 4 when c = 4 then 3 else 2 end""",
         "sheet_summaries": f"""with {_ROWS} select message, 'by colour' as grid, k as p_partkey, colour, false as covered, false as summary from r, (values ('Black'), ('White')) t(colour) where k % 20 <> 7
           union all select m.message, 'by model', k, case when c = 2 then 'Grey' end, covered, summary from m join s using (message)""",
         "sheet_rows": f"""with {_ROWS}, x as (select message, 'by colour' as grid, q from (select message, unnest([a, b]) as q from r where k % 20 <> 7)
