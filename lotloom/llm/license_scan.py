@@ -183,7 +183,7 @@ def license_scan(docs: DataFrame, base: dict[str, str] = BASE, templates: dict[s
     covers COVERED or more. score: 1 where a base phrase stands, else the largest share covered.
     spans: the base phrases and long stretches with the start and length in words.
     Null and empty texts have no words and score 0. Null or repeated ids stay as they are, each
-    row with a result of its own. Other columns are not read. Nothing is shuffled.
+    row with a result of its own. An empty table gives no rows. Other columns are not read. Nothing is shuffled.
     """
     scratch.small_batches(docs.sparkSession)
     known = (tuple(base.items()), tuple(templates.items()))

@@ -243,8 +243,8 @@ def with_copies(rated: DataFrame) -> DataFrame:
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] = TARGETS, domain: Column | None = None, least: float = 0.0, pull: float = PULL) -> tuple[DataFrame, dict]:
     """(doc_id, tie, n_tokens, posterior, rate, copies) for each row of ``docs``, and what was reached.
 
-    Null and empty texts have no tokens and rate 1. Rows keep a rate of their own where an id
-    repeats or is null. Other columns are not read.
+    Null and empty texts have no tokens and rate 1; texts of any length count whole. Rows keep a rate of their own where an id
+    repeats or is null. An empty table gives no rows. Other columns are not read, whatever their names.
     """
     scratch.small_batches(docs.sparkSession)
     domains = sorted(targets)

@@ -124,7 +124,7 @@ def packed(docs: DataFrame, path: str, end: int = END, longest: int = LENGTH, wi
     """Pieces with the sequence and offset they got; ``with_ids`` adds their ids (uint32, little-endian).
 
     A null text counts as empty and is one piece with the end id. Null and repeated ids are kept,
-    each row packed for itself. Other columns are not read. An empty table gives no rows.
+    each row packed for itself. Texts of any length are encoded whole and cut. Other columns are not read. An empty table gives no rows.
     """
     spark = docs.sparkSession
     scratch.small_batches(spark, 4000)

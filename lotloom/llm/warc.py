@@ -157,8 +157,9 @@ def read_records(index: DataFrame, folder: str, parts: int | None = None) -> Dat
 def archived(pages: DataFrame) -> tuple[DataFrame, str]:
     """(index, folder) of archives that hold a record for each row of ``pages`` (page_id, url, html).
 
-    A null html is an empty payload, a null url an empty one. The index is a table of its own: only
-    archives of tasks that ended well are in it.
+    A null html is an empty payload, a null url an empty one; pages of any length are written whole, each a record of its
+    own, and an empty table gives an empty index. Other columns are not read, whatever their names. The index is a table
+    of its own: only archives of tasks that ended well are in it.
     """
     spark = pages.sparkSession
     scratch.small_batches(spark)
