@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import models
 from ..functions import product as p
-from ..operators import extract, sheets
+from ..operators import extract, mapping, sheets
+from ..sources.shared import stored
 from ..sources.tables import cents, lots, table
 
 
@@ -68,7 +69,30 @@ def headless_rows(spark, sf_dir) -> DataFrame:
     return rows.select("key", "description", "ean", "quantity", cents(F.col("price")).alias("price_cents"), "currency", "source_ref")
 
 
-QUERIES = {q.__name__: q for q in (headless_rows, sheet_summaries, sheet_rows, bare_prices)}
+# What an outside reader says of each list's four unnamed columns, by remainder of its brand's number; the last is not answered.
+ANSWERS = [
+    [("description", 1), ("price", 2), ("quantity", 3), ("nonsense", 0)], [("description", 1), ("price", 2), ("ean", 0), ("quantity", 1)], [("description", 1), ("price", 2), ("ean", 3)], [("description", 1), ("price", 0)], [("description", 2), ("price", 1)], None,
+]
+
+
+def column_answers(spark, sf_dir) -> DataFrame:
+    """Lists with a header nobody knows, answers about them, and what of these the cells bear out."""
+    k, case = F.col("p_partkey"), F.expr(f"cast(substring(p_brand, 7) as int) % {len(ANSWERS)}")
+    part = table(spark, sf_dir, "part")
+    body = part.select(F.col("p_brand").alias("key"), F.lit("list").alias("source"), F.row_number().over(Window.partitionBy("p_brand").orderBy("p_partkey")).alias("row_idx"), F.array(F.lit("n/a"), F.concat(F.lit("Nokia C"), k.cast("string"), F.lit(" 128GB")), F.format_string("%d.50", k), (k % 7 + 1).cast("string")).alias("cells"))
+    heads = part.select(F.col("p_brand").alias("key"), F.lit("list").alias("source"), F.lit(0).alias("row_idx"), F.array(F.lit("Zaa"), F.concat(F.lit(" Zbb "), F.chr(case + 97)), F.lit("ZCC"), F.lit("")).alias("cells")).distinct()
+    grid = stored(heads.unionByName(body), "grid")
+    read = extract.headers(grid.withColumn("named", F.transform("cells", extract.header_field)).withColumn("distinct", F.size(F.array_compact(F.array_distinct("named")))))
+    tables = stored(mapping.unread(grid, read), "unread")
+    known = spark.createDataFrame([], "signature string, fields map<string,int>")
+    rows = [(f"4:zaa|zbb {chr(97 + n)}|zcc|", [{"field": f, "at": at} for f, at in answer]) for n, answer in enumerate(ANSWERS) if answer]
+    answers = mapping.to_ask(tables, known).select("signature").join(spark.createDataFrame(rows, "signature string, answer array<struct<field: string, at: int>>"), "signature")
+    got = mapping.judged(tables, answers)
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("fields")), lambda x: F.concat_ws(":", x["key"], x["value"].cast("string"))), " ")
+    return tables.join(got.select("key", "verdict", "fields"), "key", "left").select("key", "signature", F.coalesce("verdict", F.lit("open")).alias("verdict"), text.alias("fields"))
+
+
+QUERIES = {q.__name__: q for q in (column_answers, headless_rows, sheet_summaries, sheet_rows, bare_prices)}
 
 _ROWS = """r as (select p_partkey as k, p_brand as message, cast(substring(p_brand, 7) as int) % 3 as c, p_partkey % 7 + 1 as a, p_partkey % 5 + 2 as b from part),
   m as (select *, c < 2 and k % 20 <> 7 and (k % 10 = 0 or c = 0 or k % 2 = 0) as covered from r),
@@ -77,6 +101,8 @@ _ROWS = """r as (select p_partkey as k, p_brand as message, cast(substring(p_bra
 
 def oracle_sql(lots_: str) -> dict[str, str]:
     return {
+        "column_answers": """with said(c, verdict, fields) as (values (0, 'accepted', 'description:1 price:2 quantity:3'), (1, 'half', 'description:1 price:2'), (2, 'half', 'description:1 price:2'), (3, 'refused', null), (4, 'refused', null), (5, 'open', null))
+          select p_brand as key, '4:zaa|zbb ' || chr(97 + c) || '|zcc|' as signature, verdict, fields from (select distinct p_brand, cast(substring(p_brand, 7) as int) % 6 as c from part group by p_brand having count(*) >= 2) join said using (c)""",
         "headless_rows": """with r as (select p_brand as key, p_partkey as k, cast(substring(p_brand, 7) as int) % 5 as c, cast(floor(p_retailprice * 100 + 0.5) as bigint) as cents, row_number() over (partition by p_brand order by p_partkey) as i, count(*) over (partition by p_brand) as n from part)
           select key, 'Nokia C' || k || ' 128GB' as description, case when c = 0 then lpad(cast(k as varchar), 13, '4') end as ean, cast(case when c = 0 then k % 7 + 1 end as int) as quantity, cents as price_cents, case when c = 1 then 'EUR' end as currency, 'list row ' || (i + 1) as source_ref
           from r where n >= case when c in (2, 3) then 4 when c = 4 then 3 else 2 end""",
