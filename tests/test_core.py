@@ -171,3 +171,16 @@ def test_queries_agree_with_their_sql(spark, name):
     columns = [c[0] for c in cur.description]
     assert sorted(columns) == sorted(got.columns)
     assert sorted(map(str, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(str, cur.fetchall()))
+
+
+def test_lots_are_ordered_once_for_each_product(spark):
+    frame_r = spark.createDataFrame([(1, 5, 10, 100), (2, 5, 3, 100), (3, 5, 50, None), (9, 6, 4, 80)], "buyer long, part long, wanted long, limit_cents long")
+    frame_s = spark.createDataFrame([(1, 5, 4, 60, "A", 1), (2, 5, 8, 90, "B", 2), (4, 5, 6, None, "A", 3), (9, 6, 4, 10, "A", 1)], "supplier long, part long, quantity long, price_cents long, country string, seen_at int")
+    for f in (matching.best_single, matching.fills, matching.sweep, matching.pairs, matching.triples):
+        plan = f(frame_r, frame_s)._jdf.queryExecution().optimizedPlan().toString()
+        assert "Window" not in plan and "Sort [" not in plan and "buyer#" not in "".join(x for x in plan.splitlines() if "Aggregate" in x)
+    best = {r.buyer: (r.supplier, r.take, r.score) for r in matching.best_single(frame_r, frame_s).collect()}
+    assert best == {1: (2, 8, 6800), 2: (1, 3, 12000), 3: (4, 6, None)}
+    fills = {r.buyer: (r.filled, r.suppliers, r.cost, r.countries, r.seen_at) for r in matching.fills(frame_r, frame_s).collect()}
+    assert fills == {1: (10, 2, 720, 2, 3), 2: (3, 1, 180, 1, 1), 3: (18, 3, 960, 2, 3)}
+    assert {r.buyer: r.filled for r in matching.fills(frame_r, frame_s, 1).collect()} == {1: 8, 2: 3, 3: 4}
