@@ -74,3 +74,19 @@ def test_confidence(spark):
         {"description": 0.4, "price": 0.45, "currency": 0.3, "quantity": 0.6, "overall": 0.3},
         {"description": 0.0, "price": 1.0, "currency": 0.75, "quantity": 1.0, "overall": 0.0},
     ]
+
+
+def test_near_misses_of_parts_by_class(spark, tmp_path):
+    from lotloom.plans.queries import match_near_miss
+
+    words = [("Red x", 1), ("red y", 1), ("blue x", 1), ("blue", 2), ("blue", 2), (None, 1), ("red", None)]
+    parts = [(k, "b", "t", size, name) for k, (name, size) in enumerate(words)] + [(90, None, "t", 1, "red"), (91, "c", "t", 1, "red")]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_size int, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    rows = match_near_miss(spark, str(tmp_path)).collect()
+    of = {x.r: x.s for x in rows if x.kind == "member"}
+    pairs = {(x.r, x.s): x.differences for x in rows if x.kind == "pair"}
+    assert of == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3, 5: 5, 6: 6, 91: 91}
+    for r, (name, size) in enumerate(words):
+        for s, (other, there) in enumerate(words):
+            colour = name is not None and other is not None and name.lower().split()[0] != other.lower().split()[0]
+            assert pairs.get((of[r], of[s]), "") == ",".join(["capacity"] * (size != there) + ["colour"] * colour)
