@@ -1,15 +1,17 @@
 """Lists as a stream, reconciled against what each sender has live: state by tenant, counterparty and side.
 
-A list is one row with its lines, so it is applied whole. The state of a sender is a map from identity to the
-lot as it stands; what comes out is the append-only log of what each list did, from which the live
-lots follow and by which a list can be taken back.
+A list is one row with its lines, so it is applied whole. The state of a sender is its lots as they stand, as columns
+that are read and written once a batch, and not by a call for each lot; what comes out is the append-only log of what
+each list did, from which the live lots follow and by which a list can be taken back.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, Row, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -33,45 +35,53 @@ def reconciler() -> StatefulProcessor:
         """
 
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.lots = handle.getMapState("lots", "identity long", "live boolean, quantity long, price_cents long")
+            # lots: whole numbers by identity: identity, whether it is live, quantity, price, and whether each of these two is known
+            self.state = handle.getValueState("state", "at long, step int, lots binary")
             self.met = handle.getMapState("met", "list_id string", "at long")
-            self.last = handle.getValueState("last", "at long, step int")
 
-        def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-            known = {k[0]: tuple(v) for k, v in self.lots.iterator()} if self.lots.exists() else {}
-            newest, step = self.last.get() if self.last.exists() else (None, 0)
-            changed = set()
-            for one in sorted(rows, key=lambda r: (r.at, r.list_id)):
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            was = self.state.get()
+            newest, step = was[:2] if was else (None, 0)
+            known = np.frombuffer(was[2], np.int64).reshape(6, -1).copy() if was else np.zeros((6, 0), np.int64)
+            log = []
+            for one in pd.concat(list(rows)).sort_values(["at", "list_id"], kind="stable").itertuples():
                 if self.met.containsKey((one.list_id,)):
                     continue
-                self.met.updateValue((one.list_id,), (one.at,))
-                lines = {}
-                for x in one.lines or []:
-                    lines.setdefault(x["identity"], (x["quantity"], x["price_cents"]))
-                if not lines:
+                self.met.updateValue((one.list_id,), (int(one.at),))
+                ids, first = np.unique(np.asarray(one.identity, np.int64), return_index=True)
+                if not len(ids):
                     continue
-                late = newest is not None and one.at < newest
-                live = sum(v[0] for v in known.values())
-                acts = []
-                for identity, (quantity, price) in sorted(lines.items()):
-                    was = known.get(identity)
-                    if was is None:
-                        acts.append((identity, "insert", quantity, price, None, None))
-                    elif not late:
-                        kind = "reopen" if not was[0] else "refresh" if was[1:] == (quantity, price) else "update"
-                        acts.append((identity, kind, quantity, price, was[1], was[2]))
-                if one.complete and not late and len(lines) >= live * LEAST_SHARE:
-                    acts += [(i, "close", None, None, v[1], v[2]) for i, v in sorted(known.items()) if v[0] and i not in lines]
-                newest, step = max(newest or one.at, one.at), step + 1
-                for identity, kind, quantity, price, old_quantity, old_price in acts:
-                    if kind != "refresh":
-                        known[identity] = (False, old_quantity, old_price) if kind == "close" else (True, quantity, price)
-                        changed.add(identity)
-                    yield Row(tenant=key[0], counterparty=key[1], side=key[2], list_id=one.list_id, at=one.at, step=step, identity=identity, kind=kind, quantity=quantity, price_cents=price, old_quantity=old_quantity, old_price_cents=old_price)
-            for identity in changed:
-                self.lots.updateValue((identity,), known[identity])
-            if newest is not None:
-                self.last.update((newest, step))
+                new = np.stack([ids, np.ones_like(ids), *(np.asarray(x, np.int64)[first] for x in (one.quantity, one.price, one.has_quantity, one.has_price))])
+                late, whole = newest is not None and one.at < newest, one.complete is not None and bool(one.complete)
+                place = np.searchsorted(known[0], ids)
+                there = np.zeros(len(ids), bool)
+                there[place < known.shape[1]] = known[0, place[place < known.shape[1]]] == ids[place < known.shape[1]]
+                place = place[there]
+                kinds, old = np.full(len(ids), "insert", object), np.zeros_like(new)
+                old[:, there] = known[:, place]
+                kinds[there] = np.where(old[1, there] == 0, "reopen", np.where((old[2:, there] == new[2:, there]).all(0), "refresh", "update"))
+                live = known[1] == 1
+                closed = np.zeros(0, np.int64)
+                if whole and not late and len(ids) >= live.sum() * LEAST_SHARE:
+                    closed = np.flatnonzero(live & ~np.isin(known[0], ids))
+                acts = ~there | (not late)
+                newest, step = int(max(newest or one.at, one.at)), step + 1
+                gone = np.zeros((6, len(closed)), np.int64)
+                gone[0] = known[0, closed]
+                log.append((one.list_id, int(one.at), step, np.concatenate([kinds[acts], np.full(len(closed), "close", object)]), np.concatenate([new[:, acts], gone], 1), np.concatenate([old[:, acts], known[:, closed]], 1)))
+                known[1, closed] = 0
+                if not late:
+                    known[:, place] = new[:, there]
+                known = np.concatenate([known, new[:, ~there]], 1)
+                known = known[:, np.argsort(known[0], kind="stable")]
+            if log:
+                self.state.update((newest, step, known.tobytes()))
+                each, now, old = [len(x[3]) for x in log], np.concatenate([x[4] for x in log], 1), np.concatenate([x[5] for x in log], 1)
+                number = lambda rows, n: pd.arrays.IntegerArray(rows[n].copy(), rows[n + 2] == 0)
+                told = {name: np.repeat(np.array([x[n] for x in log], kind), each) for n, (name, kind) in enumerate((("list_id", object), ("at", np.int64), ("step", np.int32)))}
+                sender = dict(zip(("tenant", "counterparty", "side"), key, strict=True))
+                columns = {"identity": now[0], "kind": np.concatenate([x[3] for x in log]), "quantity": number(now, 2), "price_cents": number(now, 3), "old_quantity": number(old, 2), "old_price_cents": number(old, 3)}
+                yield pd.DataFrame({**told, **columns}).assign(**sender)[[c.split()[0] for c in LOG.split(", ")]]
 
         def close(self) -> None:
             pass
@@ -83,8 +93,13 @@ def reconciled(lists: DataFrame) -> DataFrame:
     """The log (LOG) of a stream of lists. The session keeps state in RocksDB from now on, as map state needs it."""
     spark = lists.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    # instants are whole microseconds in the state, which knows no time zones
-    log = lists.withColumn("at", F.unix_micros("at")).groupBy(*SENDER).transformWithState(reconciler(), LOG.replace("at timestamp", "at long"), "Append", "None")
+    # instants are whole microseconds in the state, which knows no time zones; numbers stay whole beside what tells that they are there
+    lines = F.filter("lines", lambda x: x["identity"].isNotNull())
+    of = lambda f: F.coalesce(F.transform(lines, f), F.array())
+    number = lambda c: of(lambda x: F.coalesce(x[c], F.lit(0)).cast("bigint")).alias(c.split("_")[0])
+    has = lambda c: of(lambda x: x[c].isNotNull().cast("bigint")).alias("has_" + c.split("_")[0])
+    rows = lists.select(*SENDER, "list_id", F.unix_micros("at").alias("at"), "complete", number("identity"), number("quantity"), number("price_cents"), has("quantity"), has("price_cents"))
+    log = rows.groupBy(*SENDER).transformWithStateInPandas(reconciler(), LOG.replace("at timestamp", "at long"), "Append", "None")
     return log.withColumn("at", F.timestamp_micros("at"))
 
 

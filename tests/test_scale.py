@@ -1,10 +1,15 @@
 """What keeps the queries' cost in step with their tables: few shuffles, work over all tasks, lines read once."""
 
+import numpy as np
+import pandas as pd
 import pytest
 
+from lotloom.functions import models
 from lotloom.operators import market, matching
+from lotloom.plans import lines as product_plans
 from lotloom.plans import market as plans
 from lotloom.sources.tables import lots, requirements
+from lotloom.streaming import lists
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -45,3 +50,50 @@ def test_lines_of_the_market_are_read_by_all_tasks(spark, monkeypatch):
     monkeypatch.setattr(plans, "stored", stored)
     plans.relations(plans.demand(spark, SMALL), plans.supply(spark, SMALL), plans.aliases(spark, SMALL))
     assert files["lines"] == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Calls:
+    """A state that counts how often it is called."""
+
+    def __init__(self):
+        self.calls, self.value, self.keys = 0, None, set()
+
+    def getValueState(self, name, *schemas):
+        return self
+
+    getMapState = getValueState
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value):
+        self.calls, self.value = self.calls + 1, value
+
+    def containsKey(self, key):
+        self.calls += 1
+        return key in self.keys
+
+    def updateValue(self, key, value):
+        self.calls += 1
+        self.keys.add(key)
+
+
+def test_state_is_called_for_a_list_and_not_for_each_lot():
+    one, state = lists.reconciler(), Calls()
+    one.init(state)
+    for turn, n in enumerate((1000, 900)):
+        ids, known = np.arange(n), np.ones(n, np.int64)
+        row = pd.DataFrame({"list_id": [f"l{turn}"], "at": [turn], "complete": [True], "identity": [ids], "quantity": [ids + turn], "price": [ids], "has_quantity": [known], "has_price": [known]})
+        (log,) = one.handleInputRows(("t", 1, "sell"), iter([row, row]), None)  # delivered twice
+        assert log["kind"].value_counts().to_dict() == ({"insert": 1000} if turn == 0 else {"update": 900, "close": 100})
+    assert state.calls == 2 * 5
+
+
+def test_lines_that_are_alike_are_read_once(spark):
+    rows = spark.createDataFrame([(k, f"Nokia C{k % 3} 128GB Black", f"{k:013d}" if k % 4 else None, "b" if k % 2 else None) for k in range(40)], "p_partkey long, text string, ean_cell string, grade_cell string")
+    seen = []
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(product_plans.models, "with_product", lambda df, read=models.with_product: seen.append(df.count()) or read(df))
+        got = product_plans.read_once(rows).select("p_partkey", "ean", "grade", "identity_key", "match_key").collect()
+    assert seen == [6] and sorted(map(str, got)) == sorted(map(str, models.with_product(rows).select("p_partkey", "ean", "grade", "identity_key", "match_key").collect()))
