@@ -9,7 +9,7 @@ from lotloom.operators import market, matching
 from lotloom.plans import lines as product_plans
 from lotloom.plans import market as plans
 from lotloom.sources.tables import lots, requirements
-from lotloom.streaming import lists
+from lotloom.streaming import lists, refresh
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -97,3 +97,26 @@ def test_lines_that_are_alike_are_read_once(spark):
         patch.setattr(product_plans.models, "with_product", lambda df, read=models.with_product: seen.append(df.count()) or read(df))
         got = product_plans.read_once(rows).select("p_partkey", "ean", "grade", "identity_key", "match_key").collect()
     assert seen == [6] and sorted(map(str, got)) == sorted(map(str, models.with_product(rows).select("p_partkey", "ean", "grade", "identity_key", "match_key").collect()))
+
+
+def test_batches_of_the_board_come_from_stored_rows(spark, monkeypatch):
+    read, kept = [], []
+    monkeypatch.setattr(refresh.Board, "apply", lambda self, needs, lots_, batch: read.extend([*needs.inputFiles(), *lots_.inputFiles()]))
+    monkeypatch.setattr(refresh.Board, "board", lambda self: kept.append(1) or plans.demand(spark, SMALL).selectExpr("buyer as id", "null as legs").where("false"))
+    monkeypatch.setattr(plans, "legs_text", lambda: plans.F.lit(""))
+    with pytest.raises(Exception, match="state"):  # the stand-in for the board has no such column
+        plans.stream_board(spark, SMALL)
+    assert read and kept and not [f for f in read if f.startswith(f"file://{SMALL}")]
+
+
+def test_a_batch_moves_no_standing_rows_of_the_board_but_their_hashes(spark, tmp_path, monkeypatch):
+    known = spark.createDataFrame([("w1", "h1", "exact")], "want string, have string, kind string")
+    held = refresh.Board(spark, f"file://{tmp_path}/board", lambda wants, haves: known.join(wants, "want").join(haves, "have"))
+    needs = spark.range(20).selectExpr("id", "id % 3 as buyer", "'w1' as want", "5L as wanted", "300L as limit_cents", "'EUR' as currency", "timestamp '2024-01-01' as asked_at", "false as gone")
+    offered = spark.range(9).selectExpr("id as lot", "10 + id as supplier", "'h1' as have", "2L as quantity", "100L + id as price_cents", "'EUR' as currency", "'DE' as country", "timestamp '2024-01-01' as seen_at", "false as gone")
+    held.apply(needs, offered, 0)
+    read = []
+    monkeypatch.setattr(refresh.Board, "newest", lambda self, name, key, schema, below, only=None, made=refresh.Board.newest: read.append((name, schema, only)) or made(self, name, key, schema, below, only))
+    assert held.apply(needs.where("id = 4").withColumn("gone", plans.F.lit(True)), offered.where("lot = 2"), 1) == {"full": 0, "scope": 19, "written": 0, "deleted": 1}
+    assert all(schema == "id long, hash string, first_matched long" or only is not None for name, schema, only in read if name == "board")
+    assert held.board().count() == 19
