@@ -5,6 +5,7 @@ Each function takes a string column and is null where the text does not say. All
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -60,6 +61,11 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
     return F.when(text.rlike(pattern), F.regexp_extract(text, pattern, group))
 
 
+def once(value: Column, read: Callable[[Column], Column]) -> Column:
+    """``read`` of a value that is worked out once for a row, however often ``read`` names it."""
+    return F.transform(F.array(value), read)[0]
+
+
 def _first(options: list[Column]) -> Column:
     return F.coalesce(*options)
 
@@ -70,6 +76,10 @@ def number(token: Column, hint: str | None = None) -> Column:
     With both signs the one further right is decimal. One sign that repeats, or has three digits
     behind it, groups thousands; else it is decimal.
     """
+    return once(token, lambda t: _number(t, hint))
+
+
+def _number(token: Column, hint: str | None) -> Column:
     dot, comma = F.instr(token, "."), F.instr(token, ",")
     bare = lambda sign: F.replace(token, F.lit(sign), F.lit(""))
     as_dot = bare(",")
@@ -81,16 +91,16 @@ def number(token: Column, hint: str | None = None) -> Column:
     elif hint == "dot":
         one = F.when(dot > 0, as_dot).otherwise(none)
     else:
-        parts = F.split(token, "[.,]")
-        one = F.when((F.size(parts) > 2) | (F.length(F.element_at(parts, -1)) == 3), none).otherwise(F.when(dot > 0, as_dot).otherwise(as_comma))
+        signs, behind = F.length(token) - F.length(none), F.least(*[F.length(F.substring_index(token, sign, -1)) for sign in (".", ",")])
+        one = F.when((signs > 1) | (behind == 3), none).otherwise(F.when(dot > 0, as_dot).otherwise(as_comma))
     text = F.when((dot > 0) & (comma > 0), both).when((dot == 0) & (comma == 0), token).otherwise(one)
     return text.try_cast("double")
 
 
 def parse_price(text: Column, hint: str | None = None) -> Column:
     """The first number of a price cell; a barcode of 8 or 12 to 14 digits is no price."""
-    token = found(text, r"(\d+(?:[.,]\d+)*)")
-    return F.when(~token.rlike(r"^(?:\d{8}|\d{12,14})$"), number(token, hint))
+    token = F.nullif(F.regexp_extract(text, r"(\d+(?:[.,]\d+)*)", 1), F.lit(""))
+    return once(token, lambda t: F.when(~t.rlike(r"^(?:\d{8}|\d{12,14})$"), _number(t, hint)))
 
 
 def find_price(text: Column, hint: str | None = None) -> Column:
@@ -106,7 +116,7 @@ def currency(text: Column, default: str | None = None) -> Column:
     symbols = [F.when(F.contains(text, F.lit(s)), F.lit(c)) for s, c in SYMBOLS.items()]
     words = [F.when(F.lower(text).rlike(rf"(?<![a-z])\Q{w}\E(?![a-z])"), F.lit(c)) for w, c in WORDS.items()]
     bare = F.when(F.contains(text, F.lit("$")), F.lit(default).cast("string"))
-    return _first([codes, *symbols, *words, bare])
+    return F.when(text.rlike(r"[^\d\s.,]"), _first([codes, *symbols, *words, bare]))  # a bare number names none
 
 
 def price_basis(text: Column) -> Column:
@@ -126,7 +136,10 @@ def vat_included(text: Column) -> Column:
 
 def quantity(text: Column) -> Column:
     """Units: marked as such in a line, or a whole cell like 40, 1,000, 1.5k, 200x, 50+ or min 50."""
-    line = F.regexp_replace(text, r"(?i)\b\d{1,4}\s*(?:gb|tb)\b", " ")
+    return once(text, lambda t: once(F.regexp_replace(t, r"(?i)\b\d{1,4}\s*(?:gb|tb)\b", " "), lambda line: _quantity(t, line)))
+
+
+def _quantity(text: Column, line: Column) -> Column:
     sane = lambda n: F.when((n > 0) & (n <= MOST_UNITS), n.cast("int"))
     marked = [sane(found(line, p).cast("bigint")) for p in QUANTITY]
     alone = sane(found(F.trim(line), r"^(\d{1,6})$").cast("bigint"))

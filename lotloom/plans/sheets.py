@@ -38,7 +38,7 @@ def sheet_rows(spark, sf_dir) -> DataFrame:
 def bare_prices(spark, sf_dir) -> DataFrame:
     """Price and currency of each lot whose list heads its column only "Price": told by the columns beside it, or taken from one of them."""
     c, case = F.col("price_cents"), F.col("supplier") % 5
-    text = lambda x: F.format_string("%d.%02d", F.floor(x / 100).cast("bigint"), (x % 100).cast("bigint"))
+    text = lambda x: F.concat(F.floor(x / 100).cast("string"), F.lit("."), F.lpad((x % 100).cast("string"), 2, "0"))
     of = lambda code, x: F.struct(F.lit(code).alias("code"), text(x).alias("price"))
     others = F.when(case == 0, F.array(of("EUR", F.floor(c * 119 / 100)), of("USD", F.floor(c * 135 / 100)))).when(case == 1, F.array(of("USD", F.floor(c * 110 / 100)), of("EUR", c)))
     others = others.when(case == 2, F.array(of("USD", F.floor(c * 122 / 100)))).when(case == 3, F.array(of("GBP", F.floor(c * (60 + F.col("part") % 40) / 100)), of("EUR", F.floor(c * 300 / 100)))).otherwise(F.array(of("GBP", F.floor(c * 86 / 100))))

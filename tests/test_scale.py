@@ -3,8 +3,10 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from lotloom.functions import models
+from lotloom.functions import normalise as n
 from lotloom.operators import market, matching
 from lotloom.plans import lines as product_plans
 from lotloom.plans import market as plans
@@ -103,7 +105,7 @@ def test_batches_of_the_board_come_from_stored_rows(spark, monkeypatch):
     read, kept = [], []
     monkeypatch.setattr(refresh.Board, "apply", lambda self, needs, lots_, batch: read.extend([*needs.inputFiles(), *lots_.inputFiles()]))
     monkeypatch.setattr(refresh.Board, "board", lambda self: kept.append(1) or plans.demand(spark, SMALL).selectExpr("buyer as id", "null as legs").where("false"))
-    monkeypatch.setattr(plans, "legs_text", lambda: plans.F.lit(""))
+    monkeypatch.setattr(plans, "legs_text", lambda: F.lit(""))
     with pytest.raises(Exception, match="state"):  # the stand-in for the board has no such column
         plans.stream_board(spark, SMALL)
     assert read and kept and not [f for f in read if f.startswith(f"file://{SMALL}")]
@@ -117,6 +119,14 @@ def test_a_batch_moves_no_standing_rows_of_the_board_but_their_hashes(spark, tmp
     held.apply(needs, offered, 0)
     read = []
     monkeypatch.setattr(refresh.Board, "newest", lambda self, name, key, schema, below, only=None, made=refresh.Board.newest: read.append((name, schema, only)) or made(self, name, key, schema, below, only))
-    assert held.apply(needs.where("id = 4").withColumn("gone", plans.F.lit(True)), offered.where("lot = 2"), 1) == {"full": 0, "scope": 19, "written": 0, "deleted": 1}
+    assert held.apply(needs.where("id = 4").withColumn("gone", F.lit(True)), offered.where("lot = 2"), 1) == {"full": 0, "scope": 19, "written": 0, "deleted": 1}
     assert all(schema == "id long, hash string, first_matched long" or only is not None for name, schema, only in read if name == "board")
     assert held.board().count() == 19
+
+
+def test_a_price_cell_is_read_once(spark):
+    cell = F.col("id").cast("string")
+    plan = lambda c: spark.range(1).select(c)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(n.parse_price(cell)).count("regexp_extract(") == 1
+    got = spark.createDataFrame([("1.234,50",), ("1,234.5",), ("1.234",), ("12,5 EUR",), ("1.2.3",), ("4006381333931",), ("x",), (None,)], "t string").select(n.parse_price(F.col("t"))).collect()
+    assert [x[0] for x in got] == [1234.5, 1234.5, 1234.0, 12.5, 123.0, None, None, None]
