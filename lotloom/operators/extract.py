@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import normalise as n
 from ..sources.shared import stored
+from ..sources.tables import spread
 
 # What a header cell says, by field.
 ALIASES = {
@@ -71,12 +72,15 @@ def header_text(cell: Column) -> Column:
 
 def header_field(cell: Column) -> Column:
     """The field that a header cell names, null for other text: the whole cell, then its words in turn, then a phrase in it."""
-    text, words = header_text(cell), F.split(header_text(cell), " ")
+    return n.once(header_text(cell), lambda text: n.once(F.split(text, " "), lambda words: _field(text, words)))
+
+
+def _field(text: Column, words: Column) -> Column:
     names = F.create_map(*[F.lit(x) for field, aliases in ALIASES.items() for w in aliases for x in (w, field)])
     by_word = F.transform(words, lambda w: F.when(~(w.isin(SHORT_ONLY) & (F.size(words) > 3)), F.try_element_at(names, w)))
     phrases = F.array(*[F.struct(F.lit(w).alias("phrase"), F.lit(field).alias("field")) for field, aliases in ALIASES.items() for w in aliases if " " in w])
     by_phrase = F.get(F.filter(phrases, lambda x: F.contains(text, x["phrase"])), F.lit(0))["field"]
-    return F.when(text != "", F.coalesce(
+    return F.when(text.rlike(r"[^\d ]"), F.coalesce(  # bare numbers name nothing
         F.when((F.size(words) >= 3) & text.rlike(HEADING), "description"), F.when(text.isin(CURRENCY_ONLY), "price"), F.try_element_at(names, text), F.get(F.array_compact(by_word), F.lit(0)), by_phrase,
     ))
 
@@ -181,7 +185,8 @@ def with_header(grid: DataFrame) -> DataFrame:
     """The rows below the header, with ``fields`` (field to column, the leftmost for each), other_prices,
     header_currency and code_is_part_number, as ``headers`` reads them. Grids that cannot be read give no rows; reprinted headers go.
     """
-    named = stored(grid.withColumn("named", F.transform("cells", header_field)), "named").withColumn("distinct", F.size(F.array_compact(F.array_distinct("named"))))
+    # cells are dear to read, and few long lists would be few tasks
+    named = stored(spread(grid, *GRID, "row_idx").withColumn("named", F.transform("cells", header_field)), "named").withColumn("distinct", F.size(F.array_compact(F.array_distinct("named"))))
     return named.join(headers(named), GRID).where((F.col("row_idx") > F.col("head")) & (F.col("distinct") < AGAIN_FIELDS)).drop("named", "distinct", "head")
 
 
@@ -206,7 +211,7 @@ def extract_rows(grid: DataFrame) -> DataFrame:
 
     A line needs a description that is a product, and a price or a quantity.
     """
-    rows = with_section(with_header(grid))
+    rows = spread(with_section(with_header(grid)), *GRID, "row_idx")
     cell = lambda f: F.nullif(F.trim(F.get(F.col("cells"), F.element_at("fields", F.lit(f)))), F.lit(""))
     out = rows.select(
         *GRID, "row_idx", cell("description").alias("description"), n.ean(cell("ean")).alias("ean"), n.quantity(cell("quantity")).alias("quantity"), n.parse_price(cell("price")).alias("price"),

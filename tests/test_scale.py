@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lotloom.functions import models
 from lotloom.functions import normalise as n
-from lotloom.operators import market, matching
+from lotloom.operators import extract, market, matching
 from lotloom.plans import lines as product_plans
 from lotloom.plans import market as plans
 from lotloom.sources.tables import lots, requirements
@@ -130,3 +130,17 @@ def test_a_price_cell_is_read_once(spark):
     assert plan(n.parse_price(cell)).count("regexp_extract(") == 1
     got = spark.createDataFrame([("1.234,50",), ("1,234.5",), ("1.234",), ("12,5 EUR",), ("1.2.3",), ("4006381333931",), ("x",), (None,)], "t string").select(n.parse_price(F.col("t"))).collect()
     assert [x[0] for x in got] == [1234.5, 1234.5, 1234.0, 12.5, 123.0, None, None, None]
+
+
+def test_cells_of_one_long_list_are_read_by_all_tasks(spark, monkeypatch):
+    files = {}
+
+    def stored(df, name, made=extract.stored):
+        out = made(df, name)
+        files[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(extract, "stored", stored)
+    rows = [("k", "list", 0, ["Product", "Price"]), *(("k", "list", x, [f"Nokia C{x} 128GB", f"{x}.50"]) for x in range(1, 200))]
+    got = extract.extract_rows(spark.createDataFrame(rows, "key string, source string, row_idx int, cells array<string>").coalesce(1)).collect()
+    assert len(got) == 199 and files["named"] == int(spark.conf.get("spark.sql.shuffle.partitions"))
