@@ -1,5 +1,7 @@
 """What keeps the queries' cost in step with their tables: few shuffles, work over all tasks, lines read once."""
 
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -10,6 +12,7 @@ from lotloom.functions import normalise as n
 from lotloom.operators import extract, market, matching
 from lotloom.plans import lines as product_plans
 from lotloom.plans import market as plans
+from lotloom.sources import tables
 from lotloom.sources.tables import lots, requirements
 from lotloom.streaming import lists, refresh
 
@@ -144,3 +147,10 @@ def test_cells_of_one_long_list_are_read_by_all_tasks(spark, monkeypatch):
     rows = [("k", "list", 0, ["Product", "Price"]), *(("k", "list", x, [f"Nokia C{x} 128GB", f"{x}.50"]) for x in range(1, 200))]
     got = extract.extract_rows(spark.createDataFrame(rows, "key string, source string, row_idx int, cells array<string>").coalesce(1)).collect()
     assert len(got) == 199 and files["named"] == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_lots_take_tasks_by_their_lines(spark, monkeypatch):
+    usual = sorted(map(str, lots(spark, SMALL).collect()))
+    monkeypatch.setattr(tables, "LINES_A_TASK", -(-spark.read.parquet(f"{SMALL}/lineitem.parquet").count() // 9))
+    assert re.search(r"hashpartitioning\(l_suppkey#\d+L?, l_partkey#\d+L?, 9\)", lots(spark, SMALL)._jdf.queryExecution().executedPlan().toString())
+    assert sorted(map(str, lots(spark, SMALL).collect())) == usual
