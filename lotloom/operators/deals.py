@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -14,12 +14,11 @@ def margins(legs: DataFrame, deal: str) -> DataFrame:
     return by.select(deal, F.when(known, F.col("sold") - F.col("bought")).alias("margin"))
 
 
-def committed_elsewhere(wishes: DataFrame, commitments: DataFrame, lot: list[str]) -> DataFrame:
-    """``wishes`` (lot, deal, ...) with elsewhere: units of the lot in open deals other than its own. commitments: lot, deal, quantity, open."""
-    open_ = commitments.where("open").groupBy(*lot, "deal").agg(F.sum("quantity").alias("__own"))
-    total = open_.groupBy(*lot).agg(F.sum("__own").alias("__all"))
-    out = wishes.join(total, lot, "left").join(open_, [*lot, "deal"], "left")
-    return out.withColumn("elsewhere", F.coalesce("__all", F.lit(0)) - F.coalesce("__own", F.lit(0))).drop("__all", "__own")
+def committed_elsewhere(rows: DataFrame, lot: list[str]) -> DataFrame:
+    """``rows`` with elsewhere: units of the lot in open deals other than the row's own. rows: lot, deal, committed (the units
+    that the row itself binds in an open deal, or 0). One sort of each lot's rows, which lie in one task."""
+    total = lambda *by: F.sum(F.coalesce("committed", F.lit(0))).over(Window.partitionBy(*by))
+    return rows.withColumn("__all", total(*lot)).withColumn("elsewhere", F.col("__all") - total(*lot, "deal")).drop("__all")
 
 
 def allocation(wanted: Column, lot_quantity: Column, elsewhere: Column) -> Column:

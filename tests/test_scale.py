@@ -12,6 +12,7 @@ from lotloom.functions import normalise as n
 from lotloom.operators import extract, market, matching
 from lotloom.plans import lines as product_plans
 from lotloom.plans import market as plans
+from lotloom.plans import rules
 from lotloom.sources import tables
 from lotloom.sources.tables import lots, requirements
 from lotloom.streaming import lists, refresh
@@ -154,3 +155,8 @@ def test_lots_take_tasks_by_their_lines(spark, monkeypatch):
     monkeypatch.setattr(tables, "LINES_A_TASK", -(-spark.read.parquet(f"{SMALL}/lineitem.parquet").count() // 9))
     assert re.search(r"hashpartitioning\(l_suppkey#\d+L?, l_partkey#\d+L?, 9\)", lots(spark, SMALL)._jdf.queryExecution().executedPlan().toString())
     assert sorted(map(str, lots(spark, SMALL).collect())) == usual
+
+
+def test_allocation_moves_lines_twice(spark):
+    plan = rules.allocation_check(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") <= 3 and plan.count("lineitem.parquet") == 1  # by deal (orders too), by part
