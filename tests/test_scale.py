@@ -9,11 +9,12 @@ from pyspark.sql import functions as F
 
 from lotloom.functions import models
 from lotloom.functions import normalise as n
-from lotloom.operators import extract, market, matching
+from lotloom.operators import extract, market, matching, relation
 from lotloom.plans import lines as product_plans
 from lotloom.plans import market as plans
 from lotloom.plans import rules
 from lotloom.sources import tables
+from lotloom.sources.shared import stored
 from lotloom.sources.tables import lots, requirements
 from lotloom.streaming import lists, refresh
 
@@ -160,3 +161,12 @@ def test_lots_take_tasks_by_their_lines(spark, monkeypatch):
 def test_allocation_moves_lines_twice(spark):
     plan = rules.allocation_check(spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") <= 3 and plan.count("lineitem.parquet") == 1  # by deal (orders too), by part
+
+
+def test_what_lines_say_is_no_broadcast(spark):
+    rows = stored(models.with_product(spark.createDataFrame([(k, f"Nokia C{k % 9} {64 * (1 + k % 4)}GB Black") for k in range(60)], "n int, text string")), "lines")
+    pairs = relation.met(rows.withColumnRenamed("n", "w"), rows.withColumnRenamed("n", "h"), "w", "h")
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") >= 3  # keys, wanted lines, offered lines; of hot keys there are few
+    assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "key#" not in x]
+    assert pairs.count() == sum(a % 9 == b % 9 for a in range(60) for b in range(60))
