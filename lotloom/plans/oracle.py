@@ -227,7 +227,7 @@ ORACLE_SQL = {
     "match_near_miss": """with p as (select p_partkey as k, p_brand, p_type, p_size, lower(split_part(p_name, ' ', 1)) as colour from part where p_partkey is not null and p_brand is not null and p_type is not null),
       c as (select p_brand, p_type, p_size, colour, min(k) as k from p group by 1, 2, 3, 4)
       select r.k as r, s.k as s, 'pair' as kind, concat_ws(',', case when r.p_size is distinct from s.p_size then 'capacity' end, case when r.colour <> s.colour then 'colour' end) as differences
-      from c r join c s on r.p_brand = s.p_brand and r.p_type = s.p_type and r.k <> s.k where r.p_size is distinct from s.p_size or r.colour <> s.colour
+      from p r join p s on r.p_brand = s.p_brand and r.p_type = s.p_type and r.k <> s.k where r.p_size is distinct from s.p_size or r.colour <> s.colour
       union all select p.k, c.k, 'member', '' from p join c on p.p_brand = c.p_brand and p.p_type = c.p_type and p.p_size is not distinct from c.p_size and p.colour is not distinct from c.colour""",
     "quoted_history": "select doc_id, md5(regexp_replace(coalesce(text, ''), '\\s+$', '')) as kept_md5 from documents",
     "company_match": "select c_custkey as subject_id, s_suppkey as company_id from customer left join supplier on s_name = 'Supplier#' || lpad(cast(c_custkey % 150 as varchar), 9, '0')",

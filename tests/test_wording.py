@@ -90,3 +90,19 @@ def test_near_misses_of_parts_by_class(spark, tmp_path):
         for s, (other, there) in enumerate(words):
             colour = name is not None and other is not None and name.lower().split()[0] != other.lower().split()[0]
             assert pairs.get((of[r], of[s]), "") == ",".join(["capacity"] * (size != there) + ["colour"] * colour)
+
+
+def test_near_misses_are_all_pairs_of_parts(spark, tmp_path, monkeypatch):
+    from lotloom.plans import queries
+
+    monkeypatch.setattr(queries, "CLASS_ROW", 3)
+    parts = [(k, "b", "t", k % 3 or None, (None, "red x", "Red y", "blue")[k % 4]) for k in range(30)] + [(90, "b", "t", 1, "red"), (90, "b", "t", 2, "red"), (91, "c", "t", 1, "red")]
+    spark.createDataFrame(parts, "p_partkey long, p_brand string, p_type string, p_size int, p_name string").write.parquet(f"{tmp_path}/part.parquet")
+    got = sorted((x.r, x.s, x.differences) for x in queries.match_near_miss(spark, str(tmp_path)).collect() if x.kind == "pair")
+    want = []
+    for r, brand, _, size, name in parts:
+        for s, other_brand, _, there, other in parts:
+            colour = name is not None and other is not None and name.lower().split()[0] != other.lower().split()[0]
+            if brand == other_brand and r != s and (size != there or colour):
+                want.append((r, s, ",".join(["capacity"] * (size != there) + ["colour"] * colour)))
+    assert got == sorted(want)
