@@ -170,3 +170,15 @@ def test_what_lines_say_is_no_broadcast(spark):
     assert plan.count("SortMergeJoin") >= 3  # keys, wanted lines, offered lines; of hot keys there are few
     assert not [x for x in plan.splitlines() if "BroadcastHashJoin" in x and "key#" not in x]
     assert pairs.count() == sum(a % 9 == b % 9 for a in range(60) for b in range(60))
+
+
+def test_lots_and_requirements_of_the_market_move_by_part_and_by_line_alone(spark, monkeypatch):
+    read = set()
+    monkeypatch.setattr(plans, "relations", lambda demanded, offered, alias, made=plans.relations: read.update([*demanded.inputFiles(), *offered.inputFiles()]) or made(demanded, offered, alias))
+    rows = plans.board(spark, SMALL)
+    assert {f.rsplit("/", 1)[1] for f in read} == {"part.parquet"}  # lines hang on the parts
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    moved = re.findall(r"Exchange hashpartitioning\((\w+)#", plan)
+    # beside the parts and the known lines: lots by part, requirements by part, both by line; orders are small here
+    assert plan.count("lineitem.parquet") == 2 and sorted(moved) == ["have", "l_partkey", "l_partkey", "p_partkey", "p_partkey", "want"] and not re.search(r"want#\d+,.*hashpartitioning", plan)
+    assert dict(rows.dtypes)["legs"].startswith("array") and rows.count() == requirements(spark, SMALL).count()
