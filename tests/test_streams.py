@@ -2,10 +2,13 @@
 
 import random
 from datetime import datetime, timedelta
+from pathlib import Path
 
+import duckdb
 from pyspark.sql import functions as F
 
 from lotloom.operators import market
+from lotloom.plans.registry import ORACLE_SQL, QUERIES
 from lotloom.streaming import lists, refresh
 
 LIST = "tenant string, counterparty long, side string, list_id string, at timestamp, complete boolean, lines array<struct<identity: long, quantity: long, price_cents: long>>"
@@ -104,3 +107,34 @@ def test_stored_board_is_a_full_rebuild_after_each_batch(spark, tmp_path):
     assert held.apply(empty(need), empty(lot), 4) == {"full": 1, "scope": 24, "written": 0, "deleted": 0} and now() == rebuilt()
     first = {r.id: r.first_matched for r in held.board().collect()}
     assert all((first[r.id] is not None) >= (r.state in ("filled", "short")) for r in held.board().collect()) and set(first.values()) <= {None, 0, 1}
+
+
+def test_copies_of_a_batch_go_with_it(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(refresh, "stored", lambda df, name, stored=refresh.stored: made.append(stored(df, name)) or made[-1])
+    held = refresh.Board(spark, f"file://{tmp_path}/board", lambda wants, haves: spark.createDataFrame([("w", "h", "exact")], "want string, have string, kind string"))
+    needs = spark.range(5).selectExpr("id", "id as buyer", "'w' as want", "5L as wanted", "300L as limit_cents", "'EUR' as currency", "timestamp '2024-01-01' as asked_at", "false as gone")
+    lots = spark.range(4).selectExpr("id as lot", "10 + id as supplier", "'h' as have", "2L as quantity", "100L + id as price_cents", "'EUR' as currency", "'DE' as country", "timestamp '2024-01-01' as seen_at", "false as gone")
+    held.apply(needs, lots, 0)
+    assert not made  # a single delta is what holds now
+    assert held.apply(needs.where("id = 1").withColumn("wanted", F.lit(2).cast("long")), lots.where("lot = 0").withColumn("gone", F.lit(True)), 1) == {"full": 0, "scope": 5, "written": 5, "deleted": 0}
+    assert made and not [f for x in made for f in x.inputFiles() if Path(f.removeprefix("file://")).exists()]
+    assert {len(r.hash) for r in held.board().collect()} == {refresh.DIGITS}
+
+
+def test_stream_board_tells_large_part_numbers_from_buyers(spark, tmp_path):
+    """A part beyond a million of one buyer is not a small one of the next buyer."""
+    small, sf_dir, con = "/root/testdata/sf0.001", str(tmp_path), duckdb.connect()
+    shift = "case when {0} // 8 % 2 = 0 then {0} + 1000000 else {0} end as {0}"
+    for t, key in (("part", "p_partkey"), ("lineitem", "l_partkey")):
+        con.execute(f"copy (select * replace ({shift.format(key)}) from read_parquet('{small}/{t}.parquet')) to '{sf_dir}/{t}.parquet' (format parquet)")
+    # each part is asked for by a small group of buyers, so that numbers of neighbours would meet
+    con.execute(f"copy (select * replace (o_custkey % 4 as o_custkey) from read_parquet('{small}/orders.parquet')) to '{sf_dir}/orders.parquet' (format parquet)")
+    for t in ("nation", "supplier"):
+        con.execute(f"copy (select * from read_parquet('{small}/{t}.parquet')) to '{sf_dir}/{t}.parquet' (format parquet)")
+    for t in ("nation", "supplier", "part", "orders", "lineitem"):
+        con.execute(f"create view {t} as select * from read_parquet('{sf_dir}/{t}.parquet')")
+    got = [r.asDict() for r in QUERIES["stream_board"](spark, sf_dir).collect()]
+    cur = con.execute(ORACLE_SQL["stream_board"])
+    columns = [c[0] for c in cur.description]
+    assert max(r["part"] for r in got) > 1_000_000 and sorted(str([r[c] for c in columns]) for r in got) == sorted(str(list(x)) for x in cur.fetchall())
